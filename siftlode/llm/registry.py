@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlode.llm import quality, simhash
+from siftlode.llm import quality, simhash, substring
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,6 +16,7 @@ def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": _over("documents", simhash.op1_simhash),
+        "op2_substring": _over("documents", substring.op2_substring),
         "op3_quality": _over("documents", quality.op3_quality),
     }
 
