@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlode.llm import quality, sharding, simhash, substring
+from siftlode.llm import quality, sharding, simhash, substring, warc
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring": _over("documents", substring.op2_substring),
         "op3_quality": _over("documents", quality.op3_quality),
         "op7_shards": _over("documents", sharding.op7_shards),
+        "op10_warc": _over("pages", warc.op10_warc),
     }
 
 
