@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlode.llm import bpe, quality, sharding, simhash, substring, warc
+from siftlode.llm import bpe, htmltree, quality, sharding, simhash, substring, warc
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": _over("documents", quality.op3_quality),
         "op6_bpe": _over("documents", bpe.op6_bpe),
         "op7_shards": _over("documents", sharding.op7_shards),
+        "op9_html": _over("pages", htmltree.op9_html),
         "op10_warc": _over("pages", warc.op10_warc),
     }
 
