@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlode.llm import bpe, decontaminate, htmltree, quality, sharding, simhash, substring, warc
+from siftlode.llm import bpe, decontaminate, htmltree, quality, sharding, simhash, substring, urlfilter, warc
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_bpe": _over("documents", bpe.op6_bpe),
         "op7_shards": _over("documents", sharding.op7_shards),
+        "op8_urls": _over("pages", urlfilter.op8_urls),
         "op9_html": _over("pages", htmltree.op9_html),
         "op10_warc": _over("pages", warc.op10_warc),
     }
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality": quality.SQL,
         "op5_decontaminate": decontaminate.SQL,
+        "op8_urls": urlfilter.SQL,
     }
