@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm.shared import shared_path
+from siftlode.llm.shared import batches_of, shared_path
 
 #: Bytes of a record's block; longer ones are segmented.
 SEGMENT = 16 << 10
@@ -27,6 +27,8 @@ SEGMENT = 16 << 10
 CHUNK = 4 << 10
 #: Records a file; with SEGMENT this bounds a file by about 9 MB.
 FILE_RECORDS = 512
+#: Pages that Python holds at a time.
+BATCH = 200
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -133,13 +135,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                 for rec in records(None if pd.isna(i) else int(i), u, bytes(p), None if pd.isna(o) else int(o), bool(r)):
                     out.append(rec)
                     size += len(rec)
-                if size > 8 << 20:
+                if size > 1 << 20:
                     yield pd.DataFrame({"value": out})
                     out, size = [], 0
             yield pd.DataFrame({"value": out})
 
     made = typed.mapInPandas(rows, "value binary").select(F.col("value").cast("string"))  # bytes as they are
-    made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    with batches_of(pages.sparkSession, BATCH):
+        made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 _RECORD = "rtype string, rid string, page_id long, url string, sha string, refers string, origin string, seg int, total long, block binary"
