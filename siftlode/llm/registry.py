@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlode.llm import bpe, decontaminate, htmltree, quality, sharding, simhash, substring, urlfilter, warc
+from siftlode.llm import attention_lm, bpe, decontaminate, htmltree, quality, sharding, simhash, substring, urlfilter, warc
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": _over("documents", simhash.op1_simhash),
         "op2_substring": _over("documents", substring.op2_substring),
         "op3_quality": _over("documents", quality.op3_quality),
+        "op4_lm": _over("documents", attention_lm.op4_lm),
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_bpe": _over("documents", bpe.op6_bpe),
         "op7_shards": _over("documents", sharding.op7_shards),
