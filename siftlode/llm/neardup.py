@@ -128,6 +128,6 @@ def _links(filed: DataFrame, words: DataFrame, v: list[str], most: int) -> DataF
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class the row with the smallest id, with its own columns; null ids all stay."""
-    g = near_duplicates(docs).where("id <=> component_id").select(F.col("id").alias("__id"), F.col("tx").alias("__tx")).distinct()
+    g = near_duplicates(docs).where("id <=> component_id").select(F.col("id").alias("__id"), F.col("tx").alias("__gx")).distinct()
     kept = docs.withColumn("__tx", F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
-    return kept.join(g, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tx") == g["__tx"]), "left_semi").select(*docs.columns)
+    return kept.join(g, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tx") == F.col("__gx")), "left_semi").select(*docs.columns)
