@@ -44,3 +44,26 @@ def knn(
     both = both.select("query_id", "ref_id", "k", l2_distance("qv", "rv").alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "ref_id")
     return both.withColumn("rank", F.row_number().over(w)).where("rank <= k").select("query_id", "ref_id", "rank", "distance")
+
+
+def distinct_neighbors(found: DataFrame, key: str | Column = "ref_id") -> DataFrame:
+    """One row a neighbour: the queries that found it in rank order, their number, best rank and distance."""
+    q = F.sort_array(F.collect_list(F.struct("rank", "query_id")))
+    out = found.groupBy((F.col(key) if isinstance(key, str) else key).alias("ref_id")).agg(
+        F.array_distinct(F.transform(q, lambda x: x["query_id"])).alias("queries"), F.count_distinct("query_id").alias("n_queries"), F.min("rank").alias("best_rank"), F.min("distance").alias("best_distance")
+    )
+    return out
+
+
+def nested(found: DataFrame) -> DataFrame:
+    """One row a query with its neighbours by rank."""
+    return found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "ref_id", "distance"))).alias("neighbors"))
+
+
+def wide_vectors(df: DataFrame, prefix: str, n: int, name: str = "embedding", zero_fill: bool = False) -> DataFrame:
+    """Text columns prefix0.. as one array<float>; null where any cell is blank, unless blanks count as 0."""
+    cells = [F.expr(f"try_cast(`{prefix}{i}` as float)") for i in range(n)]
+    if zero_fill:
+        return df.withColumn(name, F.array(*(F.coalesce(c, F.lit(0.0).cast("float")) for c in cells))).drop(*(f"{prefix}{i}" for i in range(n)))
+    a = F.array(*cells)
+    return df.withColumn(name, F.when(~F.exists(a, lambda x: x.isNull()), a)).drop(*(f"{prefix}{i}" for i in range(n)))
