@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlode.llm.shared import written
+
 #: Template tokens of a window; a power of two.
 WINDOW = 8
 #: Share of an item's windows that a document must have.
@@ -38,37 +40,24 @@ def raw_tokens(text: Column) -> Column:
     return F.filter(F.split(F.translate(t, "\t\n\x0b\x0c\r", "     "), " "), lambda x: ~x.isin("", "\x01"))
 
 
-def kinds(w: Column) -> Column:
-    """The placeholder of each word, null for a literal."""
-
-    def kind(x: Column, i: Column) -> Column:
-        unit = F.lower(x).isin(*UNITS) & F.coalesce(F.get(w, i - 1).rlike(_NUMBER), F.lit(False))
-        return F.when(x.rlike(_NAME), F.when(unit, F.lit("<unit>")).otherwise(F.lit("<name>"))).when(x.rlike(_NUMBER), F.lit("<number>")).when(unit, F.lit("<unit>"))
-
-    return F.transform(w, kind)
+def kind(x: Column, before: Column) -> Column:
+    """The placeholder of a word after another, null for a literal. Words in a-z are tested for units only."""
+    unit = F.lower(x).isin(*UNITS) & F.coalesce(before.rlike(_NUMBER), F.lit(False))
+    plain = (x >= "a") & (x < "{")
+    return F.when(unit, F.lit("<unit>")).when(plain, F.lit(None).cast("string")).when(x.rlike(_NAME), F.lit("<name>")).when(x.rlike(_NUMBER), F.lit("<number>"))
 
 
 def literal(x: Column) -> Column:
-    return F.lower(F.translate(x, "\x01", ""))
+    return F.lower(F.when(x.startswith("\x01"), F.substr(x, F.lit(2))).otherwise(x))
 
 
-def with_windows(df: DataFrame, text_col: str, extra: bool = False) -> DataFrame:
-    """``df`` with __w (raw words) and __h (window hashes); ``extra`` keeps __k (placeholders) too.
+def with_windows(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with __w (raw words) and __h (window hashes).
 
     The last WINDOW - 1 hashes cover fewer words and equal no whole window's.
     """
     df = df.withColumn("__w", raw_tokens(F.col(text_col).cast("string")))
-    if extra:
-        df = df.withColumn("__k", kinds(F.col("__w")))
-        df = df.withColumn("__h", F.zip_with("__w", "__k", lambda x, k: F.xxhash64(F.coalesce(k, literal(x)))))
-    else:
-
-        def hashed(x: Column, i: Column) -> Column:
-            unit = F.lower(x).isin(*UNITS) & F.coalesce(F.get(F.col("__w"), i - 1).rlike(_NUMBER), F.lit(False))
-            kind = F.when(x.rlike(_NAME), F.when(unit, F.lit("<unit>")).otherwise(F.lit("<name>"))).when(x.rlike(_NUMBER), F.lit("<number>"))
-            return F.xxhash64(F.coalesce(kind, F.when(unit, F.lit("<unit>")), literal(x)))
-
-        df = df.withColumn("__h", F.transform("__w", hashed))
+    df = df.withColumn("__h", F.transform("__w", lambda x, i: F.xxhash64(F.coalesce(kind(x, F.get(F.col("__w"), i - 1)), literal(x)))))
     step = 1
     while step < WINDOW:
         df = df.withColumn("__h", F.zip_with("__h", F.slice("__h", step + 1, F.greatest(F.size("__h"), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
@@ -82,10 +71,10 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     fill holds the item's own words at placeholders and null at literals. Items of fewer than WINDOW words
     have no window: they are too short to tell from chance.
     """
-    b = with_windows(benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("__t")), "__t", extra=True)
-    b = b.withColumn("__f", F.zip_with("__w", "__k", lambda x, k: F.when(k.isNotNull(), F.concat(k, literal(x)))))
+    b = with_windows(benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("__t")), "__t")
+    b = b.withColumn("__f", F.transform("__w", lambda x, i: F.concat(kind(x, F.get(F.col("__w"), i - 1)), literal(x))))
     whole = F.slice("__h", F.lit(1), F.greatest(F.size("__h") - (WINDOW - 1), F.lit(0)))
-    b = b.select("item", "__f", F.posexplode(whole).alias("ipos", "h")).withColumn("fill", F.slice("__f", F.col("ipos") + 1, F.lit(WINDOW))).drop("__f")
+    b = b.select("item", "__f", F.posexplode_outer(whole).alias("ipos", "h")).where("h is not null").withColumn("fill", F.slice("__f", F.col("ipos") + 1, F.lit(WINDOW))).drop("__f")
     b = b.where(F.size(F.filter("fill", lambda x: x.isNotNull())) <= WINDOW // 2)
     n = b.groupBy("item").agg(F.count("*").alias("n"))
     return b.join(n, "item")
@@ -100,14 +89,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """(key, item, n_hits, coverage): the items that each row of docs has, by ``row_key``."""
     b = benchmark_windows(benchmark)
     small = b.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    d = with_windows(docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("__t")), "__t").drop("__t")
-    d = d.select("key", "__w", F.posexplode("__h").alias("dpos", "h"))
+    src = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("__t"))
+    # the outer form: for the inner one the optimizer infers a filter on the array and evaluates it again below
+    d = with_windows(src, "__t").select("key", F.posexplode_outer("__h").alias("dpos", "h"))
+    b = b.withColumn("slots", F.exists("fill", lambda x: x.isNotNull()))
     met = d.join(F.broadcast(b) if small else b, "h")
-    pairs = F.filter(F.zip_with("fill", F.slice("__w", F.col("dpos") + 1, F.lit(WINDOW)), lambda a, x: F.struct(a.alias("a"), literal(x).alias("b"))), lambda p: p["a"].isNotNull())
-    met = met.select("key", "item", "n", "ipos", (F.col("dpos") - F.col("ipos")).alias("diagonal"), pairs.alias("pairs"))
-    one = met.groupBy("key", "item", "n", "diagonal").agg(F.collect_set("ipos").alias("hits"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    one = one.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))))
-    hit = one.select("key", "item", "n", F.explode("hits").alias("ipos")).groupBy("key", "item", "n").agg(F.count_distinct("ipos").alias("n_hits"))
+    met = written(met.select("key", "item", "n", "ipos", "dpos", (F.col("dpos") - F.col("ipos")).alias("diagonal"), F.when(F.col("slots"), F.col("fill")).alias("fill")), "matches")
+    # only rows with placeholders in a match are read again for what fills them
+    slotted = met.where("fill is not null")
+    words = src.join(slotted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", raw_tokens(F.col("__t").cast("string")).alias("__w"))
+    pair = F.zip_with("fill", F.slice("__w", F.col("dpos") + 1, F.lit(WINDOW)), lambda a, x: F.struct(a.alias("a"), literal(x).alias("b")))
+    fillers = slotted.join(words, "key").select("key", "item", "diagonal", F.explode(F.filter(pair, lambda p: p["a"].isNotNull())).alias("p"))
+    loose = fillers.groupBy("key", "item", "diagonal", "p.a").agg(F.min("p.b").alias("lo"), F.max("p.b").alias("hi")).where("lo <> hi")
+    one = met.join(loose.select("key", "item", "diagonal").distinct(), ["key", "item", "diagonal"], "left_anti")
+    hit = one.select("key", "item", "n", "ipos").distinct().groupBy("key", "item", "n").agg(F.count("*").alias("n_hits"))
     return hit.where(F.col("n_hits") >= coverage * F.col("n")).select("key", "item", "n_hits", F.round(F.col("n_hits") / F.col("n"), 6).alias("coverage"))
 
 
