@@ -58,7 +58,7 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     for c in columns:
         ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) != float("inf"))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    one = df.where(ok).agg(*(F.corr(a, b).alias(f"{a}\x00{b}") for a, b in pairs))
+    one = df.where(ok).agg(*(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"{a}\x00{b}") for a, b in pairs))
     cells = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}\x00{b}`").alias("r")) for a, b in pairs))
     return one.select(F.explode(cells).alias("x")).select("x.*").where("r is not null and not isnan(r)")
 
@@ -74,7 +74,7 @@ def regression_metrics(df: DataFrame, target: str, predicted: str, keys: list[st
 def gaussian_moments(hist: DataFrame, center: str = "center", weight: str = "n") -> DataFrame:
     """Mean and deviation of a histogram by weighted moments, and the height of the curve."""
     c, w = F.col(center), F.col(weight)
-    m = hist.agg(F.sum(w).alias("total"), (F.sum(w * c) / F.sum(w)).alias("mean"), (F.sum(w * c * c) / F.sum(w)).alias("__m2"))
+    m = hist.agg(F.sum(w).alias("total"), F.try_divide(F.sum(w * c), F.sum(w)).alias("mean"), F.try_divide(F.sum(w * c * c), F.sum(w)).alias("__m2"))
     return m.withColumn("std", F.sqrt(F.greatest(F.col("__m2") - F.col("mean") ** 2, F.lit(0.0)))).drop("__m2")
 
 

@@ -185,9 +185,9 @@ def config_rules(spark, sf_dir):
     return filters.apply_rules(d, rules).select("p_partkey", "reject_reason")
 
 
-@query("regex_filter", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '[0-9]+[02468]$')")
+@query("regex_filter", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^(red|blue) .*t$')")
 def regex_filter(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(F.col("p_name").rlike("[0-9]+[02468]$")).select("p_partkey", "p_name")
+    return table(spark, sf_dir, "part").where(F.col("p_name").rlike("^(red|blue) .*t$")).select("p_partkey", "p_name")
 
 
 # ---- text ----
