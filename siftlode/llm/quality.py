@@ -112,7 +112,11 @@ def op3_quality(docs: DataFrame) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that pass the base test and every rule, with their own columns."""
     d = counts(docs, prefix="_quality_")
-    return d.where(~base_failed("_quality_") & first_failure(prefix="_quality_").isNull()).select(*docs.columns)
+    keep = ~base_failed("_quality_") & first_failure(prefix="_quality_").isNull()
+    # the verdict passes through a generator of one row: a filter on it would be pushed below the arrays it
+    # comes from and evaluate them again for every use
+    d = d.withColumn("_quality_keep", F.explode_outer(F.array(keep)))
+    return d.where("_quality_keep").select(*docs.columns)
 
 
 def _ratio_sql(r: Rule) -> str:
