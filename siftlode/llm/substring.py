@@ -9,8 +9,10 @@ counted by their words, not by hashes.
    repeat; the others are found by a combined minimum and maximum of doc_id.
 2. A second pass, over the documents that have such minimisers, packs their super-k-mers. Equal strings
    become one row with the least doc_id before they are shuffled.
-3. Buckets with few strings are sorted and counted whole. Larger ones (a passage in thousands of
-   different settings) are split into their windows, which are combined before they are shuffled.
+3. Buckets with few strings are sorted and counted whole. In larger ones (a passage in thousands of
+   different settings) the words right and left of the minimiser are sorted over all tasks; a string's
+   longest common prefix with its neighbours bounds what it can share, the rest is cut off, and what is
+   left of a common passage is one string again. Buckets that are still large are split into windows.
 4. The windows go back to the documents as word intervals, and a third pass cuts the words.
 """
 
@@ -28,8 +30,8 @@ from siftlode.llm.shared import sorted_groups, words_of, written
 
 WINDOW = 50
 GRAM = 8
-#: Distinct strings of a bucket that are sorted in one group.
-BUCKET = 32
+#: Distinct strings of a bucket that are sorted in one group, before and after strings are cut.
+BUCKET, CUT_BUCKET = 32, 2048
 #: Bytes of text hashed at a time.
 BLOCK = 1 << 20
 #: Stands for a null doc_id: larger than any, so it never counts as the earlier document.
@@ -75,14 +77,19 @@ def _word_hashes(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _mixed(out), starts, ends
 
 
+def _grams(h: np.ndarray) -> np.ndarray:
+    """A hash of each run of GRAM words."""
+    g = np.zeros(max(0, len(h) - GRAM + 1), np.uint64)
+    for i in range(GRAM):
+        g = g * np.uint64(0x2545F4914F6CDD1D) + h[i : i + len(g)]
+    return _mixed(g)
+
+
 def _minimisers(h: np.ndarray) -> np.ndarray:
     """The minimiser of each window of a document's word hashes; fewer words than a window give none."""
     if len(h) < WINDOW:
         return np.empty(0, np.uint64)
-    g = np.zeros(len(h) - GRAM + 1, np.uint64)
-    for i in range(GRAM):
-        g = g * np.uint64(0x2545F4914F6CDD1D) + h[i : i + len(g)]
-    g = _mixed(g)
+    g = _grams(h)
     span, have = WINDOW - GRAM + 1, 1
     while have < span:  # minima over runs of doubling length
         step = min(have, span - have)
@@ -142,16 +149,108 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["m", "sid", "first", "n", "least"])
 
 
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(m, sid, windows) -> (m, sid, first, n, least): windows in a row with one least doc_id as a run."""
+    for pdf in batches:
+        out = []
+        for m, sid, x in zip(pdf["m"], pdf["sid"], pdf["x"]):
+            at, n, least = x[0]["first"], 0, x[0]["least"]
+            for r in x:
+                if r["first"] != at + n or r["least"] != least:
+                    out.append((m, sid, at, n, least))
+                    at, n, least = r["first"], 0, r["least"]
+                n += 1
+            out.append((m, sid, at, n, least))
+        yield pd.DataFrame(out, columns=["m", "sid", "first", "n", "least"])
+
+
+def _by_size(strings: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The strings of buckets of at most ``most`` strings, and the others."""
+    large = strings.groupBy("m").count().where(F.col("count") > most).select("m")
+    cols = ["m", "sid", "s", "least", "most"]
+    return strings.join(large, "m", "left_anti").select(cols), strings.join(large, "m", "left_semi").select(cols)
+
+
+def _bucketed(strings: DataFrame) -> DataFrame:
+    return strings.repartition("m").sortWithinPartitions("m", "s").mapInPandas(_counted, "m long, sid long, first int, n int, least long")
+
+
+def _anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each place of the minimiser in a string: the words right and left of it, outward."""
+    names = ["m", "sid", "p", "many", "right", "left"]
+    reach = WINDOW - GRAM
+    for pdf in batches:
+        for i in range(0, len(pdf), 2000):
+            out = []
+            for m, sid, s in zip(pdf["m"].iloc[i : i + 2000], pdf["sid"].iloc[i : i + 2000], pdf["s"].iloc[i : i + 2000]):
+                w = bytes(s).split(b" ")
+                at = np.flatnonzero(_grams(_word_hashes(bytes(s))[0]).view(np.int64) == m).tolist()
+                for p in at:
+                    right, left = w[p + GRAM : p + WINDOW], w[max(0, p - reach) : p][::-1]
+                    out.append((m, sid, p, len(at) > 1, b"".join(x + b" " for x in right), b"".join(x + b" " for x in left)))
+            yield pd.DataFrame(out, columns=names)
+
+
+def _prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted distinct (m, key, n) -> (m, kh, reach): words that a key has in common with a neighbour.
+
+    Keys that several strings have, and the first and last of a batch, count as common in full.
+    """
+    for pdf in batches:
+        m, key = pdf["m"].tolist(), [bytes(k) for k in pdf["key"]]
+        common = [0] * (len(key) + 1)
+        for i in range(1, len(key)):
+            if m[i] == m[i - 1]:
+                a, b = key[i - 1], key[i]
+                n = min(len(a), len(b))
+                if a[:n] != b[:n]:
+                    x, y = np.frombuffer(a, np.uint8, n), np.frombuffer(b, np.uint8, n)
+                    n = int((x != y).argmax())
+                common[i] = a.count(b" ", 0, n)
+        reach = [k.count(b" ") if n > 1 or i in (0, len(key) - 1) else max(common[i], common[i + 1]) for i, (k, n) in enumerate(zip(key, pdf["n"].tolist()))]
+        yield pd.DataFrame({"m": m, "kh": pdf["kh"].to_numpy(), "reach": reach})
+
+
+def _trimmed(strings: DataFrame) -> DataFrame:
+    """(m, sid, shift, tid, t, least, most): the strings cut to the windows that another string may share.
+
+    A window reaches a words left of the minimiser and WINDOW - GRAM - a right of it. Both must lie within
+    the string's longest common contexts on their side, so no window that two strings share is cut off.
+    Strings that several documents have stay whole. So do those with the minimiser in several places, which stand at each place for the others.
+    """
+    rows = written(strings.mapInPandas(_anchored, "m long, sid long, p int, many boolean, right binary, left binary"), "anchored")
+    for side in ("right", "left"):
+        keys = rows.groupBy("m", F.col(side).alias("key")).agg(F.count("*").alias("n")).withColumn("kh", F.xxhash64("key"))
+        known = keys.repartitionByRange("m", "key").sortWithinPartitions("m", "key").mapInPandas(_prefixes, "m long, kh long, reach int")
+        # two keys of one hash would only add reach
+        known = known.groupBy("m", "kh").agg(F.max("reach").alias(f"{side}_reach")).withColumnRenamed("kh", f"{side}_kh")
+        rows = rows.withColumn(f"{side}_kh", F.xxhash64(side)).join(known, ["m", f"{side}_kh"])
+    reach = rows.groupBy("m", "sid").agg(F.min("p").alias("p"), F.max("many").alias("many"), F.max("right_reach").alias("r"), F.max("left_reach").alias("l"))
+    span = WINDOW - GRAM
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for m, sid, s, d, most, p, many, r, left in pdf[["m", "sid", "s", "least", "most", "p", "many", "r", "l"]].itertuples(index=False):
+                w = bytes(s).split(b" ")
+                lo, hi = (0, len(w) - WINDOW) if many or d < most else (max(0, p - left), min(len(w) - WINDOW, p - span + r))
+                if lo <= hi:
+                    out.append((m, sid, lo, b" ".join(w[lo : hi + WINDOW]), d, most))
+            yield pd.DataFrame(out, columns=["m", "sid", "shift", "t", "least", "most"])
+
+    return strings.join(reach, ["m", "sid"]).mapInPandas(cut, "m long, sid long, shift int, t binary, least long, most long").withColumn("tid", F.xxhash64("t"))
+
+
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(m, sid, s, least) -> a row for each window: 128 bits of its words and its place."""
+    """(m, sid, s, least, most) -> a row for each window: 128 bits of its words and its place."""
     for pdf in batches:
         for i in range(0, len(pdf), 200):
             out = []
-            for m, sid, s, d in pdf[["m", "sid", "s", "least"]].iloc[i : i + 200].itertuples(index=False):
+            for m, sid, s, d, most in pdf[["m", "sid", "s", "least", "most"]].iloc[i : i + 200].itertuples(index=False):
                 for j, w in enumerate(_windows(bytes(s))):
                     x = xxhash.xxh3_128_intdigest(w)
-                    out.append((m, sid, j, (x >> 64) - 2**63, (x & (2**64 - 1)) - 2**63, d))
-            yield pd.DataFrame(out, columns=["m", "sid", "first", "w0", "w1", "d"])
+                    out.append((m, sid, j, (x >> 64) - 2**63, (x & (2**64 - 1)) - 2**63, d, most))
+            yield pd.DataFrame(out, columns=["m", "sid", "first", "w0", "w1", "d", "most"])
 
 
 def _merged(first: list[int], n: list[int]) -> Iterator[tuple[int, int]]:
@@ -199,14 +298,19 @@ def removals(docs: DataFrame) -> DataFrame:
 
     packed = docs.join(wanted, key).select(*key, "t", "ms").mapInPandas(pack, "id long, tx long, m long, at int, n int, s binary")
     packed = written(packed.withColumn("sid", F.xxhash64("s")), "superkmers")
-    strings = written(packed.groupBy("m", "sid", "s").agg(F.min("id").alias("least")), "strings")
-    large = strings.groupBy("m").count().where(F.col("count") > BUCKET).select("m")
-    few = strings.join(large, "m", "left_anti").repartition("m").sortWithinPartitions("m", "s")
-    found = few.select("m", "sid", "s", "least").mapInPandas(_counted, "m long, sid long, first int, n int, least long")
-    places = strings.join(large, "m", "left_semi").select("m", "sid", "s", "least").mapInPandas(_split, "m long, sid long, first int, w0 long, w1 long, d long")
-    places = written(places, "windows")
-    least = places.groupBy("w0", "w1").agg(F.min("d").alias("least"))
-    found = found.unionAll(places.join(least, ["w0", "w1"]).select("m", "sid", "first", F.lit(1).alias("n"), "least"))
+    strings = written(packed.groupBy("m", "sid", "s").agg(F.min("id").alias("least"), F.max("id").alias("most")), "strings")
+    small, large = _by_size(strings, BUCKET)
+    found = _bucketed(small)
+    cut = written(_trimmed(large), "trimmed")
+    again = cut.groupBy("m", "tid", "t").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    again = written(again.select("m", F.col("tid").alias("sid"), F.col("t").alias("s"), "least", "most"), "strings")
+    small, large = _by_size(again, CUT_BUCKET)
+    places = written(large.mapInPandas(_split, "m long, sid long, first int, w0 long, w1 long, d long, most long"), "windows")
+    least = places.groupBy("w0", "w1").agg(F.min("d").alias("least"), F.max("most").alias("most")).where("least < most").drop("most")
+    single = places.join(least, ["w0", "w1"]).groupBy("m", "sid").agg(F.sort_array(F.collect_list(F.struct("first", "least"))).alias("x"))
+    inner = _bucketed(small).unionAll(single.mapInPandas(_joined, "m long, sid long, first int, n int, least long"))
+    inner = cut.select("m", "sid", "shift", "tid").join(inner.withColumnRenamed("sid", "tid"), ["m", "tid"])
+    found = found.unionAll(inner.select("m", "sid", (F.col("first") + F.col("shift")).alias("first"), "n", "least"))
     back = packed.select(*key, "m", "sid", "at").join(found, ["m", "sid"]).where("least < id")
     return back.groupBy(*key).agg(F.collect_set(F.struct((F.col("at") + F.col("first")).alias("first"), "n")).alias("cuts"))
 

@@ -52,8 +52,10 @@ def test_against_brute_force(spark, monkeypatch):
     want = brute(rows)
     assert any(x[2] for x in want)
     assert run(spark, rows) == want
-    monkeypatch.setattr(substring, "BUCKET", 1)
-    assert run(spark, rows) == want
+    for first, second in ((1, 1), (1, 99), (6, 3)):  # windows by themselves; cut strings; both
+        monkeypatch.setattr(substring, "BUCKET", first)
+        monkeypatch.setattr(substring, "CUT_BUCKET", second)
+        assert run(spark, rows) == want
 
 
 def test_repeated_and_null_ids(spark):
