@@ -1,128 +1,150 @@
-"""Near-duplicate documents by SimHash: candidates by generalised pigeonhole, verification by long fingerprints.
+"""Near-duplicate documents by the exact Jaccard similarity of their sets of five-word shingles.
 
-Words give a fingerprint of LANES x 64 bits that moves little under edits, and five-word shingles give another
-whose distance measures their similarity. Every lane has its own pigeonhole plan over all distinct
-fingerprints: pairs within TAU bits of a lane meet, and stay if their shingle fingerprints differ in no more
-bits than a cosine of similarity SIMILARITY would, plus a margin of two standard deviations.
+Two sets of similarity t share one of the first n - ceil(t n) + 1 shingles of each, in any order that all sets keep
+(prefix filter), so no pair is lost; the order puts common shingles last to keep the groups that meet small. Pairs
+whose sizes, or whose parity bits, already rule the similarity out go, and the others' sets are compared in full.
+First each row of a group meets the group's smallest; then those of a group that are still apart meet each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, pi, sqrt
+from math import ceil
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.llm.components import components
 from siftlode.llm.shared import sorted_groups, written
-from siftlode.llm.simhash import _forest, _hashes, _majority, allocate, bit_statistics, signed
+from siftlode.llm.simhash import _hashes
 
 #: Words of a shingle and the Jaccard similarity of near-duplicates.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Lanes of the candidate and of the verifying fingerprint, 64 bits each.
-LANES, CHECK = 4, 4
-#: Bits of a lane within which pairs surely meet.
-TAU = 2
-#: Rows of a bucket that are compared in one group; larger buckets are cut into pairs of blocks.
-BUCKET = 256
-_STEP = 0x9E3779B97F4A7C15
-
-
-def lanes(h: np.ndarray, n: int) -> list[int]:
-    """n fingerprints of 64 bits from one set of hashes, each from its own remix of them."""
-    out = []
-    for s in range(1, n + 1):
-        x = (h ^ np.uint64(s * _STEP & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0x94D049BB133111EB)
-        out.append(_majority(x ^ (x >> np.uint64(32))))
-    return out
-
-
-def both_fingerprints(text: str | None) -> list[int]:
-    """Candidate lanes (distinct words), then verifying lanes (distinct shingles), of lower-cased (A-Z) words."""
+#: 64-bit words of parity bits: bit h mod 64 BITS is how many shingles fall on it, mod 2.
+BITS = 8
+#: Which shingles are common only decides the order: those in COMMON or more of one in LOOKED texts, MOST at most.
+LOOKED, COMMON, MOST = 16, 4, 200_000
+#: Rows of a group that are compared in one task; larger groups are cut into pairs of blocks.
+BUCKET = 4096
+_EPS = 1e-9
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the shingles of lower-cased (A-Z) words; fewer words are one shingle."""
     w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return lanes(np.unique(_hashes(w, 1, 7)), LANES) + lanes(np.unique(_hashes(w, SHINGLE, 7)), CHECK)
+    return np.unique(_hashes(w, SHINGLE, 7))
 
 
-def most_bits(similarity: float = SIMILARITY, bits: int = 64 * CHECK) -> int:
-    """Differing bits up to which two fingerprints pass: what the similarity makes likely, and two deviations."""
-    p = acos(2 * similarity / (1 + similarity)) / pi
-    return int(bits * p + 2 * sqrt(bits * p * (1 - p)))
+def parity(h: np.ndarray) -> np.ndarray:
+    """BITS words of parity bits. Two sets' bits differ in no more places than the sets have shingles apart."""
+    odd = np.bincount((h % np.uint64(64 * BITS)).astype(np.int64), minlength=64 * BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(id, tx, component_id): every row's class, named by its smallest id; tx is a hash of the text.
+def prefix(h: np.ndarray, common: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The shingles of sorted h one of which any set of the similarity shares; those in sorted ``common`` come last."""
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        h = h[np.argsort(common[at] == h, kind="stable")]
+    return h[: len(h) - ceil(similarity * len(h) - _EPS) + 1]
 
-    Equal texts are one before anything is compared, and equal fingerprints after that, so copies cost nothing
-    more. Wordless and null texts are one class only with their own equals: they have no words to compare.
-    Null ids count as larger than any. An empty table gives an empty result.
-    """
-    c, v = [f"c{i}" for i in range(LANES)], [f"v{i}" for i in range(CHECK)]
+
+def _common(src: DataFrame) -> np.ndarray:
+    """Shingles of many texts, the most frequent MOST of them, sorted. They order prefixes and never leave one out."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = np.array([both_fingerprints(t) for t in pdf["t"]], np.int64).reshape(len(pdf), LANES + CHECK)
-            yield pd.DataFrame({"id": pdf["id"], "tx": pdf["tx"], "blank": [not (t and t.encode("utf-8", "surrogatepass").split()) for t in pdf["t"]]} | dict(zip(c + v, rows.T)))
+            sets = [shingles(t) for t in pdf["t"]]
+            yield pd.DataFrame({"h": np.concatenate(sets).view(np.int64)})
+
+    some = src.where(F.pmod("tx", F.lit(LOOKED)) == 0).select("t").mapInPandas(each, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    got = some.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST).collect()
+    return np.sort(np.array([r["h"] for r in got], np.int64).view(np.uint64))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(id, tx, component_id): every row's class, named by its smallest id; tx is a hash of the text.
 
+    Classes are connected by pairs of the similarity. Equal texts are one before anything is compared, and equal
+    sets of shingles after that. Wordless and null texts are one class only with their own equals: they have no
+    words to compare. Null ids count as larger than any. An empty table gives an empty result.
+    """
+    b = [f"b{i}" for i in range(BITS)]
     text = F.col(text_col).cast("string")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tx"), text.alias("t"))
-    rows = written(src.mapInPandas(each, "id long, tx long, blank boolean, " + ", ".join(f"{x} long" for x in c + v)), "lanes")
-    key = F.when(F.col("blank"), F.col("tx")).otherwise(F.xxhash64(*c, *v)).alias("f")
-    rows = rows.select("id", "tx", "blank", key, *c, *v)
-    distinct = written(rows.groupBy("f").agg(F.min("id").alias("least"), F.max("blank").alias("blank"), *(F.first(x).alias(x) for x in c + v)), "distinct")
-    words = distinct.where("not blank").select("f", *c, *v)
-    filed = None
-    for x in c:
-        lane = words.select(F.col(x).alias("f0")).distinct()
-        n, both = bit_statistics(lane, 1)
-        if n < 1:
-            continue
-        plan = allocate(max(n, 2), both, TAU, (3, 4), most=1)
-        for part, t in zip(plan.parts, plan.thresholds):
-            if t < 0:
-                continue
-            mask = signed(sum(1 << (63 - b) for b in part))
-            flips = [0] + [signed(1 << (63 - b)) for b in part] * (t > 0)
-            near = F.explode(F.array(*(F.lit(b).cast("long") for b in flips)))
-            got = words.select("f", F.lit(x + str(part[0])).alias("p"), F.col(x).bitwiseAND(F.lit(mask).cast("long")).alias("k"), near.alias("b"))
-            got = got.select("p", F.col("k").bitwiseXOR(F.col("b")).alias("k"), "f")
-            filed = got if filed is None else filed.unionAll(got)
-    if filed is None:
-        label = distinct.select("f", F.col("f").alias("label"))
-    else:
-        label = distinct.select("f").join(components(_links(filed, words, v, most_bits(similarity)), "a", "b").withColumnRenamed("node", "f"), "f", "left")
-        label = label.select("f", F.coalesce("label", "f").alias("label"))
-    named = distinct.select("f", "least").join(label, "f")
-    named = named.select("f", "label").join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("f", "component_id")
+    common = docs.sparkSession.sparkContext.broadcast(_common(src))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [shingles(t) for t in pdf["t"]]
+            bits = np.array([parity(h) for h in sets], np.int64).reshape(len(pdf), BITS)
+            out = {"id": pdf["id"], "tx": pdf["tx"], "f": [xxhash.xxh64_intdigest(h.tobytes()) - 2**63 if len(h) else x for h, x in zip(sets, pdf["tx"])]}
+            out |= {"n": [len(h) for h in sets], "h": [h.view(np.int64) for h in sets], "p": [prefix(h, common.value, similarity).view(np.int64) for h in sets]}
+            yield pd.DataFrame(out | dict(zip(b, bits.T)))
+
+    schema = "id long, tx long, f long, n int, h array<long>, p array<long>, " + ", ".join(f"{x} long" for x in b)
+    rows = written(src.mapInPandas(each, schema), "shingles")
+    small = rows.where("n > 0").groupBy("f").agg(F.first("n").alias("n"), *(F.first(x).alias(x) for x in b))
+    filed = rows.where("n > 0").select(F.explode("p").alias("k"), "f").distinct()
+    sizes = filed.groupBy("k").agg(F.min("f").alias("a"), F.count("*").alias("m")).where("m > 1")
+    met = written(filed.join(sizes.select("k", "a"), "k"), "met")
+    star = met.where("f <> a").select("a", F.col("f").alias("b")).distinct()
+    tight = written(small.join(met.select("f").distinct(), "f", "left_semi"), "bits")
+    for side in "ab":
+        star = star.join(tight.select(*(F.col(x).alias(side + x if x != "f" else side) for x in tight.columns)), side)
+    apart = sum((F.bit_count(F.col("a" + x).bitwiseXOR(F.col("b" + x))) for x in b), F.lit(0))
+    star = star.where((F.least("an", "bn") >= similarity * F.greatest("an", "bn") - _EPS) & (apart <= _apart(F.col("an") + F.col("bn"), similarity)))
+    links = written(_similar(star.select("a", "b"), rows, similarity), "links")
+    label = written(components(links, "a", "b").withColumnRenamed("node", "f"), "label")
+
+    rest = met.select("k", "f").join(label, "f", "left").withColumn("label", F.coalesce("label", "f"))
+    split = rest.groupBy("k").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y").select("k", "m")
+    pairs = _apart_pairs(rest.join(split, "k").join(tight, "f"), b, similarity).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
+    more = _similar(pairs, rows, similarity)
+    for side in "ab":  # links between classes
+        more = more.join(label.select(F.col("f").alias(side), F.col("label").alias("l" + side)), side, "left").withColumn("l" + side, F.coalesce("l" + side, side))
+    joined = components(more.select("la", "lb"), "la", "lb").select(F.col("node").alias("label"), F.col("label").alias("joined"))
+
+    distinct = rows.groupBy("f").agg(F.min("id").alias("least")).join(label, "f", "left").withColumn("label", F.coalesce("label", "f"))
+    distinct = distinct.join(joined, "label", "left").select("f", "least", F.coalesce("joined", "label").alias("label"))
+    named = distinct.select("f", "label").join(distinct.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("f", "component_id")
     return rows.select("id", "tx", "f").join(named, "f").select("id", "tx", "component_id")
 
 
-def _links(filed: DataFrame, words: DataFrame, v: list[str], most: int) -> DataFrame:
-    """(a, b): links that connect what meets in a bucket and passes, at most one a row and bucket."""
-    sizes = filed.groupBy("p", "k").agg(F.count("*").alias("n")).where("n > 1")
-    met = filed.join(sizes, ["p", "k"]).withColumn("parts", F.ceil(F.col("n") / BUCKET).cast("int"))
+def _apart(total, similarity: float):
+    """Shingles that are in one of two sets only, at most, for sets of the similarity with ``total`` shingles together."""
+    return total * ((1 - similarity) / (1 + similarity)) + _EPS
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that sizes and bits let pass."""
+    return written(pairs, "pairs")
+
+
+def _apart_pairs(met: DataFrame, b: list[str], similarity: float) -> DataFrame:
+    """(a, b), a < b: what meets in a group, has different labels, and may have the similarity by sizes and bits."""
+    met = met.withColumn("parts", F.ceil(F.col("m") / BUCKET).cast("int"))
     met = met.withColumn("own", F.pmod(F.xxhash64("f"), F.col("parts")).cast("int"))
     met = met.withColumn("g", F.explode(F.expr("transform(sequence(0, parts - 1), j -> struct(least(own, j) as i, greatest(own, j) as j))")))
-    met = met.select("f", "p", "k", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "own").join(words.select("f", *v), "f")
+    key = ["k", "i", "j"]
+    met = met.select("k", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "f", "label", "n", *b)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: list[np.ndarray] = []
-        for g in sorted_groups(batches, ["p", "k", "i", "j"]):
-            i, j = g["i"].iloc[0], g["j"].iloc[0]
-            f = g["f"].to_numpy(np.int64)
-            if e := _forest(g[v].to_numpy(np.int64).view(np.uint64), most, g["own"].to_numpy() == i if i != j else None):
-                found.append(f[np.array(e)])
-            if len(found) > 2000:
-                yield pd.DataFrame(np.vstack(found), columns=["a", "b"])
-                found = []
-        if found:
-            yield pd.DataFrame(np.vstack(found), columns=["a", "b"])
-
-    key = ["p", "k", "i", "j"]
+        for g in sorted_groups(batches, key):
+            f, label, n = (g[c].to_numpy() for c in ("f", "label", "n"))
+            bits = g[b].to_numpy(np.int64).view(np.uint64)
+            for x in range(len(f) - 1):
+                y = slice(x + 1, None)
+                ok = (label[y] != label[x]) & (np.minimum(n[y], n[x]) >= similarity * np.maximum(n[y], n[x]) - _EPS)
+                at = x + 1 + np.flatnonzero(ok)
+                if len(at):
+                    at = at[np.bitwise_count(bits[at] ^ bits[x]).sum(axis=1) <= _apart(n[at] + n[x], similarity)]
+                if len(at):
+                    yield pd.DataFrame({"a": np.minimum(f[at], f[x]), "b": np.maximum(f[at], f[x])})
+
     return met.repartition(*key).sortWithinPartitions(*key).mapInPandas(each, "a long, b long")
 
 

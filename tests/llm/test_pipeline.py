@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from siftlode.llm import neardup
 from siftlode.llm.shared import shared_path
 
@@ -64,3 +65,48 @@ def test_near_duplicates_by_brute_force(spark):
                 comp = [min(x, y) if c in (x, y) else c for c in comp]
     assert {g.id: g.component_id for g in got} == dict(enumerate(comp))
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def partners(spark, texts):
+    """Pairs of rows in one class, for texts that come in twos."""
+    got = {g.id: g.component_id for g in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    return [got[i] == got[i + 1] for i in range(0, len(texts), 2)]
+
+
+def test_no_near_copy_is_lost(spark):
+    r = random.Random(5)
+    texts = []
+    for i in range(150):
+        t = prose(r, 200, f"e{i}x").split()
+        cut = r.randrange(10, 38)
+        edited = [t + prose(r, cut, f"e{i}x").split(), t[:-cut], t[:60] + [f"n{j}" for j in range(cut // 3)] + t[60 + cut // 3 :]][i % 3]
+        texts += [" ".join(t), " ".join(edited)]
+    near = [jaccard(a, b) >= 0.8 for a, b in zip(texts[::2], texts[1::2])]
+    assert sum(near) > 120 and all(p for p, n in zip(partners(spark, texts), near) if n)
+
+
+def test_bits_and_prefix_keep_every_similar_pair():
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        n, m = int(r.integers(1, 400)), int(r.integers(0, 60))
+        both, a, b = np.split(r.permutation(np.unique(r.integers(0, 2**63, n + 2 * m, np.uint64))), [n, n + m])
+        a, b = np.sort(np.concatenate([both, a])), np.sort(np.concatenate([both, b]))
+        apart = len(a) + len(b) - 2 * n
+        assert np.bitwise_count((neardup.parity(a) ^ neardup.parity(b)).view(np.uint64)).sum() <= apart
+        if n / (n + apart) >= 0.8:
+            common = np.sort(r.choice(both, len(both) // 2))
+            assert len(np.intersect1d(neardup.prefix(a, common), neardup.prefix(b, common)))
+
+
+def test_pairs_apart_in_a_group_meet(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BUCKET", 3)
+    r = random.Random(9)
+    t = prose(r, 400, "h").split()
+    texts = [" ".join(t[4 * i : 4 * i + 200]) for i in range(40)]  # neighbours up to 5 steps are near, the ends are not
+    got = {g.component_id for g in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0}
