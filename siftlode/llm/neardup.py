@@ -120,8 +120,14 @@ def _apart(total, similarity: float):
 
 
 def _similar(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that sizes and bits let pass."""
-    return written(pairs, "pairs")
+    """The pairs (a, b) whose sets have the similarity, counted in full."""
+    pairs = written(pairs, "pairs")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("f")).distinct()
+    sets = written(rows.select("f", "h").join(used, "f", "left_semi").dropDuplicates(["f"]), "sets")
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("f").alias(side), F.col("h").alias("h" + side)), side)
+    both = F.size(F.array_intersect("ha", "hb"))
+    return pairs.where(both / (F.size("ha") + F.size("hb") - both) >= similarity).select("a", "b")
 
 
 def _apart_pairs(met: DataFrame, b: list[str], similarity: float) -> DataFrame:

@@ -110,3 +110,13 @@ def test_pairs_apart_in_a_group_meet(spark, monkeypatch):
     texts = [" ".join(t[4 * i : 4 * i + 200]) for i in range(40)]  # neighbours up to 5 steps are near, the ends are not
     got = {g.component_id for g in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {0}
+
+
+def test_pairs_below_the_similarity_stay_apart(spark):
+    r = random.Random(6)
+    texts = []
+    for i in range(60):
+        t = prose(r, 200, f"f{i}x").split()
+        texts += [" ".join(t), " ".join(t + prose(r, 52 + i % 20, f"f{i}x").split())]
+    assert all(0.7 < jaccard(a, b) < 0.8 for a, b in zip(texts[::2], texts[1::2]))
+    assert not any(partners(spark, texts))
