@@ -408,10 +408,13 @@ def graph_masked(spark, sf_dir):
 
 @query("min_cost_assignment")
 def min_cost_assignment(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("a"), "s_acctbal")
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("b"), "c_acctbal")
-    s, c = (clean.ranked(x, ["k"], [i]).where("rank <= 2").drop("rank") for x, i in ((s, "a"), (c, "b")))
-    return graph.assigned(s.join(c, "k").withColumn("cost", F.abs(F.col("s_acctbal") - F.col("c_acctbal"))), ["k"], "a", "b", "cost")
+    # an order's lines (a) take the ship dates of its lines (b); each day of waiting costs a line's quantity
+    # line numbers repeat within an order, so lines are numbered anew
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_quantity", "l_shipdate")
+    d = clean.ranked(d, ["k"], ["l_linenumber", "l_shipdate", "l_quantity"])
+    a = d.select("k", F.col("rank").alias("a"), "l_quantity")
+    b = d.select("k", F.col("rank").alias("b"), F.datediff("l_shipdate", F.lit("1970-01-01").cast("date")).alias("day"))
+    return graph.assigned(a.join(b, "k").withColumn("cost", (F.col("l_quantity") * F.col("day")).cast("double")), ["k"], "a", "b", "cost")
 
 
 @query("model_scoring", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x, i: x * i)), 4) AS score FROM embeddings")

@@ -1,3 +1,5 @@
+from itertools import permutations
+
 import __spark_entry__ as e
 
 
@@ -18,3 +20,20 @@ def test_queries_without_sql(spark):
     got = q["min_cost_assignment"](spark, d).collect()
     assert len({(r.k, r.a) for r in got}) == len({(r.k, r.b) for r in got}) == len(got)
     assert len({r.l_partkey for r in q["stratified_unique"](spark, d).collect()}) == 60
+
+
+def test_assignment_covers_every_order(spark):
+    d = "/root/testdata/sf0.001"
+    lines = {}
+    for r in spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate").collect():
+        lines.setdefault(r.l_orderkey, []).append((r.l_linenumber, r.l_shipdate.toordinal(), float(r.l_quantity)))
+    lines = {k: {i: (q, day) for i, (_, day, q) in enumerate(sorted(x), 1)} for k, x in lines.items()}
+    got = {}
+    for r in e.queries()["min_cost_assignment"](spark, d).collect():
+        got.setdefault(r.k, {})[r.a] = r.b
+    assert got.keys() == lines.keys()
+    for k, x in lines.items():
+        assert sorted(got[k]) == sorted(got[k].values()) == sorted(x)
+        if len(x) <= 5:
+            cost = [sum(x[i][0] * x[j][1] for i, j in zip(x, p)) for p in permutations(x)]
+            assert abs(sum(x[i][0] * x[j][1] for i, j in got[k].items()) - min(cost)) < 1e-3
