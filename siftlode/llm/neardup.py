@@ -1,15 +1,21 @@
-"""Near-duplicate documents by the exact Jaccard similarity of their sets of five-word shingles.
-
-Two sets of similarity t share one of the first n - ceil(t n) + 1 shingles of each, in any order that all sets keep
-(prefix filter), so no pair is lost; the order puts common shingles last to keep the groups that meet small. Pairs
-whose sizes, or whose parity bits, already rule the similarity out go, and the others' sets are compared in full.
-First each row of a group meets the group's smallest; then those of a group that are still apart meet each other.
+"""Near-duplicate documents: SimHash candidates by a generalised pigeonhole, verified on the shingles themselves.
+
+Each set of five-word shingles gets a fingerprint of four SimHash lanes. Bits that vary together form partitions
+and a dynamic program allots unequal thresholds (``simhash.allocate``), so that no pair within TAU bits is missed.
+TAU lies two standard deviations below the distance expected of sets of the similarity; pairs further apart meet
+in some partition nearly always (the README has the measured recall). What meets is compared by all bits, and
+what these leave is verified by the Jaccard similarity of the two whole texts, so nothing below it is linked.
+
+A group of copies of any size costs links in proportion to its rows. Every row first meets one centre of each of
+its values, the text with the most exact copies, and is verified against the nearest. Rows that are still in
+different classes then meet in the buckets: all of them in small buckets, and in large ones each row outside the
+largest class with its nearest neighbour. Only where that fails is such a row compared with the whole bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from math import acos, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -18,140 +24,253 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.llm.components import components
-from siftlode.llm.shared import sorted_groups, written
-from siftlode.llm.simhash import _hashes
+from siftlode.llm.shared import batches_of, tasks, written
+from siftlode.llm.simhash import Plan, _hashes, _majority, allocate, bit_statistics, filed, masks
 
 #: Words of a shingle and the Jaccard similarity of near-duplicates.
 SHINGLE, SIMILARITY = 5, 0.8
-#: 64-bit words of parity bits: bit h mod 64 BITS is how many shingles fall on it, mod 2.
-BITS = 8
-#: Which shingles are common only decides the order: those in COMMON or more of one in LOOKED texts, MOST at most.
-LOOKED, COMMON, MOST = 16, 4, 200_000
-#: Rows of a group that are compared in one task; larger groups are cut into pairs of blocks.
-BUCKET = 4096
+#: Seeds of the lanes after the first, which is the shingle hash itself.
+SEEDS = (7, 11, 13, 17)
+LANES = len(SEEDS)
+#: Partitions that the allocation may choose; how many compared pairs cost as much as a filed row; rows filed at a time.
+PARTITIONS, ROW_COST, FILED = tuple(range(10, 21)), 100.0, 64
+#: Rows of a bucket all pairs of which are compared; members that are verified against a text in one task.
+BUCKET, MEMBERS = 256, 256
 _EPS = 1e-9
 
 
+def bits_apart(similarity: float, deviations: float) -> int:
+    """Differing bits of two fingerprints of that similarity: the mean and so many standard deviations more.
+
+    Sets of Jaccard similarity s have a cosine of 2s / (1 + s) at least, and a bit differs with angle / pi.
+    """
+    p, n = acos(2 * similarity / (1 + similarity)) / pi, 64 * LANES
+    return int(n * p + deviations * sqrt(n * p * (1 - p)))
+
+
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the shingles of lower-cased (A-Z) words; fewer words are one shingle."""
     w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return np.unique(_hashes(w, SHINGLE, 7))
+    return np.unique(_hashes(w, SHINGLE, SEEDS[0]))
 
 
-def parity(h: np.ndarray) -> np.ndarray:
-    """BITS words of parity bits. Two sets' bits differ in no more places than the sets have shingles apart."""
-    odd = np.bincount((h % np.uint64(64 * BITS)).astype(np.int64), minlength=64 * BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def lanes_of(h: np.ndarray) -> list[int]:
+    """The SimHash lanes of a set of shingles; those after the first remix its hashes."""
+    out = [_majority(h)]
+    for s in SEEDS[1:]:
+        x = (h ^ np.uint64(s * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0x94D049BB133111EB)
+        out.append(_majority(x ^ (x >> np.uint64(32))))
+    return out
 
 
-def prefix(h: np.ndarray, common: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The shingles of sorted h one of which any set of the similarity shares; those in sorted ``common`` come last."""
-    if len(common):
-        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        h = h[np.argsort(common[at] == h, kind="stable")]
-    return h[: len(h) - ceil(similarity * len(h) - _EPS) + 1]
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
 
 
-def _common(src: DataFrame) -> np.ndarray:
-    """Shingles of many texts, the most frequent MOST of them, sorted. They order prefixes and never leave one out."""
+def _fingerprinted(src: DataFrame) -> DataFrame:
+    """(id, tx, f, n, f0, ...): f names the set of shingles (or, of a wordless text, the text), n is its size."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [shingles(t) for t in pdf["t"]]
-            yield pd.DataFrame({"h": np.concatenate(sets).view(np.int64)})
+            out = {"id": pdf["id"], "tx": pdf["tx"], "f": [xxhash.xxh64_intdigest(h.tobytes()) - 2**63 if len(h) else x for h, x in zip(sets, pdf["tx"])], "n": [len(h) for h in sets]}
+            lanes = np.array([lanes_of(h) for h in sets], np.int64).reshape(len(pdf), LANES)
+            yield pd.DataFrame(out | {f"f{i}": lanes[:, i] for i in range(LANES)})
 
-    some = src.where(F.pmod("tx", F.lit(LOOKED)) == 0).select("t").mapInPandas(each, "h long").groupBy("h").agg(F.count("*").alias("n"))
-    got = some.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST).collect()
-    return np.sort(np.array([r["h"] for r in got], np.int64).view(np.uint64))
+    return src.mapInPandas(each, "id long, tx long, f long, n int, " + ", ".join(f"f{i} long" for i in range(LANES)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, tx, component_id): every row's class, named by its smallest id; tx is a hash of the text.
 
-    Classes are connected by pairs of the similarity. Equal texts are one before anything is compared, and equal
-    sets of shingles after that. Wordless and null texts are one class only with their own equals: they have no
-    words to compare. Null ids count as larger than any. An empty table gives an empty result.
+    Classes are connected by pairs of the similarity. Equal texts, and then equal sets of shingles, are one
+    before anything is compared. Wordless and null texts are one class only with their own equals: they have no
+    words to compare. Null ids count as larger than any. An empty table gives an empty result. Other columns
+    are not read.
     """
-    b = [f"b{i}" for i in range(BITS)]
+    spark = docs.sparkSession
+    cols = [f"f{i}" for i in range(LANES)]
     text = F.col(text_col).cast("string")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tx"), text.alias("t"))
-    common = docs.sparkSession.sparkContext.broadcast(_common(src))
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = [shingles(t) for t in pdf["t"]]
-            bits = np.array([parity(h) for h in sets], np.int64).reshape(len(pdf), BITS)
-            out = {"id": pdf["id"], "tx": pdf["tx"], "f": [xxhash.xxh64_intdigest(h.tobytes()) - 2**63 if len(h) else x for h, x in zip(sets, pdf["tx"])]}
-            out |= {"n": [len(h) for h in sets], "h": [h.view(np.int64) for h in sets], "p": [prefix(h, common.value, similarity).view(np.int64) for h in sets]}
-            yield pd.DataFrame(out | dict(zip(b, bits.T)))
-
-    schema = "id long, tx long, f long, n int, h array<long>, p array<long>, " + ", ".join(f"{x} long" for x in b)
-    rows = written(src.mapInPandas(each, schema), "shingles")
-    small = rows.where("n > 0").groupBy("f").agg(F.first("n").alias("n"), *(F.first(x).alias(x) for x in b))
-    filed = rows.where("n > 0").select(F.explode("p").alias("k"), "f").distinct()
-    sizes = filed.groupBy("k").agg(F.min("f").alias("a"), F.count("*").alias("m")).where("m > 1")
-    met = written(filed.join(sizes.select("k", "a"), "k"), "met")
-    star = met.where("f <> a").select("a", F.col("f").alias("b")).distinct()
-    tight = written(small.join(met.select("f").distinct(), "f", "left_semi"), "bits")
-    for side in "ab":
-        star = star.join(tight.select(*(F.col(x).alias(side + x if x != "f" else side) for x in tight.columns)), side)
-    apart = sum((F.bit_count(F.col("a" + x).bitwiseXOR(F.col("b" + x))) for x in b), F.lit(0))
-    star = star.where((F.least("an", "bn") >= similarity * F.greatest("an", "bn") - _EPS) & (apart <= _apart(F.col("an") + F.col("bn"), similarity)))
-    links = written(_similar(star.select("a", "b"), rows, similarity), "links")
-    label = written(components(links, "a", "b").withColumnRenamed("node", "f"), "label")
-
-    rest = met.select("k", "f").join(label, "f", "left").withColumn("label", F.coalesce("label", "f"))
-    split = rest.groupBy("k").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y").select("k", "m")
-    pairs = _apart_pairs(rest.join(split, "k").join(tight, "f"), b, similarity).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    more = _similar(pairs, rows, similarity)
-    for side in "ab":  # links between classes
-        more = more.join(label.select(F.col("f").alias(side), F.col("label").alias("l" + side)), side, "left").withColumn("l" + side, F.coalesce("l" + side, side))
-    joined = components(more.select("la", "lb"), "la", "lb").select(F.col("node").alias("label"), F.col("label").alias("joined"))
-
+    rows = written(_fingerprinted(src), "shingles")
+    worded = rows.where("n > 0").groupBy("f").agg(F.count("*").alias("copies"), F.min("tx").alias("tx"), *(F.first(c).alias(c) for c in cols))
+    classes = written(worded, "classes")
+    n, both = bit_statistics(classes.select(*cols), LANES)
+    label = classes.select("f", F.col("f").alias("label")).limit(0)
+    if n > 1:
+        plan = allocate(n, both, bits_apart(similarity, -2), PARTITIONS, most=4, probe_cost=ROW_COST)
+        most = bits_apart(similarity, 3)
+        check = lambda pairs: _similar(pairs, classes, src, similarity)
+        links = check(_stars(classes, plan, most))
+        label = components(links, "a", "b").withColumnRenamed("node", "f")
+        met, open_ = _met(classes, label, plan, most)
+        links = links.unionAll(check(met))
+        label = components(links, "a", "b").withColumnRenamed("node", "f")
+        if open_:
+            links = links.unionAll(check(_met(classes, label, plan, most, rest=True)[0]))
+            label = components(links, "a", "b").withColumnRenamed("node", "f")
     distinct = rows.groupBy("f").agg(F.min("id").alias("least")).join(label, "f", "left").withColumn("label", F.coalesce("label", "f"))
-    distinct = distinct.join(joined, "label", "left").select("f", "least", F.coalesce("joined", "label").alias("label"))
     named = distinct.select("f", "label").join(distinct.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("f", "component_id")
     return rows.select("id", "tx", "f").join(named, "f").select("id", "tx", "component_id")
 
 
-def _apart(total, similarity: float):
-    """Shingles that are in one of two sets only, at most, for sets of the similarity with ``total`` shingles together."""
-    return total * ((1 - similarity) / (1 + similarity)) + _EPS
+def _apart(a: list, b: list):
+    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)), F.lit(0))
+
+
+def _stars(classes: DataFrame, plan: Plan, most: int) -> DataFrame:
+    """(a, b): each class b with the nearest of the centres of its own partition values, if within ``most`` bits."""
+    cols = [f"f{i}" for i in range(LANES)]
+    own = filed(classes, Plan(plan.parts, (0,) * len(plan.parts), 0.0), LANES, ("f", "copies")).drop("flip")
+    centre = own.groupBy("p", "key").agg(F.max(F.struct("copies", "f", *cols)).alias("c"), F.count("*").alias("m")).where("m > 1").drop("m")
+    near = own.join(centre, ["p", "key"]).where(F.col("f") != F.col("c.f"))
+    near = near.withColumn("d", _apart([F.col(c) for c in cols], [F.col("c." + c) for c in cols])).where(F.col("d") <= most)
+    return near.groupBy(F.col("f").alias("b")).agg(F.min(F.struct("d", "c.f")).alias("m")).select(F.col("m.f").alias("a"), "b")
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity, counted in full."""
+def _met(classes: DataFrame, label: DataFrame, plan: Plan, most: int, rest: bool = False) -> tuple[DataFrame, bool]:
+    """((a, b), whether rows stay open): classes of different labels that meet in a bucket within ``most`` bits.
+
+    Of buckets over BUCKET rows, each row outside the largest label comes with its nearest only; where it had
+    more to choose from, it stays open. ``rest`` gives all pairs of just those buckets.
+    """
+    spark, cols = classes.sparkSession, [f"f{i}" for i in range(LANES)]
+    held = written(classes.select("f", *cols).join(label, "f", "left").withColumn("label", F.coalesce("label", "f")), "labelled")
+    earlier = [np.array(masks(part, LANES), np.uint64) for part in plan.parts]
+    reach = plan.thresholds
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _whole(batches):
+            p, flip, f, lab = (g[c].to_numpy() for c in ("p", "flip", "f", "label"))
+            bits = g[cols].to_numpy(np.int64).view(np.uint64)
+            new = np.flatnonzero((np.diff(g["key"].to_numpy()) != 0) | (np.diff(p) != 0)) + 1
+            start, end = np.r_[0, new], np.r_[new, len(g)]
+            found = [_large(f, lab, bits, s, e, most, rest) for s, e in zip(start, end) if e - s > BUCKET and (lab[s:e] != lab[s]).any()]
+            if not rest:
+                i, j = _small(start, end, lab, bits, most)
+                swap = f[i] > f[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                once = (flip[i] < flip[j]) | ((flip[i] == 0) & (flip[j] == 0))  # a pair meets under more values
+                for q, m in enumerate(earlier):  # and in more partitions; its first one counts
+                    once &= (p[i] <= q) | (np.bitwise_count((bits[i] ^ bits[j]) & m).sum(axis=1) > reach[q])
+                found.append((f[i[once]], f[j[once]], np.ones(int(once.sum()), bool)))
+            if found:
+                a, b, ok = (np.concatenate(x) for x in zip(*found))
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "settled": ok})
+
+    out, got = None, None
+    for parts in _dealt(plan):
+        some = Plan(plan.parts, tuple(t if q in parts else -1 for q, t in enumerate(plan.thresholds)), 0.0)
+        met = filed(held, some, LANES, ("f", "label")).repartition(tasks(spark), "p", "key").sortWithinPartitions("p", "key")
+        got = written(met.mapInPandas(each, "a long, b long, settled boolean"), "met")
+        out = got if out is None else out.unionAll(got)
+    return out.select("a", "b").distinct(), not rest and not out.where("not settled").isEmpty()
+
+
+def _dealt(plan: Plan) -> list[set[int]]:
+    """The partitions in groups that file about FILED rows of a fingerprint each."""
+    groups: list[set[int]] = [set()]
+    size = 0
+    for q, (part, t) in enumerate(zip(plan.parts, plan.thresholds)):
+        if t >= 0:
+            rows = 1 if t == 0 else 1 + len(part) ** ((t + 1) // 2)
+            if groups[-1] and size + rows > FILED:
+                groups, size = [*groups, set()], 0
+            groups[-1].add(q)
+            size += rows
+    return groups
+
+
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames of many whole buckets out of a stream sorted by (p, key)."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        last = (pdf["p"].to_numpy() == pdf["p"].iloc[-1]) & (pdf["key"].to_numpy() == pdf["key"].iloc[-1])
+        cut = len(pdf) - int(last.sum())
+        if cut or (held and (held[-1]["p"].iloc[-1] != pdf["p"].iloc[0] or held[-1]["key"].iloc[-1] != pdf["key"].iloc[0])):
+            whole = pd.concat([*held, pdf.iloc[:cut]])
+            if len(whole):
+                yield whole
+            held = []
+        held.append(pdf.iloc[cut:])
+    if held:
+        yield pd.concat(held)
+
+
+def _small(start: np.ndarray, end: np.ndarray, label: np.ndarray, bits: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): rows of one bucket of BUCKET rows or fewer, with different labels, within ``most`` bits."""
+    size = end - start
+    stop = np.repeat(np.where(size <= BUCKET, end, 0), size)
+    i, d, found = np.arange(len(label)), 1, []
+    while len(i := i[i + d < stop[i]]):
+        x = i[label[i] != label[i + d]]
+        x = x[np.bitwise_count(bits[x, 0] ^ bits[x + d, 0]) <= most // 2]  # a lane alone
+        x = x[np.bitwise_count(bits[x] ^ bits[x + d]).sum(axis=1) <= most]
+        found.append(np.stack([x, x + d]))
+        d += 1
+    return tuple(np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def _large(f: np.ndarray, label: np.ndarray, bits: np.ndarray, s: int, e: int, most: int, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(f, f, settled) of a large bucket: rows outside the largest label, with the nearest of another or with all."""
+    lab, b = label[s:e], bits[s:e]
+    names, number, count = np.unique(lab, return_inverse=True, return_counts=True)
+    outside = number != np.argmax(count)
+    a, other, settled = [], [], []
+    for x in np.flatnonzero(outside):
+        d = np.bitwise_count(b ^ b[x]).sum(axis=1).astype(np.int64)
+        at = np.flatnonzero((lab != lab[x]) & (d <= most))
+        if not len(at):
+            continue
+        ok = len(at) == 1
+        at = at[~outside[at] | (at > x)] if every else at[[np.argmin(d[at])]]
+        a.append(np.full(len(at), f[s + x]))
+        other.append(f[s + at])
+        settled.append(np.full(len(at), ok))
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(a or none), np.concatenate(other or none), np.concatenate(settled or none).astype(bool)
+
+
+def _similar(pairs: DataFrame, classes: DataFrame, src: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts have the similarity, by all shingles of both.
+
+    Each text travels once a pair, to a task that holds the other text: the one with more pairs, and that is
+    sent to one task for every MEMBERS of them.
+    """
+    spark = pairs.sparkSession
     pairs = written(pairs, "pairs")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("f")).distinct()
-    sets = written(rows.select("f", "h").join(used, "f", "left_semi").dropDuplicates(["f"]), "sets")
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("f").alias(side), F.col("h").alias("h" + side)), side)
-    both = F.size(F.array_intersect("ha", "hb"))
-    return pairs.where(both / (F.size("ha") + F.size("hb") - both) >= similarity).select("a", "b")
-
-
-def _apart_pairs(met: DataFrame, b: list[str], similarity: float) -> DataFrame:
-    """(a, b), a < b: what meets in a group, has different labels, and may have the similarity by sizes and bits."""
-    met = met.withColumn("parts", F.ceil(F.col("m") / BUCKET).cast("int"))
-    met = met.withColumn("own", F.pmod(F.xxhash64("f"), F.col("parts")).cast("int"))
-    met = met.withColumn("g", F.explode(F.expr("transform(sequence(0, parts - 1), j -> struct(least(own, j) as i, greatest(own, j) as j))")))
-    key = ["k", "i", "j"]
-    met = met.select("k", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "f", "label", "n", *b)
+    used = pairs.select(F.explode(F.array("a", "b")).alias("f")).groupBy("f").agg(F.count("*").alias("m"))
+    used = written(used.join(classes.select("f", "tx"), "f"), "used")
+    texts = written(src.select("tx", "t").join(used.select("f", "tx"), "tx").groupBy("f").agg(F.first("t").alias("t")), "texts")
+    m = used.select("f", "m")
+    pairs = pairs.join(m.toDF("a", "am"), "a").join(m.toDF("b", "bm"), "b")
+    turned = F.col("bm") > F.col("am")
+    pairs = pairs.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("am", "bm").alias("m"))
+    pairs = pairs.withColumn("k", F.ceil(F.col("m") / MEMBERS).cast("int"))
+    members = pairs.join(texts.toDF("b", "t"), "b").select("a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("s"), F.lit(1).alias("member"), "b", "t")
+    heads = pairs.groupBy("a").agg(F.max("k").alias("k")).select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("s"))
+    heads = heads.join(texts.toDF("a", "t"), "a").select("a", "s", F.lit(0).alias("member"), F.col("a").alias("b"), "t")
+    dealt = members.unionAll(heads).repartition(tasks(spark), "a", "s").sortWithinPartitions("a", "s", "member")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in sorted_groups(batches, key):
-            f, label, n = (g[c].to_numpy() for c in ("f", "label", "n"))
-            bits = g[b].to_numpy(np.int64).view(np.uint64)
-            for x in range(len(f) - 1):
-                y = slice(x + 1, None)
-                ok = (label[y] != label[x]) & (np.minimum(n[y], n[x]) >= similarity * np.maximum(n[y], n[x]) - _EPS)
-                at = x + 1 + np.flatnonzero(ok)
-                if len(at):
-                    at = at[np.bitwise_count(bits[at] ^ bits[x]).sum(axis=1) <= _apart(n[at] + n[x], similarity)]
-                if len(at):
-                    yield pd.DataFrame({"a": np.minimum(f[at], f[x]), "b": np.maximum(f[at], f[x])})
-
-    return met.repartition(*key).sortWithinPartitions(*key).mapInPandas(each, "a long, b long")
+        head = np.zeros(0, np.uint64)
+        for pdf in batches:
+            out = []
+            for a, b, member, t in zip(*(pdf[c].tolist() for c in ("a", "b", "member", "t"))):
+                if not member:
+                    head = shingles(t)
+                elif jaccard(head, shingles(t)) >= similarity - _EPS:
+                    out.append((a, b))
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
+
+    with batches_of(spark, 2000):
+        return written(dealt.mapInPandas(each, "a long, b long"), "links")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Words are maximal runs of other characters; ``bytes.split()`` splits at exactly these.
 SEPARATORS = " \t\n\x0b\x0c\r"
+#: Shuffle files go once the query that made them has ended; a written table is what lasts.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,20 +41,32 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with setting(spark, CLEANUP, "true"):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks work gets whose bytes do not tell its cost (AQE merges partitions by bytes)."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows for the jobs inside, for rows that can be large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for the jobs inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the jobs inside, for rows that can be large."""
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)):
+        yield
 
 
 def words_of(text: str | None) -> list[bytes]:

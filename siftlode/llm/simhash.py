@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.llm.components import components
-from siftlode.llm.shared import sorted_groups, written
+from siftlode.llm.shared import sorted_groups, tasks, written
 
 #: Shingles whose bits are unpacked at a time; bounds memory on very long texts.
 BLOCK = 32768
@@ -98,7 +99,7 @@ def bit_statistics(fps: DataFrame, lanes: int) -> tuple[int, np.ndarray]:
         n, both = 0, np.zeros((width, width))
         for pdf in batches:
             for i in range(0, len(pdf), 4096):
-                x = np.unpackbits(pdf[cols].iloc[i : i + 4096].to_numpy(np.int64).astype(">i8").view(np.uint8).reshape(-1, 8 * lanes), axis=1).astype(np.float32)
+                x = np.unpackbits(pdf[cols].iloc[i : i + 4096].to_numpy(np.int64).astype(">i8", order="C").view(np.uint8).reshape(-1, 8 * lanes), axis=1).astype(np.float32)
                 both += x.T @ x
                 n += len(x)
         if n:
@@ -120,19 +121,25 @@ def grouped_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     corr = np.abs(both / max(n, 1) - np.outer(p, p)) / np.outer(sd, sd)
     np.fill_diagonal(corr, 0)
-    left, parts = list(range(len(p))), []
+    left, parts = np.ones(len(p), bool), []
     for k in range(m):
         size = round(len(p) * (k + 1) / m) - round(len(p) * k / m)
-        part = [max(left, key=lambda b: (corr[b, left].sum(), -b))]
-        left.remove(part[0])
+        tied = corr[:, left].sum(axis=1)
+        part: list[int] = []
         while len(part) < size:
-            best = max(left, key=lambda b: (corr[b, part].sum(), -b))
+            best = int(np.argmax(np.where(left, tied, -1)))
+            tied = corr[best].copy() if not part else tied + corr[best]
             part.append(best)
-            left.remove(best)
+            left[best] = False
         parts.append(part)
     return parts
 
 
+def radius(threshold: int) -> int:
+    """Flips within which a row is filed: both rows of a pair are, so two rows meet at up to twice as many."""
+    return (threshold + 1) // 2
+
+
 def distance_law(part: list[int], n: int, both: np.ndarray, most: int) -> np.ndarray:
     """P(two random fingerprints differ in exactly d bits of the partition), d = 0..most, as a chain over its bits."""
     p = np.diag(both) / max(n, 1)
@@ -160,16 +167,17 @@ def distance_law(part: list[int], n: int, both: np.ndarray, most: int) -> np.nda
 def allocate(n: int, both: np.ndarray, tau: int, partitions: tuple[int, ...], most: int = 2, probe_cost: float = 1.0) -> Plan:
     """The cheapest partitions and thresholds with sum(t + 1) = tau + 1.
 
-    A partition's cost is the rows that file and probe each fingerprint plus the pairs expected to meet.
+    A partition's cost is the rows that file each fingerprint within the radius of the threshold, times
+    ``probe_cost``, plus the pairs expected to meet.
     """
     best: Plan | None = None
     for m in partitions:
         parts = grouped_bits(n, both, m)
         price = []
         for part in parts:
-            law, rows, row = distance_law(part, n, both, most), 0.0, [0.0]
+            law, row = distance_law(part, n, both, most), [0.0]
             for t in range(most + 1):
-                rows += float(len(list(combinations(range(len(part)), t))))
+                rows = sum(comb(len(part), r) for r in range(radius(t) + 1))
                 row.append(probe_cost * n * rows + law[: t + 1].sum() * n * n / 2)
             price.append(row)
         table: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
@@ -185,30 +193,36 @@ def allocate(n: int, both: np.ndarray, tau: int, partitions: tuple[int, ...], mo
     return best
 
 
-def _filed(fps: DataFrame, plan: Plan, lanes: int) -> DataFrame:
-    """(p, key, f0, ...): a row for each partition value that a fingerprint has or probes."""
-    out = None
+def masks(part: tuple[int, ...], lanes: int) -> list[int]:
+    """The bits of a partition in each lane."""
+    out = [0] * lanes
+    for b in part:
+        out[b // 64] |= 1 << (63 - b % 64)
+    return out
+
+
+def filed(fps: DataFrame, plan: Plan, lanes: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(p, key, flip, f0, ..., kept columns): a row for each value of a partition within the radius of a row's own.
+
+    flip is 0 for the own value and else numbers the flipped bits, fewer first.
+    """
+    out, cols = None, [f"f{i}" for i in range(lanes)]
     for p, (part, t) in enumerate(zip(plan.parts, plan.thresholds)):
         if t < 0:
             continue
-        masks = [0] * lanes
-        for b in part:
-            masks[b // 64] |= 1 << (63 - b % 64)
-        keys = [F.col(f"f{i}").bitwiseAND(F.lit(signed(m)).cast("long")) for i, m in enumerate(masks)]
-        flips = [[0] * lanes]
-        for r in range(1, t + 1):
-            for bits in combinations(part, r):
-                f = [0] * lanes
-                for b in bits:
-                    f[b // 64] |= 1 << (63 - b % 64)
-                flips.append(f)
-        rows = fps.withColumn("p", F.lit(p))
+        mask = masks(part, lanes)
+        keys = [F.col(c).bitwiseAND(F.lit(signed(m)).cast("long")) for c, m in zip(cols, mask)]
+        flips = [masks(bits, lanes) for r in range(radius(t) + 1) for bits in combinations(part, r)]
+        rows = fps
         if len(flips) > 1:
-            rows = rows.withColumn("x", F.explode(F.array(*(F.array(*(F.lit(signed(v)).cast("long") for v in f)) for f in flips))))
+            flipped = F.array(*(F.array(*(F.lit(signed(v)).cast("long") for v in f)) for f in flips))
+            rows = rows.select("*", F.posexplode(flipped).alias("flip", "x"))
             keys = [k.bitwiseXOR(F.col("x")[i]) for i, k in enumerate(keys)]
+        else:
+            rows = rows.withColumn("flip", F.lit(0))
         # the lanes a partition touches make one key; a clash only adds pairs that the full comparison rejects
-        used = [k for k, m in zip(keys, masks) if m]
-        rows = rows.withColumn("key", used[0] if len(used) == 1 else F.xxhash64(*used)).select("p", "key", *(f"f{i}" for i in range(lanes)))
+        used = [k for k, m in zip(keys, mask) if m]
+        rows = rows.withColumn("key", used[0] if len(used) == 1 else F.xxhash64(*used)).select(F.lit(p).alias("p"), "key", "flip", *cols, *keep)
         out = rows if out is None else out.unionAll(rows)
     return out
 
@@ -242,7 +256,7 @@ def links(fps: DataFrame, tau: int, plan: Plan, lanes: int = 1) -> DataFrame:
     Either way no pair is lost.
     """
     cols = [f"f{i}" for i in range(lanes)]
-    rows = _filed(fps, plan, lanes)
+    rows = filed(fps, plan, lanes).drop("flip")
     sizes = rows.groupBy("p", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = written(rows.join(sizes, ["p", "key"]), "buckets")
     small = met.where(F.col("n") <= BUCKET).select("p", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), *cols)
@@ -274,7 +288,7 @@ def links(fps: DataFrame, tau: int, plan: Plan, lanes: int = 1) -> DataFrame:
             yield pd.DataFrame(np.vstack(found), columns=names)
 
     names = [f"a{i}" for i in range(lanes)] + [f"b{i}" for i in range(lanes)]
-    return met.repartition("p", "key", "i", "j").sortWithinPartitions("p", "key", "i", "j").mapInPandas(each, ", ".join(f"{c} long" for c in names))
+    return met.repartition(tasks(fps.sparkSession), "p", "key", "i", "j").sortWithinPartitions("p", "key", "i", "j").mapInPandas(each, ", ".join(f"{c} long" for c in names))
 
 
 def simhash_groups(

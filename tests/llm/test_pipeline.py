@@ -90,21 +90,43 @@ def test_no_near_copy_is_lost(spark):
     assert sum(near) > 120 and all(p for p, n in zip(partners(spark, texts), near) if n)
 
 
-def test_bits_and_prefix_keep_every_similar_pair():
+def test_fingerprints_are_as_far_apart_as_the_similarity_says():
     r = np.random.default_rng(4)
-    for _ in range(300):
-        n, m = int(r.integers(1, 400)), int(r.integers(0, 60))
-        both, a, b = np.split(r.permutation(np.unique(r.integers(0, 2**63, n + 2 * m, np.uint64))), [n, n + m])
-        a, b = np.sort(np.concatenate([both, a])), np.sort(np.concatenate([both, b]))
-        apart = len(a) + len(b) - 2 * n
-        assert np.bitwise_count((neardup.parity(a) ^ neardup.parity(b)).view(np.uint64)).sum() <= apart
-        if n / (n + apart) >= 0.8:
-            common = np.sort(r.choice(both, len(both) // 2))
-            assert len(np.intersect1d(neardup.prefix(a, common), neardup.prefix(b, common)))
+    far = []
+    for _ in range(200):
+        both, a, b = np.split(r.integers(0, 2**63, 450, np.uint64), [400, 425])
+        x, y = (np.array(neardup.lanes_of(np.sort(np.concatenate([both, s]))), np.int64).view(np.uint64) for s in (a, b))
+        far.append(int(np.bitwise_count(x ^ y).sum()))
+    s = 400 / 450
+    assert abs(np.mean(far) - neardup.bits_apart(s, 0)) < 2
+    assert max(far) <= neardup.bits_apart(s, 4) and min(far) >= neardup.bits_apart(s, -4)
+
+
+def test_every_pair_within_the_thresholds_meets_once(spark):
+    r = np.random.default_rng(7)
+    base = r.integers(-(2**63), 2**63, (60, 4), np.int64)
+    rows = [b for b in base]
+    for b in base:
+        for k in (1, 9, 20, 27):
+            x = b.copy()
+            for bit in r.choice(256, k, replace=False).tolist():
+                x[bit // 64] ^= np.array(1 << (bit % 64), np.uint64).view(np.int64)
+            rows.append(x)
+    classes = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(rows)], "f long, f0 long, f1 long, f2 long, f3 long")
+    n, both = neardup.bit_statistics(classes.select("f0", "f1", "f2", "f3"), 4)
+    plan = neardup.allocate(n, both, 27, (12, 16), most=4, probe_cost=100.0)
+    assert sum(t + 1 for t in plan.thresholds) == 28 and len(set(plan.thresholds)) > 1
+    none = classes.selectExpr("f", "f as label").limit(0)
+    got = [(p.a, p.b) for p in neardup._met(classes, none, plan, 56)[0].collect()]
+    bits = np.array(rows).view(np.uint64)
+    near = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if np.bitwise_count(bits[i] ^ bits[j]).sum() <= 27}
+    assert len(got) == len(set(got)) and near <= set(got) and len(near) >= 240
 
 
 def test_pairs_apart_in_a_group_meet(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BUCKET", 3)
+    monkeypatch.setattr(neardup, "MEMBERS", 2)
+    monkeypatch.setattr(neardup, "FILED", 20)
     r = random.Random(9)
     t = prose(r, 400, "h").split()
     texts = [" ".join(t[4 * i : 4 * i + 200]) for i in range(40)]  # neighbours up to 5 steps are near, the ends are not
