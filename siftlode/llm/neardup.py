@@ -14,7 +14,7 @@ largest class with its nearest neighbour. Only where that fails is such a row co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import acos, pi, sqrt
 
 import numpy as np
@@ -36,7 +36,10 @@ LANES = len(SEEDS)
 PARTITIONS, ROW_COST, FILED = tuple(range(10, 21)), 100.0, 64
 #: Rows of a bucket all pairs of which are compared; members that are verified against a text in one task.
 BUCKET, MEMBERS = 256, 256
+#: 64-bit words of parity bits of a set, which rule pairs of large buckets out.
+BITS = 8
 _EPS = 1e-9
+COLS, ODD = [f"f{i}" for i in range(LANES)], [f"b{i}" for i in range(BITS)]
 
 
 def bits_apart(similarity: float, deviations: float) -> int:
@@ -65,6 +68,12 @@ def lanes_of(h: np.ndarray) -> list[int]:
     return out
 
 
+def parity(h: np.ndarray) -> np.ndarray:
+    """Bit h mod 64 BITS is how many of the hashes fall on it, mod 2: two sets differ in as many elements at least."""
+    odd = np.bincount((h % np.uint64(64 * BITS)).astype(np.int64), minlength=64 * BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(1, len(a) + len(b) - both)
@@ -78,9 +87,10 @@ def _fingerprinted(src: DataFrame) -> DataFrame:
             sets = [shingles(t) for t in pdf["t"]]
             out = {"id": pdf["id"], "tx": pdf["tx"], "f": [xxhash.xxh64_intdigest(h.tobytes()) - 2**63 if len(h) else x for h, x in zip(sets, pdf["tx"])], "n": [len(h) for h in sets]}
             lanes = np.array([lanes_of(h) for h in sets], np.int64).reshape(len(pdf), LANES)
-            yield pd.DataFrame(out | {f"f{i}": lanes[:, i] for i in range(LANES)})
+            bits = np.array([parity(h) for h in sets], np.int64).reshape(len(pdf), BITS)
+            yield pd.DataFrame(out | {f"f{i}": lanes[:, i] for i in range(LANES)} | {f"b{i}": bits[:, i] for i in range(BITS)})
 
-    return src.mapInPandas(each, "id long, tx long, f long, n int, " + ", ".join(f"f{i} long" for i in range(LANES)))
+    return src.mapInPandas(each, "id long, tx long, f long, n int, " + ", ".join(f"{c} long" for c in (*COLS, *ODD)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -92,13 +102,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are not read.
     """
     spark = docs.sparkSession
-    cols = [f"f{i}" for i in range(LANES)]
     text = F.col(text_col).cast("string")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tx"), text.alias("t"))
     rows = written(_fingerprinted(src), "shingles")
-    worded = rows.where("n > 0").groupBy("f").agg(F.count("*").alias("copies"), F.min("tx").alias("tx"), *(F.first(c).alias(c) for c in cols))
+    worded = rows.where("n > 0").groupBy("f").agg(F.count("*").alias("copies"), F.min("tx").alias("tx"), *(F.first(c).alias(c) for c in ("n", *COLS, *ODD)))
     classes = written(worded, "classes")
-    n, both = bit_statistics(classes.select(*cols), LANES)
+    n, both = bit_statistics(classes.select(*COLS), LANES)
     label = classes.select("f", F.col("f").alias("label")).limit(0)
     if n > 1:
         plan = allocate(n, both, bits_apart(similarity, -2), PARTITIONS, most=4, probe_cost=ROW_COST)
@@ -106,14 +115,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         check = lambda pairs: _similar(pairs, classes, src, similarity)
         links = check(_stars(classes, plan, most))
         label = components(links, "a", "b").withColumnRenamed("node", "f")
-        met, open_ = _met(classes, label, plan, most)
+        met, open_ = _met(classes, label, plan, most, similarity)
         links = links.unionAll(check(met))
         label = components(links, "a", "b").withColumnRenamed("node", "f")
         if open_:
-            links = links.unionAll(check(_met(classes, label, plan, most, rest=True)[0]))
+            links = links.unionAll(check(_met(classes, label, plan, most, similarity, rest=True)[0]))
             label = components(links, "a", "b").withColumnRenamed("node", "f")
     distinct = rows.groupBy("f").agg(F.min("id").alias("least")).join(label, "f", "left").withColumn("label", F.coalesce("label", "f"))
-    named = distinct.select("f", "label").join(distinct.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("f", "component_id")
+    least = written(distinct.groupBy("label").agg(F.min("least").alias("component_id")), "least")
+    named = distinct.select("f", "label").join(least, "label").select("f", "component_id")
     return rows.select("id", "tx", "f").join(named, "f").select("id", "tx", "component_id")
 
 
@@ -123,32 +133,37 @@ def _apart(a: list, b: list):
 
 def _stars(classes: DataFrame, plan: Plan, most: int) -> DataFrame:
     """(a, b): each class b with the nearest of the centres of its own partition values, if within ``most`` bits."""
-    cols = [f"f{i}" for i in range(LANES)]
     own = filed(classes, Plan(plan.parts, (0,) * len(plan.parts), 0.0), LANES, ("f", "copies")).drop("flip")
-    centre = own.groupBy("p", "key").agg(F.max(F.struct("copies", "f", *cols)).alias("c"), F.count("*").alias("m")).where("m > 1").drop("m")
+    centre = own.groupBy("p", "key").agg(F.max(F.struct("copies", "f", *COLS)).alias("c"), F.count("*").alias("m")).where("m > 1").drop("m")
     near = own.join(centre, ["p", "key"]).where(F.col("f") != F.col("c.f"))
-    near = near.withColumn("d", _apart([F.col(c) for c in cols], [F.col("c." + c) for c in cols])).where(F.col("d") <= most)
+    near = near.withColumn("d", _apart([F.col(c) for c in COLS], [F.col("c." + c) for c in COLS])).where(F.col("d") <= most)
     return near.groupBy(F.col("f").alias("b")).agg(F.min(F.struct("d", "c.f")).alias("m")).select(F.col("m.f").alias("a"), "b")
 
 
-def _met(classes: DataFrame, label: DataFrame, plan: Plan, most: int, rest: bool = False) -> tuple[DataFrame, bool]:
+def _met(classes: DataFrame, label: DataFrame, plan: Plan, most: int, similarity: float, rest: bool = False) -> tuple[DataFrame, bool]:
     """((a, b), whether rows stay open): classes of different labels that meet in a bucket within ``most`` bits.
 
     Of buckets over BUCKET rows, each row outside the largest label comes with its nearest only; where it had
-    more to choose from, it stays open. ``rest`` gives all pairs of just those buckets.
+    more to choose from, it stays open. ``rest`` gives all pairs of just those buckets, less those whose sizes and
+    parity bits rule the similarity out.
     """
-    spark, cols = classes.sparkSession, [f"f{i}" for i in range(LANES)]
-    held = written(classes.select("f", *cols).join(label, "f", "left").withColumn("label", F.coalesce("label", "f")), "labelled")
+    spark, keep = classes.sparkSession, ("n", *ODD) if rest else ()
+    held = written(classes.select("f", *COLS, *keep).join(label, "f", "left").withColumn("label", F.coalesce("label", "f")), "labelled")
     earlier = [np.array(masks(part, LANES), np.uint64) for part in plan.parts]
     reach = plan.thresholds
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in _whole(batches):
             p, flip, f, lab = (g[c].to_numpy() for c in ("p", "flip", "f", "label"))
-            bits = g[cols].to_numpy(np.int64).view(np.uint64)
+            bits = g[COLS].to_numpy(np.int64).view(np.uint64)
+            n, odd = (g["n"].to_numpy(), g[ODD].to_numpy(np.int64).view(np.uint64)) if rest else (None, None)
+
+            def ruled_out(x: int, y: np.ndarray) -> np.ndarray:
+                return np.bitwise_count(odd[y] ^ odd[x]).sum(axis=1) > (n[y] + n[x]) * ((1 - similarity) / (1 + similarity)) + _EPS
+
             new = np.flatnonzero((np.diff(g["key"].to_numpy()) != 0) | (np.diff(p) != 0)) + 1
             start, end = np.r_[0, new], np.r_[new, len(g)]
-            found = [_large(f, lab, bits, s, e, most, rest) for s, e in zip(start, end) if e - s > BUCKET and (lab[s:e] != lab[s]).any()]
+            found = [_large(f, lab, bits, s, e, most, ruled_out if rest else None) for s, e in zip(start, end) if e - s > BUCKET and (lab[s:e] != lab[s]).any()]
             if not rest:
                 i, j = _small(start, end, lab, bits, most)
                 swap = f[i] > f[j]
@@ -164,7 +179,7 @@ def _met(classes: DataFrame, label: DataFrame, plan: Plan, most: int, rest: bool
     out, got = None, None
     for parts in _dealt(plan):
         some = Plan(plan.parts, tuple(t if q in parts else -1 for q, t in enumerate(plan.thresholds)), 0.0)
-        met = filed(held, some, LANES, ("f", "label")).repartition(tasks(spark), "p", "key").sortWithinPartitions("p", "key")
+        met = filed(held, some, LANES, ("f", "label", *keep)).repartition(tasks(spark), "p", "key").sortWithinPartitions("p", "key")
         got = written(met.mapInPandas(each, "a long, b long, settled boolean"), "met")
         out = got if out is None else out.unionAll(got)
     return out.select("a", "b").distinct(), not rest and not out.where("not settled").isEmpty()
@@ -216,8 +231,8 @@ def _small(start: np.ndarray, end: np.ndarray, label: np.ndarray, bits: np.ndarr
     return tuple(np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64),) * 2
 
 
-def _large(f: np.ndarray, label: np.ndarray, bits: np.ndarray, s: int, e: int, most: int, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(f, f, settled) of a large bucket: rows outside the largest label, with the nearest of another or with all."""
+def _large(f: np.ndarray, label: np.ndarray, bits: np.ndarray, s: int, e: int, most: int, ruled_out: Callable | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(f, f, settled) of a large bucket: rows outside the largest label, with the nearest of another label, or with all that are not ruled out."""
     lab, b = label[s:e], bits[s:e]
     names, number, count = np.unique(lab, return_inverse=True, return_counts=True)
     outside = number != np.argmax(count)
@@ -228,7 +243,11 @@ def _large(f: np.ndarray, label: np.ndarray, bits: np.ndarray, s: int, e: int, m
         if not len(at):
             continue
         ok = len(at) == 1
-        at = at[~outside[at] | (at > x)] if every else at[[np.argmin(d[at])]]
+        if ruled_out:
+            at = at[~outside[at] | (at > x)]
+            at = at[~ruled_out(s + x, s + at)]
+        else:
+            at = at[[np.argmin(d[at])]]
         a.append(np.full(len(at), f[s + x]))
         other.append(f[s + at])
         settled.append(np.full(len(at), ok))

@@ -308,7 +308,7 @@ def simhash_groups(
     found = links(distinct.select("f0"), tau, allocate(n, both, tau, partitions))
     label = components(found, "a0", "b0").withColumnRenamed("node", "f0")
     named = distinct.join(label, "f0", "left").withColumn("label", F.coalesce("label", "f0"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    least = written(named.groupBy("label").agg(F.min("least").alias("component_id")), "least")
     named = named.join(least, "label").select("f0", "component_id")
     return rows.join(named, "f0").select("id", "f0", "component_id")
 

@@ -117,7 +117,7 @@ def test_every_pair_within_the_thresholds_meets_once(spark):
     plan = neardup.allocate(n, both, 27, (12, 16), most=4, probe_cost=100.0)
     assert sum(t + 1 for t in plan.thresholds) == 28 and len(set(plan.thresholds)) > 1
     none = classes.selectExpr("f", "f as label").limit(0)
-    got = [(p.a, p.b) for p in neardup._met(classes, none, plan, 56)[0].collect()]
+    got = [(p.a, p.b) for p in neardup._met(classes, none, plan, 56, 0.8)[0].collect()]
     bits = np.array(rows).view(np.uint64)
     near = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if np.bitwise_count(bits[i] ^ bits[j]).sum() <= 27}
     assert len(got) == len(set(got)) and near <= set(got) and len(near) >= 240
