@@ -54,7 +54,37 @@ def slug(x: str | Column) -> Column:
 
 def last_parenthesis(x: str | Column) -> Column:
     """What stands in the last pair of parentheses, '' without one."""
-    return F.regexp_extract(_c(x), r"\(([^()]*)\)[^()]*$", 1)
+    return trim_all(F.regexp_extract(_c(x), r"\(([^()]*)\)[^(]*$", 1))
+
+
+def trailing_label(x: str | Column) -> Column:
+    """The text in parentheses at the end, behind a blank, if it is not empty; else the trimmed name."""
+    t = trim_all(x)
+    return F.coalesce(non_blank(F.regexp_extract(t, r"(?s)^.+\s+\(([^)]*)\)$", 1)), t)
+
+
+def lookup_name(x: str | Column, longest: int = 20) -> Column:
+    """The trimmed name without a short parenthesis at its end that is behind a blank and holds no comma."""
+    t = trim_all(x)
+    inner = F.regexp_extract(t, r"(?s)^.+\s+\(([^)]*)\)$", 1)
+    short = t.rlike(r"(?s)^.+\s+\([^)]*\)$") & (F.length(inner) <= longest) & ~inner.contains(",")
+    return F.when(short, trim_all(F.regexp_replace(t, r"\s+\([^)]*\)$", ""))).otherwise(t)
+
+
+def display_name(x: str | Column, shared: str | Column, blank: str = "Unknown") -> Column:
+    """The abbreviation in the last parentheses unless it is shared with another name; else the whole name."""
+    short = last_parenthesis(x)
+    return F.when((short != "") & ~_c(shared), short).otherwise(F.coalesce(non_blank(x), F.lit(blank)))
+
+
+def yes_no(x: str | Column) -> Column:
+    """A flag as 'yes' or 'no', '' where it is unknown."""
+    return F.coalesce(F.when(_c(x), F.lit("yes")).when(~_c(x), F.lit("no")), F.lit(""))
+
+
+def list_cell(x: str | Column, sep: str = "; ") -> Column:
+    """An array of texts as one cell, blank elements left out; '' for null."""
+    return F.coalesce(F.array_join(F.filter(_c(x), lambda v: non_blank(v).isNotNull()), sep), F.lit(""))
 
 
 def ellipsis(x: str | Column, n: int) -> Column:
@@ -76,9 +106,15 @@ def is_digits(x: str | Column) -> Column:
 
 
 def mentions(x: str | Column, short: str) -> Column:
-    """Whether a name is an abbreviation, holds it in parentheses, or holds it as a word of its own."""
+    """Whether a name is an abbreviation, holds it in parentheses, or holds it as a word of its own.
+
+    A word begins after white space, a comma or a parenthesis: '2,6-PDA' and 'BPDA' do not mention 'PDA'.
+    """
+    short = short.strip()
+    if not short:
+        return F.lit(False)
     t, q = trim_all(_c(x)), "\\Q" + short + "\\E"
-    return F.coalesce((t == short) | t.contains(f"({short})") | t.contains(f"({short}-") | t.rlike(rf"(^|[^A-Za-z0-9]){q}($|[^A-Za-z0-9])"), F.lit(False))
+    return F.coalesce((t == short) | t.contains(f"({short})") | t.contains(f"({short}-") | t.rlike(rf"(^|[\s(,]){q}([\s),.\-]|$)"), F.lit(False))
 
 
 def flags_array(x: str | Column) -> Column:
@@ -113,11 +149,12 @@ def one_hot(x: str | Column, values: list) -> Column:
 
 
 def lookup(x: str | Column, table: dict, default) -> Column:
-    """A value of a small fixed table, or the default."""
+    """A value of a small fixed table, or the default (None: null)."""
     m = F.create_map(*(F.lit(a) for kv in table.items() for a in kv))
-    return F.coalesce(F.try_element_at(m, _c(x)), F.lit(default))
+    return F.coalesce(F.try_element_at(m, _c(x)), F.lit(default)) if default is not None else F.try_element_at(m, _c(x))
 
 
 def uniform(seed: int, *keys: str | Column) -> Column:
-    """A number in [0, 1) from a seeded hash of the keys: the same on every run and layout."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *(_c(k) for k in keys)), 11) / float(1 << 53)
+    """A number in [0, 1) from the MD5 of the seed and the keys as text: the same on every run, layout and engine."""
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(_c(k).cast("string") for k in keys))), 1, 13)
+    return F.conv(digits, 16, 10).cast("bigint") / float(1 << 52)

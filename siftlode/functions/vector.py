@@ -21,7 +21,8 @@ def l2_normalize(v: str | Column) -> Column:
 
 
 def centered(v: str | Column) -> Column:
-    """The vector less its mean; an empty vector stays empty."""
+    """n points (arrays of one length) less their mean on each axis; no points stay none."""
     v = F.col(v) if isinstance(v, str) else v
-    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
-    return F.transform(v, lambda x: x - mean)
+    axes = F.sequence(F.lit(0), F.size(v[0]) - 1)
+    mean = F.transform(axes, lambda i: F.aggregate(v, F.lit(0.0), lambda s, p: s + F.get(p, i)) / F.size(v))
+    return F.when(F.size(v) == 0, v).otherwise(F.transform(v, lambda p: F.zip_with(p, mean, lambda x, m: x - m)))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftlode.functions.text import uniform
+
 
 def mirrored(edges: DataFrame) -> DataFrame:
     """Every edge in both directions, once."""
@@ -37,31 +39,45 @@ def degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy("g", F.col("s").alias("v")).agg(F.count("*").alias("degree"))
 
 
-def masked_subgraph(edges: DataFrame, share: float = 0.25, seed: int = 0) -> DataFrame:
-    """The edges (g, s, d) left after a connected set of about ``share`` of each graph's vertices is masked.
+def masked_vertices(edges: DataFrame, share: float = 0.25, seed: int = 0) -> DataFrame:
+    """(g, v): a connected set of about ``share`` of each graph's vertices, none of graphs of two or fewer.
 
-    The set grows breadth first from a vertex drawn by a seeded hash of the graph; edges that touch it go, but
-    the first edge stays if none would. One graph is a group: its size is that of a molecule.
+    The set grows breadth first, smaller neighbours first, from a vertex drawn by a seeded hash of the graph, and
+    leaves two vertices at least. One graph is a group: its size is that of a molecule.
     """
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict = {}
         for a, b in zip(pdf["s"], pdf["d"]):
             near.setdefault(a, set()).add(b)
             near.setdefault(b, set()).add(a)
         nodes = sorted(near)
-        start = nodes[int(pdf["__h"].iloc[0] % len(nodes))]
-        queue, gone = [start], set()
+        n = min(max(1, int(len(nodes) * share)), len(nodes) - 2)
+        queue = [nodes[int(pdf["__u"].iloc[0] * len(nodes))]] if n > 0 else []
         for x in queue:
-            if len(gone) >= max(1, int(share * len(nodes))):
+            if len(queue) >= n:
                 break
-            gone.add(x)
-            queue += sorted(near[x] - set(queue))
-        left = pdf[~(pdf["s"].isin(gone) | pdf["d"].isin(gone))]
-        return (left if len(left) else pdf.sort_values(["s", "d"]).iloc[:1])[["g", "s", "d"]]
+            queue += sorted(near[x] - set(queue))[: n - len(queue)]
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "v": queue})
+
+    h = edges.select("g", "s", "d").withColumn("__u", uniform(seed, "g"))
+    kinds = dict(edges.dtypes)
+    return h.groupBy("g").applyInPandas(grow, f"g {kinds['g']}, v {kinds['s']}")
+
 
-    h = edges.select("g", "s", "d").withColumn("__h", F.pmod(F.xxhash64(F.lit(seed), "g"), F.lit(2**31)))
-    return h.groupBy("g").applyInPandas(cut, h.drop("__h").schema)
+def masked_subgraph(edges: DataFrame, share: float = 0.25, seed: int = 0, order: list[str] | None = None) -> DataFrame:
+    """The edges left after ``masked_vertices`` are masked; the first by ``order`` stays where none would.
+
+    The features of the masked vertices are the caller's: ``masked_vertices`` names them.
+    """
+    gone = masked_vertices(edges, share, seed)
+    mark = edges
+    for c in ("s", "d"):
+        mark = mark.join(gone.select("g", F.col("v").alias(c), F.lit(True).alias("__" + c)), ["g", c], "left")
+    mark = mark.withColumn("__gone", F.coalesce("__s", "__d", F.lit(False)))
+    least = mark.groupBy("g").agg(F.min("__gone").alias("__none"), F.min(F.struct(*(order or ["s", "d"]))).alias("__first"))
+    first = F.struct(*(order or ["s", "d"])) == F.col("__first")
+    return mark.join(least, "g").where(~F.col("__gone") | (F.col("__none") & first)).select(*edges.columns)
 
 
 def assigned(pairs: DataFrame, keys: list[str], a: str, b: str, cost: str) -> DataFrame:

@@ -17,6 +17,12 @@ def exact(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(uniform(seed, *keys), *keys).limit(n)
 
 
+def exact_fraction(df: DataFrame, keys: list[str], fraction: float, seed: int = 0) -> DataFrame:
+    """floor(rows * fraction) rows without replacement, in hash order."""
+    split = exact_split(df, keys, {"in": fraction, "out": 1 - fraction}, seed)
+    return split.where("split = 'in'").drop("split")
+
+
 def exact_split(df: DataFrame, keys: list[str], ratios: dict[str, float], seed: int = 0, buckets: int = 4096) -> DataFrame:
     """df with ``split``: parts of floor(n * ratio) rows in hash order, the last part takes the rest.
 

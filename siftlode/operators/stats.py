@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,9 +17,15 @@ def group_stats(df: DataFrame, keys: list, value: str, min_size: int = 1) -> Dat
 
 def share_with_total(df: DataFrame, key: str, total: str = "TOTAL") -> DataFrame:
     """Counts and percentages by key, and a total row."""
-    c = df.groupBy(key).agg(F.count("*").alias("n"))
-    c = c.withColumn("share", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()))
-    return c.unionByName(df.agg(F.count("*").alias("n")).select(F.lit(total).alias(key), "n", F.lit(100.0).alias("share")))
+    every = df.agg(F.count("*").alias("n"))
+    c = df.groupBy(key).agg(F.count("*").alias("n")).withColumn("share", 100.0 * F.col("n") / every.scalar())
+    return c.unionByName(every.select(F.lit(total).alias(key), "n", F.lit(100.0).alias("share")))
+
+
+def batch_mean_error(df: DataFrame, target: str, predicted: str, row: str, size: int) -> DataFrame:
+    """The mean of the mean absolute errors of batches of ``size`` rows by row number (from 0); a short last batch counts as much."""
+    b = df.groupBy(F.floor(F.col(row) / size)).agg(F.avg(F.abs(F.col(predicted) - F.col(target))).alias("e"))
+    return b.agg(F.avg("e").alias("batch_mae"))
 
 
 def set_label(flags: dict[str, Column], order: list[str]) -> Column:

@@ -2,38 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlode.functions import text, vector
 from siftlode.operators import clean, filters, graph, sample, stats
 from siftlode.operators import knn as nn
+from siftlode.plans.registered import query
 from siftlode.session import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return keep
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
-
-
-def oracle_sql() -> dict[str, str]:
-    return ORACLE
-
-
 #: Distances are rounded in the output only; ranks come from the full doubles.
 _KNN_SQL = """
 WITH p AS (
@@ -101,8 +77,11 @@ def fallback_key_join(spark, sf_dir):
 SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 END AS weight FROM orders
 """)
 def dictionary_join(spark, sf_dir):
-    t = spark.createDataFrame([(" 1-urgent ", 1), ("2-HIGH", 2)], "o_orderpriority string, weight int")
-    return clean.variant_join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), t, "o_orderpriority", "weight").select("o_orderkey", "weight")
+    # names come as 'Rank AND 1-URGENT', 'rank & 2-high' or with doubled blanks; the dictionary has one form of each
+    t = spark.createDataFrame([(" rank & 1-urgent ", 1), ("RANK AND 2-HIGH", 2)], "name string, weight int")
+    mark = F.element_at(F.array(F.lit(" AND "), F.lit(" & "), F.lit("  and ")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Rank"), mark, F.lower("o_orderpriority")).alias("name"))
+    return clean.variant_join(o, t, "name", "weight").select("o_orderkey", "weight")
 
 
 @query("anti_join", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
@@ -134,9 +113,10 @@ def union_series(spark, sf_dir):
     return o.unionByName(n, allowMissingColumns=True)
 
 
-@query("difference_keys", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("difference_keys", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 400000")
 def difference_keys(spark, sf_dir):
-    return clean.exclude(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).distinct()
+    o = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    return clean.exclude(table(spark, sf_dir, "customer").select("c_custkey"), o, ["c_custkey"]).distinct()
 
 
 # ---- filters ----
@@ -147,7 +127,7 @@ SELECT c_custkey, CASE WHEN c_acctbal < -500 THEN 'strong' WHEN c_acctbal BETWEE
 """)
 def band_case(spark, sf_dir):
     v = F.col("c_acctbal")
-    b = F.when(v < -500, "strong").otherwise(filters.band(v, [("weak", 0.0, 1000.0)]))
+    b = filters.band(v, [("strong", None, -500.0), ("weak", 0.0, 1000.0)])
     return table(spark, sf_dir, "customer").select("c_custkey", b.alias("band")).where("band is not null")
 
 
@@ -367,11 +347,17 @@ def l2_normalize(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(v, lambda x: F.round(x, 6)).alias("v"))
 
 
-@query("vector_pooling", "SELECT label, round(avg(x), 6) AS mean, round(sum(x), 4) AS total FROM (SELECT label, embedding[1]::DOUBLE AS x FROM embeddings) GROUP BY label")
+@query("vector_pooling", """
+SELECT label, i::INT AS i, round(avg(x), 6) AS mean, round(sum(x), 4) AS total
+FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY ALL
+""")
 def vector_pooling(spark, sf_dir):
-    d = table(spark, sf_dir, "embeddings").select(F.col("label").alias("g"), F.col("embedding")[0].cast("double").alias("x"))
-    m, t = graph.pooled(d, ["x"]), graph.pooled(d, ["x"], "sum").withColumnRenamed("x", "t")
-    return m.join(t, "g").select(F.col("g").alias("label"), F.round("x", 6).alias("mean"), F.round("t", 4).alias("total"))
+    d = table(spark, sf_dir, "embeddings")
+    n = 64
+    d = d.select(F.col("label").alias("g"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(n)))
+    cols = [f"x{i}" for i in range(n)]
+    m, t = (graph.pooled(d, cols, how).select(F.col("g").alias("label"), F.posexplode(F.array(*cols)).alias("i", name)) for how, name in (("mean", "mean"), ("sum", "total")))
+    return m.join(t, ["label", "i"]).select("label", "i", F.round("mean", 6).alias("mean"), F.round("total", 4).alias("total"))
 
 
 # ---- graphs: an order is a graph, its lines' parts and suppliers are vertices ----
@@ -391,30 +377,61 @@ def graph_degree(spark, sf_dir):
 
 
 @query("graph_validity", """
-WITH e AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS s, l_suppkey + 1000000 AS d FROM lineitem), v AS (SELECT DISTINCT g, s AS v FROM e UNION SELECT DISTINCT g, d FROM e)
-SELECT g, n_nodes, n_edges, CASE WHEN n_nodes < 4 THEN 'too_few_nodes' END AS reason
-FROM (SELECT g, count(*) AS n_nodes FROM v GROUP BY g) JOIN (SELECT g, count(*) AS n_edges FROM e GROUP BY g) USING (g)
+WITH e AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS s, l_suppkey + 1000000 AS d FROM lineitem
+    UNION SELECT DISTINCT l_orderkey, l_partkey, 9000000 FROM lineitem WHERE l_orderkey % 50 = 0),
+  v AS (SELECT g, s AS v FROM e UNION SELECT g, d FROM e WHERE d < 9000000 UNION SELECT -o_orderkey, unnest([1, 2, 3, 4]) FROM orders WHERE o_orderkey % 100 = 0),
+  n AS (SELECT g, count(*) AS n_nodes, bool_or(v % 97 = 0) AS bad, max(v) AS most FROM v GROUP BY g),
+  m AS (SELECT g, count(*) AS n_edges, max(greatest(s, d)) AS top FROM e GROUP BY g)
+SELECT g, n_nodes, coalesce(n_edges, 0) AS n_edges, CASE WHEN n_nodes < 4 THEN 'too_few_nodes' WHEN n_edges IS NULL THEN 'no_edges'
+  WHEN bad THEN 'bad_feature' WHEN top > most THEN 'dangling_edge' END AS reason FROM n LEFT JOIN m USING (g)
 """)
 def graph_validity(spark, sf_dir):
     e = _order_graph(spark, sf_dir)
-    v = e.select("g", F.col("s").alias("v")).union(e.select("g", "d")).distinct().withColumn("x", F.lit(1.0))
-    return graph.validity(v, e, ["x"], 4)
-
-
-@query("graph_masked_subgraph")
+    loose = e.where("g % 50 = 0").select("g", "s", F.lit(9_000_000).cast("long").alias("d")).distinct()
+    v = e.select("g", F.col("s").alias("v")).union(e.select("g", "d"))
+    alone = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select((-F.col("o_orderkey")).alias("g"), F.explode(F.expr("array(1L, 2L, 3L, 4L)")).alias("v"))
+    v = v.union(alone).distinct().withColumn("x", F.when(F.col("v") % 97 != 0, 1.0))
+    return graph.validity(v, e.union(loose), ["x"], 4)
+
+
+@query("graph_masked_subgraph", """
+WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS s, l_suppkey + 1000000 AS d FROM lineitem),
+  m AS (SELECT g, s AS a, d AS b FROM e UNION SELECT g, d, s FROM e),
+  near AS (SELECT g, a, list(b ORDER BY b) AS bs FROM m GROUP BY g, a),
+  n AS (SELECT g, list(a ORDER BY a) AS vs, ('0x' || substr(md5('0|' || g), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM near GROUP BY g),
+  t AS (SELECT g, least(greatest(1, floor(len(vs) * 0.25)::BIGINT), len(vs) - 2) AS want, vs[floor(u * len(vs))::BIGINT + 1] AS v FROM n),
+  q AS (SELECT g, want, [v] AS q, 1::BIGINT AS i FROM t WHERE want > 0
+    UNION ALL SELECT q.g, want, list_concat(q.q, list_filter(bs, lambda x: NOT list_contains(q.q, x))[1:want - len(q.q)]), i + 1
+    FROM q JOIN near ON near.g = q.g AND near.a = q.q[i] WHERE len(q.q) < want AND i <= len(q.q)),
+  gone AS (SELECT g, unnest(arg_max(q, i)) AS v FROM q GROUP BY g),
+  f AS (SELECT e.g, s, d, EXISTS (SELECT 1 FROM gone WHERE gone.g = e.g AND (gone.v = e.s OR gone.v = e.d)) AS cut FROM e),
+  c AS (SELECT g, bool_and(cut) AS none, min({'s': s, 'd': d}) AS first FROM f GROUP BY g)
+SELECT f.g, f.s, f.d FROM f JOIN c USING (g) WHERE NOT cut OR (none AND first = {'s': f.s, 'd': f.d})
+""")
 def graph_masked(spark, sf_dir):
     return graph.masked_subgraph(_order_graph(spark, sf_dir))
 
 
-@query("min_cost_assignment")
+@query("min_cost_assignment", """
+WITH q AS (SELECT l_orderkey AS k, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS r FROM lineitem),
+  d AS (SELECT l_orderkey AS k, datediff('day', DATE '1970-01-01', l_shipdate::DATE) AS day, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate::DATE DESC) AS r FROM lineitem)
+SELECT k, count(*) AS n, count(*) AS n_a, count(*) AS n_b, sum(q * day) AS cost FROM q JOIN d USING (k, r) GROUP BY k
+""")
 def min_cost_assignment(spark, sf_dir):
+    """The cheapest totals by order: with such costs the least quantity takes the last day (rearrangement)."""
+    cost = _waiting(spark, sf_dir)
+    got = graph.assigned(cost, ["k"], "a", "b", "cost").join(cost, ["k", "a", "b"])
+    return got.groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("a").alias("n_a"), F.count_distinct("b").alias("n_b"), F.sum("cost").alias("cost"))
+
+
+def _waiting(spark, sf_dir):
     # an order's lines (a) take the ship dates of its lines (b); each day of waiting costs a line's quantity
     # line numbers repeat within an order, so lines are numbered anew
     d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_quantity", "l_shipdate")
     d = clean.ranked(d, ["k"], ["l_linenumber", "l_shipdate", "l_quantity"])
     a = d.select("k", F.col("rank").alias("a"), "l_quantity")
     b = d.select("k", F.col("rank").alias("b"), F.datediff("l_shipdate", F.lit("1970-01-01").cast("date")).alias("day"))
-    return graph.assigned(a.join(b, "k").withColumn("cost", (F.col("l_quantity") * F.col("day")).cast("double")), ["k"], "a", "b", "cost")
+    return a.join(b, "k").withColumn("cost", (F.col("l_quantity") * F.col("day")).cast("double")).select("k", "a", "b", "cost")
 
 
 @query("model_scoring", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x, i: x * i)), 4) AS score FROM embeddings")
@@ -433,29 +450,76 @@ def _linear_model():
     return apply
 
 
-# ---- samples and splits: hashes differ between engines, so these have no SQL ----
+# ---- samples and splits: MD5 is the same in both engines ----
+
+_U = "(('0x' || substr(md5('7|' || c_custkey), 1, 13))::BIGINT / 4503599627370496.0)"
 
 
-@query("bernoulli_sample")
+@query("bernoulli_sample", f"SELECT * FROM customer WHERE {_U} < 0.1")
 def bernoulli_sample(spark, sf_dir):
     return sample.bernoulli(table(spark, sf_dir, "customer"), ["c_custkey"], 0.1, 7)
 
 
-@query("exact_sample")
+@query("bernoulli_per_source", """
+SELECT doc_id, source FROM documents WHERE (('0x' || substr(md5('7|' || source || '|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0) < 0.3
+""")
+def bernoulli_per_source(spark, sf_dir):
+    # each source (a file, say) draws by its own hashes
+    return sample.bernoulli(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source", "doc_id"], 0.3, 7)
+
+
+@query("exact_sample", f"SELECT * FROM customer ORDER BY {_U}, c_custkey LIMIT 100")
 def exact_sample(spark, sf_dir):
     return sample.exact(table(spark, sf_dir, "customer"), ["c_custkey"], 100, 7)
 
 
-@query("ratio_split")
+@query("fraction_sample", f"""
+SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY {_U}, c_custkey) AS r, count(*) OVER () AS n FROM customer) WHERE r <= floor(n * 0.15)
+""")
+def fraction_sample(spark, sf_dir):
+    return sample.exact_fraction(table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], 0.15, 7)
+
+
+@query("ratio_split", f"""
+SELECT c_custkey, CASE WHEN r < floor(n * 0.7) THEN 'train' WHEN r < floor(n * 0.7) + floor(n * 0.2) THEN 'val' ELSE 'test' END AS split
+FROM (SELECT c_custkey, row_number() OVER (ORDER BY {_U}, c_custkey) - 1 AS r, count(*) OVER ()::DOUBLE AS n FROM customer)
+""")
 def ratio_split(spark, sf_dir):
     return sample.exact_split(table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], {"train": 0.7, "val": 0.2, "test": 0.1}, 7)
 
 
-@query("hash_split")
+@query("hash_split", f"""
+SELECT c_custkey, CASE WHEN u < 0.2 THEN 'val' ELSE 'train_' || least(floor((u - 0.2) / (1 - 0.2::DOUBLE) * 4)::INT, 3) END AS split
+FROM (SELECT c_custkey, {_U} AS u FROM customer)
+""")
 def hash_split(spark, sf_dir):
     return sample.hash_split(table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], seed=7)
 
 
-@query("stratified_unique")
+_STRATA = """
+WITH RECURSIVE p AS (SELECT DISTINCT l_returnflag AS s, l_partkey AS x FROM lineitem),
+  o AS (SELECT s, row_number() OVER (ORDER BY count(*) DESC, s) AS k FROM p GROUP BY s),
+  d AS (SELECT s, x, row_number() OVER (PARTITION BY s ORDER BY ('0x' || substr(md5('7|' || s || '|' || x), 1, 13))::BIGINT, x) AS r FROM p),
+  l AS (SELECT k, s, list(x ORDER BY r) AS xs FROM d JOIN o USING (s) WHERE r <= 40 GROUP BY k, s),
+  t AS (SELECT 0::BIGINT AS k, ''::VARCHAR AS s, []::BIGINT[] AS got, []::BIGINT[] AS taken
+    UNION ALL SELECT l.k, l.s, list_filter(l.xs, lambda x: NOT list_contains(t.taken, x))[1:20],
+      list_concat(t.taken, list_filter(l.xs, lambda x: NOT list_contains(t.taken, x))[1:20]) FROM t JOIN l ON l.k = t.k + 1)
+SELECT s AS l_returnflag, unnest(got) AS l_partkey FROM t WHERE k > 0
+"""
+
+
+@query("stratified_unique", _STRATA)
 def stratified_unique(spark, sf_dir):
     return sample.stratified_unique(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_partkey", 20, 7)
+
+
+from siftlode.plans import features, files  # noqa: E402, F401  (they register their queries)
+from siftlode.plans.registered import ORACLE, QUERIES  # noqa: E402
+
+
+def queries() -> dict:
+    return QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return ORACLE

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -24,3 +27,16 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One input table; the reader prunes columns and pushes filters into the Parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Only where the setting is absent, as in tests on one machine, is a temporary folder made and set.
+    """
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not base:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="siftlode-"))
+        base = sc._jsc.sc().getCheckpointDir().get()
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

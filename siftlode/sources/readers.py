@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftlode.functions.text import trim_all
+from siftlode.functions.text import first_non_blank, non_blank, trim_all
 
 
 def normal_name(name: str) -> str:
@@ -35,16 +35,62 @@ def sniff(spark: SparkSession, path: str, seps: str = "\t,;") -> str:
     return max(seps, key=lambda s: line[0].count(s)) if line else ","
 
 
-def table(spark: SparkSession, path: str, sep: str | None = None, columns: list[str] | None = None, source: bool = False) -> DataFrame:
+def table(spark: SparkSession, path: str, sep: str | None = None, columns: list[str] | None = None, source: bool = False, line_ends_in_cells: bool = False) -> DataFrame:
     """A delimited file or folder with a header, all cells text, header cells normalised or renamed by place.
 
-    ``source`` adds ``source_file``. Quoted cells may hold separators and line ends.
+    ``source`` adds ``source_file``. Quoted cells may hold separators. Files are read in splits unless quoted
+    cells may hold line ends too, which makes every file one task.
     """
-    df = spark.read.csv(path, header=True, sep=sep or sniff(spark, path), multiLine=True, escape='"')
+    df = spark.read.csv(path, header=True, sep=sep or sniff(spark, path), multiLine=line_ends_in_cells, escape='"')
     df = df.toDF(*(columns or [normal_name(c) for c in df.columns]))
     return df.select("*", F.regexp_extract("_metadata.file_path", r"([^/]*)$", 1).alias("source_file")) if source else df
 
 
+def positional(spark: SparkSession, path: str, columns: list[str], sep: str | None = None) -> DataFrame:
+    """The first cells of each row by place, whatever the header says; rows with fewer cells are left out."""
+    df = spark.read.csv(path, header=True, sep=sep or sniff(spark, path), escape='"')
+    df = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, columns)))
+    return df.where(F.col(columns[-1]).isNotNull())
+
+
+def shards(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """A folder of numbered files: its rows with ``source_file`` and ``shard``, the number its name begins with."""
+    return table(spark, path, sep, source=True).withColumn("shard", F.nullif(F.regexp_extract("source_file", r"^(\d+)", 1), F.lit("")).cast("long"))
+
+
+def lines(spark: SparkSession, path: str, start: int = 1) -> DataFrame:
+    """(source_file, line_no, value): lines with their places in their file.
+
+    Lines are ranked in the splits of the files, and the splits' counts are added up, so no task takes a whole file.
+    """
+    place = [F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m")]
+    raw = spark.read.text(path).select("value", *place)
+    before = F.sum("n").over(Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = raw.groupBy("f", "b").agg(F.count("*").alias("n")).select("f", "b", F.coalesce(before, F.lit(0)).alias("o"))
+    no = F.col("o") + F.row_number().over(Window.partitionBy("f", "b").orderBy("m")) + (start - 1)
+    return raw.join(offsets, ["f", "b"]).select(F.regexp_extract("f", r"([^/]*)$", 1).alias("source_file"), no.alias("line_no"), "value")
+
+
+def query_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """Rows given inline, missing names as null."""
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
+
+
+def with_fallbacks(df: DataFrame, names: dict[str, list[str]]) -> DataFrame:
+    """A table with wanted columns, each the first non-blank of the candidates that the table has (null: none)."""
+    have = {normal_name(c): c for c in reversed(df.columns)}
+    pick = lambda cs: first_non_blank(*(F.col(f"`{have[normal_name(c)]}`") for c in cs if normal_name(c) in have), F.lit(None).cast("string"))
+    return df.select(*(pick(cs).alias(n) for n, cs in names.items()))
+
+
+def pending_files(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(source_file, n): files of ``inputs`` that ``outputs`` (both with ``source_file``) lacks or has in part."""
+    n = inputs.groupBy("source_file").agg(F.count("*").alias("n"))
+    done = outputs.groupBy("source_file").agg(F.count("*").alias("done"))
+    return n.join(done, "source_file", "left").where("done is null or done < n").select("source_file", "n")
+
+
 def repaired(spark: SparkSession, path: str, columns: list[str], keep: int | None = None, sep: str = ",") -> DataFrame:
     """Lines whose first cell may hold bare separators: the last len(columns) - 1 cells are kept, the head rejoined.
 
@@ -65,34 +111,49 @@ def repaired(spark: SparkSession, path: str, columns: list[str], keep: int | Non
 def tagged(spark: SparkSession, path: str, tags: dict[str, str], needed: str | None = None, end: str = "ER") -> DataFrame:
     """Records of two-letter tags with indented continuation lines, ended by a line ``ER``; tags -> column names.
 
-    Each record is split off by the reader, so a large file is never one row. Records without ``needed`` go.
+    Each record is split off by the reader, so a large file is never one row; line ends may be CRLF and the last
+    line may have blanks behind its tag. Of a repeated tag the last counts. Records without ``needed`` go.
     """
-    recs = spark.read.option("lineSep", f"\n{end}\n").text(path).withColumnRenamed("value", "r")
-    recs = recs.withColumn("r", F.concat(F.lit("\n"), F.regexp_replace("r", "\r", "")))
+    recs = spark.read.option("lineSep", f"\n{end}").text(path).withColumnRenamed("value", "r")
+    recs = recs.withColumn("r", F.concat(F.lit("\n"), F.regexp_replace("r", "\r", ""))).where(trim_all("r") != "")
+    next_tag = r"(?=\n(?:[A-Z][A-Z0-9]|[0-9][A-Z])(?: |\n|\z)|\z)"
 
     def value(tag: str) -> Column:
-        return F.regexp_replace(F.regexp_extract("r", rf"(?s)\n{tag} (.*?)(?=\n[A-Z][A-Z0-9](?: |\n|$)|\z)", 1), r"\s*\n\s+", " ")
+        found = F.expr(rf"regexp_extract_all(r, r'(?s)\n{tag}(?: |(?=\n))(.*?){next_tag}', 1)")
+        return F.regexp_replace(F.try_element_at(found, F.lit(-1)), r"\s*\n\s*", " ")
 
     out = recs.select(*(F.nullif(trim_all(value(t)), F.lit("")).alias(n) for t, n in tags.items()))
     return out.where(F.col(needed).isNotNull()) if needed else out
 
 
 def json_blocks(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects separated by blank lines; blocks that are no such object are left out."""
-    raw = spark.read.option("lineSep", "\n\n").text(path).where(trim_all("value") != "")
+    """Objects separated by blank lines; blocks that are no such object are left out.
+
+    The reader splits the blocks off. Whether lines end in CRLF is told by the first line, for all files alike.
+    """
+    first = spark.read.option("lineSep", "\n").text(path).first()
+    blank = "\r\n\r\n" if first and first[0].endswith("\r") else "\n\n"
+    raw = spark.read.option("lineSep", blank).text(path).where(trim_all("value") != "")
     return raw.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("o")).where("o is not null").select("o.*").na.drop("all")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line; bad lines are left out."""
-    return spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).where("_bad is null").drop("_bad")
+    raw = spark.read.text(path).where(trim_all("value") != "")
+    parsed = raw.select(F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("o"))
+    return parsed.where("o is not null and o._bad is null").select("o.*").drop("_bad")
 
 
-def structure_blocks(spark: SparkSession, path: str, properties: dict[str, list[str]]) -> DataFrame:
-    """Records ended by '$$$$' with '> <NAME>' properties (plain or gzipped): name -> candidates, first non-blank wins."""
-    recs = spark.read.option("lineSep", "$$$$").text(path).where(trim_all("value") != "")
+def structure_blocks(spark: SparkSession, path: str, properties: dict[str, list[str]], containing: dict[str, str] | None = None) -> DataFrame:
+    """Records ended by '$$$$' with '> <NAME>' properties (plain or gzipped): name -> candidates, first non-blank wins.
+
+    ``containing``: name -> text; where no candidate has a value, the first property whose name holds the text does.
+    """
+    recs = spark.read.option("lineSep", "$$$$").text(path).withColumn("value", F.regexp_replace("value", "\r", "")).where(trim_all("value") != "")
     prop = lambda n: F.nullif(trim_all(F.regexp_extract("value", rf"(?s)>\s*<\Q{n}\E>[^\n]*\n(.*?)(?:\n\s*\n|\z)", 1)), F.lit(""))
-    return recs.select(F.col("value").alias("block"), *(F.coalesce(*map(prop, names)).alias(k) for k, names in properties.items()))
+    some = lambda t: non_blank(F.regexp_extract("value", rf"(?s)>\s*<[^>\n]*(?i:\Q{t}\E)[^>\n]*>[^\n]*\n(.*?)(?:\n\s*\n|\z)", 1))
+    more = lambda k: [some(containing[k])] if containing and k in containing else []
+    return recs.select(F.col("value").alias("block"), *(F.coalesce(*map(prop, names), *more(k)).alias(k) for k, names in properties.items()))
 
 
 def all_blank(df: DataFrame) -> Column:

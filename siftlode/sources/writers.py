@@ -28,8 +28,13 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Writes beside the target and renames, so readers see the old table or the new one; df may read the target."""
+    """Writes beside the target and renames; df may read the target.
+
+    Between the two renames there is no table for a moment. A run that broke off there is put right by the next
+    call, or by ``recovered``.
+    """
     spark = df.sparkSession
+    recovered(spark, path)
     tmp, old = f"{path}.new", f"{path}.old"
     df.write.mode("overwrite").parquet(tmp)
     jvm = spark._jvm.org.apache.hadoop.fs.Path
@@ -42,6 +47,15 @@ def replace(df: DataFrame, path: str) -> None:
     spark.catalog.refreshByPath(path)
 
 
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Puts the old table back where a replacement broke off between its renames; whether it had to."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(jvm(path)) or not fs.exists(jvm(f"{path}.old")):
+        return False
+    return fs.rename(jvm(f"{path}.old"), jvm(path))
+
+
 def quoted_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
 

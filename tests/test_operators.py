@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siftlode.functions import text
+from siftlode.functions import text, vector
 from siftlode.operators import clean, filters, graph, knn, sample, stats
 
 
@@ -28,7 +28,8 @@ def test_text_functions(spark):
     assert one(spark, text.comma_decimal("x"), "3,5") == 3.5 and one(spark, text.comma_decimal("x"), "x") == 0.0
     assert one(spark, text.integer_key("x"), "007") == 7 and one(spark, text.integer_key("x"), "7.5") is None
     assert one(spark, text.number_in_name("x"), "model_epoch_12.pt") == 12 and one(spark, text.number_in_name("x"), "best.pt") is None
-    assert one(spark, text.mentions("x", "AB"), "name (AB)") and one(spark, text.mentions("x", "AB"), "x-AB y") and not one(spark, text.mentions("x", "AB"), "CAB")
+    assert one(spark, text.mentions("x", "AB"), "name (AB)") and one(spark, text.mentions("x", "AB"), "x, AB. y")
+    assert not any(one(spark, text.mentions("x", "PDA"), v) for v in ("BPDA", "2,6-PDA", "PDAs", None)) and one(spark, text.mentions("x", "PDA"), "a (PDA-)")
     assert one(spark, text.has_isotope("x"), "[13C]") and not one(spark, text.has_isotope("x"), None)
     assert one(spark, text.one_hot("x", ["a", "b"]), "c") == [0, 0, 1] and one(spark, text.lookup("x", {"a": 1}, 4), "z") == 4
     assert one(spark, text.lenient_json("x", "a int"), "```json\n{'a': 3}\n```").a == 3
@@ -105,7 +106,7 @@ def test_rules(spark):
         filters.rules_reason(filters.Rules({"mw": (2, 1)}))
     assert one(spark, filters.charged_both_ways(F.col("x")), [1, -1], "array<int>")
     bands = [("strong", None, -1.7), ("weak", -0.5, 0.0)]
-    assert [one(spark, filters.band(F.col("x"), bands), v, "double") for v in (-1.7, -1.6, -0.5, 0.0, 0.1)] == ["strong", None, "weak", "weak", None]
+    assert [one(spark, filters.band(F.col("x"), bands), v, "double") for v in (-1.7, -1.6, -0.5, 0.0, 0.1)] == [None, None, "weak", "weak", None] and one(spark, filters.band(F.col("x"), bands), -1.71, "double") == "strong"
 
 
 def test_graphs(spark):
@@ -114,7 +115,12 @@ def test_graphs(spark):
     assert {r.g: r.reason for r in graph.validity(v, e, ["x"]).collect()} == {1: None, 2: "bad_feature", 3: "too_few_nodes"}
     assert graph.mirrored(e).count() == 8
     left = graph.masked_subgraph(e, 0.25, 1).collect()
-    assert {r.g for r in left} == {1, 2} and len(left) < 5
+    assert {r.g for r in left} == {1, 2} and len(left) < 4 and (2, 0, 1) in left
+    gone = graph.masked_vertices(e, 0.9, 1).groupBy("g").count().collect()
+    assert [(r.g, r["count"]) for r in gone] == [(1, 2)]  # two of four stay, and graphs of two are left alone
+    assert len([r for r in graph.masked_subgraph(e, 0.9, 1).collect() if r.g == 1]) >= 1
+    points = spark.createDataFrame([([[1.0, 2.0, 0.0], [3.0, 6.0, 0.0]],), ([],)], "p array<array<double>>")
+    assert [r.c for r in points.select(vector.centered("p").alias("c")).collect()] == [[[-1.0, -2.0, 0.0], [1.0, 2.0, 0.0]], []]
 
 
 def test_cheapest_assignment(spark):

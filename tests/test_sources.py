@@ -9,7 +9,7 @@ from siftlode.streaming.incremental import run_new_files
 def test_tables(spark, tmp_path):
     p = tmp_path / "a.csv"
     p.write_text('﻿CID , Name\n1,"a, b"\n2,"x\ny"\n')
-    d = readers.table(spark, str(p), source=True)
+    d = readers.table(spark, str(p), source=True, line_ends_in_cells=True)
     assert d.columns == ["cid", "name", "source_file"] and [tuple(r) for r in d.collect()] == [("1", "a, b", "a.csv"), ("2", "x\ny", "a.csv")]
     assert readers.sniff(spark, str(p)) == "," and readers.resolve(["Smiles", "CID"], "cid", "id") == "CID"
     with pytest.raises(ValueError, match="missing"):
@@ -33,7 +33,7 @@ def test_tagged_and_json(spark, tmp_path):
     assert sorted(r.a for r in readers.json_blocks(spark, str(j), "a int, b string").collect()) == [1, 2]
     k = tmp_path / "l.jsonl"
     k.write_text('{"a": 1}\nbad\n{"a": 2}\n')
-    assert sorted(r.a for r in readers.json_lines(spark, str(k), "a int").cache().collect()) == [1, 2]
+    assert sorted(r.a for r in readers.json_lines(spark, str(k), "a int").collect()) == [1, 2] and readers.json_lines(spark, str(k), "a int").count() == 2
     s = tmp_path / "s.sdf.gz"
     s.write_bytes(gzip.compress(b"m\n> <CID>\n7\n\n> <SMI>\nCC\n\n$$$$\nm\n> <ID>\n8\n\n$$$$\n"))
     got = readers.structure_blocks(spark, str(s), {"cid": ["CID", "ID"], "smiles": ["SMILES", "SMI"]}).collect()
@@ -62,3 +62,34 @@ def test_new_files_once(spark, tmp_path):
         spark.createDataFrame([(k,)], "k int").write.mode("append").parquet(src)
         run_new_files(spark, src, "k int", out, chk, lambda d: d.selectExpr("k * 10 as k"))
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == [10, 20, 20]
+
+
+def test_line_ends_of_other_systems(spark, tmp_path):
+    p = tmp_path / "w.txt"
+    p.write_bytes(b"PT J\r\nTI One\r\nAB x\r\nER\r\n\r\nPT J\nTI Two\n   more\nAB y\nER  \nPT J\r\nTI Three\r\nAB z\r\nER")
+    got = readers.tagged(spark, str(p), {"TI": "title", "AB": "abstract"}, "abstract").collect()
+    assert sorted(tuple(r) for r in got) == [("One", "x"), ("Three", "z"), ("Two more", "y")]
+    j = tmp_path / "j.txt"
+    j.write_bytes(b'{"a": 1,\r\n "b": "x"}\r\n\r\nnot json\r\n\r\n{"a": 2}\r\n')
+    assert sorted(r.a for r in readers.json_blocks(spark, str(j), "a int, b string").collect()) == [1, 2]
+
+
+def test_lines_and_pending(spark, tmp_path):
+    for name, n in (("a.txt", 5), ("b.txt", 3)):
+        (tmp_path / name).write_text("".join(f"{name}{i}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16")
+    try:
+        got = sorted((r.source_file, r.line_no, r.value) for r in readers.lines(spark, str(tmp_path), 2).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [("a.txt", i + 2, f"a.txt{i}") for i in range(5)] + [("b.txt", i + 2, f"b.txt{i}") for i in range(3)]
+    d = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "source_file string")
+    done = spark.createDataFrame([("a",), ("b",)], "source_file string")
+    assert sorted(r.source_file for r in readers.pending_files(d, done).collect()) == ["a", "c"]
+
+
+def test_a_broken_replacement_is_put_right(spark, tmp_path):
+    t = str(tmp_path / "t")
+    spark.range(3).write.parquet(t)
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    assert writers.recovered(spark, t) and not writers.recovered(spark, t) and spark.read.parquet(t).count() == 3
