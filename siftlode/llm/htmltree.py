@@ -47,7 +47,9 @@ _NAMES = len(KINDS)
 _SHAPE = _NAMES + NAME_BUCKETS
 WIDTH = _SHAPE + 24
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+# A tag ends at '>' outside quotes or with the page, and a quote that is never closed is a plain character, so
+# each place of a page is scanned a bounded number of times.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:\b(?:class|id|role|itemprop)|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -55,19 +57,21 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Page:
     """The nodes of a page: parents come before children."""
 
-    __slots__ = ("parent", "kind", "features", "text", "node")
+    __slots__ = ("parent", "kind", "features", "text", "node", "depth")
 
     def __init__(self, html: str):
-        self.parent, self.kind, self.features = [-1], [KIND["html"]], [[KIND["html"]]]
+        self.parent, self.kind, self.features, self.depth = [-1], [KIND["html"]], [[KIND["html"]]], [0]
         self.text: list[str] = []  # runs in page order
         self.node: list[int] = []  # their nodes
         stack = [("html", 0)]
+        open_at: dict[str, list[int]] = {}  # where each tag stands in the stack
         run: list[str] = []
         linked = in_link = at = 0
 
         def add(tag: str, attributes: str = "") -> int:
             k = KIND.get(tag, KIND["other"])
             self.parent.append(stack[-1][1])
+            self.depth.append(self.depth[stack[-1][1]] + 1)
             self.kind.append(k)
             f = [k]
             if attributes and "=" in attributes:
@@ -95,14 +99,22 @@ class Page:
                 if in_link:
                     linked += len(piece)
 
+        def push(tag: str, node: int) -> None:
+            open_at.setdefault(tag, []).append(len(stack))
+            stack.append((tag, node))
+
+        def last(names: set[str]) -> int:
+            return max((open_at[t][-1] for t in names if open_at.get(t)), default=0)
+
+        def cut(i: int) -> None:
+            while len(stack) > i:
+                open_at[stack.pop()[0]].pop()
+
         def close(names: set[str], until: set[str]) -> None:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in names:
-                    del stack[i:]
-                    names = names - {"p"}
-                    return close(names, until) if len(names) > 1 else None
-                if stack[i][0] in until:
-                    return None
+            while (i := last(names)) > last(until):
+                cut(i)
+                if len(names) == 1:
+                    return
 
         while m := _TAG.search(html, at):
             say(html[at : m.start()])
@@ -115,11 +127,8 @@ class Page:
                     in_link = 0
                 elif tag not in INLINE:
                     flush()
-                    if tag == "p" or any(t == tag for t, _ in stack[1:]):
-                        for i in range(len(stack) - 1, 0, -1):
-                            if stack[i][0] == tag:
-                                del stack[i:]
-                                break
+                    if i := last({tag}):
+                        cut(i)
                 continue
             if tag == "br":
                 run.append(" ")
@@ -136,16 +145,16 @@ class Page:
                 close(*IMPLIED[tag])
             node = add(tag, m[3])
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
+                end = re.compile(rf"</{re.escape(tag)}\b[^>]*+(?:>|\Z)", re.I).search(html, at)
                 stop = end.start() if end else len(html)
                 if tag in ("title", "textarea"):
-                    stack.append((tag, node))
+                    push(tag, node)
                     say(html[at:stop])
                     flush()
-                    stack.pop()
+                    cut(len(stack) - 1)
                 at = end.end() if end else len(html)
             elif tag not in VOID and not m[3].endswith("/"):
-                stack.append((tag, node))
+                push(tag, node)
         say(html[at:])
         flush()
 
@@ -173,13 +182,7 @@ class Forest:
         n = int(size.sum())
         self.parent = np.fromiter((q + o if q >= 0 else -1 for p, o in zip(pages, self.offset.tolist()) for q in p.parent), np.int64, n)
         self.kind = np.fromiter((k for p in pages for k in p.kind), np.int64, n)
-        depth = np.zeros(n, np.int64)
-        at = np.flatnonzero(self.parent >= 0)
-        up = self.parent[at]
-        while len(at):  # one level closer to the root in each step
-            depth[at] += 1
-            more = self.parent[up] >= 0
-            at, up = at[more], self.parent[up[more]]
+        depth = np.fromiter((d for p in pages for d in p.depth), np.int64, n)
         order = np.argsort(depth, kind="stable")
         self.levels = np.split(order, np.cumsum(np.bincount(depth))[:-1])
         count = np.fromiter((len(f) for p in pages for f in p.features), np.int64, n)
@@ -356,8 +359,11 @@ def extract(pages: list[str | None], weights: np.ndarray, pair: np.ndarray) -> l
 def main_text(pages: DataFrame, html_col: str = "html", model_args: tuple = ()) -> DataFrame:
     """The columns of ``pages`` but ``html_col``, and ``text``, ``n_chars`` (replacing columns of these names).
 
-    A null html gives an empty text. Whole pages are read; nothing is shuffled and each page is decided by
-    itself. The model, some kilobytes, is trained once on the driver and travels with the tasks.
+    A null html gives an empty text, an empty table an empty result, repeated rows a row each. Whole pages are
+    read, in time that grows with their length and their depth; nothing is shuffled and each page is decided by
+    itself. A run of text is content if its probability is over 0.5; at 0.5 exactly it is not. A tag that is
+    never closed ends with the page. The model, some kilobytes, is trained once on the driver and travels with
+    the tasks.
     """
     weights, pair = model(*model_args)
 

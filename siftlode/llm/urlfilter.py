@@ -1,15 +1,17 @@
 """URL lists that change over time: every capture is judged by the entries active when it was fetched.
 
-Dated entries of a list (added, removed) become change points of their key, and an as-of lookup finds the
-last one at or before the fetch. A key's change points travel as one sorted row, so the equi-join on keys
-meets each capture's key at most once and multiplies nothing; hot hosts are split by AQE.
+Dated entries of a list (added, removed) become validity intervals of their key. The intervals of a key do not
+overlap, so the as-of join (equal keys, the fetch inside the interval) finds at most one for each key of a
+capture and multiplies nothing; hot hosts are split by AQE.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlode.llm.shared import written
+
 _URL = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)"
 
 
@@ -38,29 +40,26 @@ def intervals(entries: DataFrame) -> DataFrame:
     entries: key, dated, action ('add' or 'remove'), category. On one date a removal comes last. A second
     addition takes the category over. Entries without key or date are left out.
     """
-    changes = entries.where("key is not null and dated is not null").groupBy("key").agg(F.sort_array(F.collect_set(_change())).alias("c"))
-    c = F.transform("c", lambda x, i: F.struct(x["dated"].alias("valid_from"), F.get(F.col("c"), i + 1)["dated"].alias("valid_to"), x["remove"].alias("remove"), x["category"].alias("category")))
-    out = changes.select("key", F.explode(c).alias("x")).where("not x.remove and not (x.valid_from <=> x.valid_to)")
-    return out.select("key", "x.valid_from", "x.valid_to", "x.category")
-
-
-def _change() -> Column:
-    return F.struct("dated", (F.col("action") == "remove").alias("remove"), F.coalesce("category", F.lit("")).alias("category"))
+    remove = F.col("action") == "remove"
+    changes = entries.where("key is not null and dated is not null").select("key", "dated", F.coalesce(remove, F.lit(False)).alias("remove"), F.coalesce("category", F.lit("")).alias("category"))
+    until = F.lead("dated").over(Window.partitionBy("key").orderBy("dated", "remove", "category"))
+    out = changes.distinct().withColumn("valid_to", until).where("not remove and not (dated <=> valid_to)")
+    return out.select("key", F.col("dated").alias("valid_from"), "valid_to", "category")
 
 
 def judged(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """(id, url, fetched, blocked, key, category, since): a row for each capture.
 
     Of the active entries that cover the URL the most specific is named. A null or hostless URL, a null fetch
-    time and an empty list block nothing. Repeated captures each keep a row. Other columns are not read. A
-    key's change points are one row of the list, never of the captures.
+    time and an empty list block nothing. Repeated captures each keep a row. Other columns are not read. A URL of
+    m path segments asks for m prefixes, whose total length grows as m times the URL's.
     """
-    points = entries.where("key is not null and dated is not null").groupBy("key").agg(F.sort_array(F.collect_set(_change())).alias("c"))
     cap = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("fetched"))
     asked = cap.distinct().select("id", "url", "fetched", F.explode(keys_of(F.col("url"))).alias("k")).select("id", "url", "fetched", "k.rank", "k.key")
-    last = F.element_at(F.filter("c", lambda x: x["dated"] <= F.col("fetched")), -1)
-    met = asked.join(points, "key").where(F.exists("c", lambda x: x["dated"] <= F.col("fetched"))).withColumn("now", last).where("not now.remove")
-    best = met.groupBy("id", "url", "fetched").agg(F.max_by(F.struct("key", "now.category", F.col("now.dated").alias("since")), "rank").alias("b"))
+    listed = written(intervals(entries), "intervals")
+    during = (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
+    met = asked.join(listed.withColumnRenamed("key", "listed"), (F.col("key") == F.col("listed")) & during)
+    best = met.groupBy("id", "url", "fetched").agg(F.max_by(F.struct("key", "category", F.col("valid_from").alias("since")), "rank").alias("b"))
     b = best.select(*(F.col(c).alias(f"__{c}") for c in ("id", "url", "fetched")), "b")
     both = cap.join(b, F.col("id").eqNullSafe(F.col("__id")) & (F.col("url") == F.col("__url")) & (F.col("fetched") == F.col("__fetched")), "left")
     return both.select("id", "url", "fetched", F.col("b").isNotNull().alias("blocked"), "b.key", "b.category", "b.since")

@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import product
 
 import numpy as np
@@ -34,6 +35,15 @@ def test_tree_building():
     assert deep.text == ["x"] and len(deep.parent) == 5002
 
 
+def test_long_pages_take_linear_time():
+    t = time.process_time()
+    for html in ("<a " * 40000, '<p "' * 40001, "<div>" * 40000 + "x", "<p><table>" + "<div>" * 40000, "<script>" + "</script " * 40000, "<!" * 40000, "<ul><li>" * 20000, "'<b class=\"" * 30000):
+        H.Page(html)
+    assert time.process_time() - t < 20
+    deep = H.extract(["<article>" + "<div>" * 3000 + "Some words of an article here.", "a <b"], *H.model())
+    assert deep[1] in ("", "a")
+
+
 def test_held_out_accuracy():
     w, pair = H.model()
     r = random.Random(12345)
