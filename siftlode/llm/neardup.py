@@ -163,18 +163,20 @@ def _met(classes: DataFrame, label: DataFrame, plan: Plan, most: int, similarity
 
             new = np.flatnonzero((np.diff(g["key"].to_numpy()) != 0) | (np.diff(p) != 0)) + 1
             start, end = np.r_[0, new], np.r_[new, len(g)]
-            found = [_large(f, lab, bits, s, e, most, ruled_out if rest else None) for s, e in zip(start, end) if e - s > BUCKET and (lab[s:e] != lab[s]).any()]
+            found = [_large(lab, bits, s, e, most, ruled_out if rest else None) for s, e in zip(start, end) if e - s > BUCKET and (lab[s:e] != lab[s]).any()]
             if not rest:
-                i, j = _small(start, end, lab, bits, most)
-                swap = f[i] > f[j]
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                once = (flip[i] < flip[j]) | ((flip[i] == 0) & (flip[j] == 0))  # a pair meets under more values
-                for q, m in enumerate(earlier):  # and in more partitions; its first one counts
-                    once &= (p[i] <= q) | (np.bitwise_count((bits[i] ^ bits[j]) & m).sum(axis=1) > reach[q])
-                found.append((f[i[once]], f[j[once]], np.ones(int(once.sum()), bool)))
-            if found:
-                a, b, ok = (np.concatenate(x) for x in zip(*found))
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "settled": ok})
+                found.append(_small(start, end, lab, bits, most))
+            if not found:
+                continue
+            i, j, settled, alone = (np.concatenate(x) for x in zip(*found))
+            swap = f[i] > f[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            once = (flip[i] < flip[j]) | ((flip[i] == 0) & (flip[j] == 0))  # a pair meets under more values
+            for q, m in enumerate(earlier):  # and in more partitions; its first one counts
+                once &= (p[i] <= q) | (np.bitwise_count((bits[i] ^ bits[j]) & m).sum(axis=1) > reach[q])
+            once |= alone
+            if once.any():
+                yield pd.DataFrame({"a": f[i[once]], "b": f[j[once]], "settled": settled[once]})
 
     out, got = None, None
     for parts in _dealt(plan):
@@ -217,8 +219,8 @@ def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held)
 
 
-def _small(start: np.ndarray, end: np.ndarray, label: np.ndarray, bits: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): rows of one bucket of BUCKET rows or fewer, with different labels, within ``most`` bits."""
+def _small(start: np.ndarray, end: np.ndarray, label: np.ndarray, bits: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """(i, j, settled, alone): rows of one bucket of BUCKET rows or fewer, with different labels, within ``most`` bits."""
     size = end - start
     stop = np.repeat(np.where(size <= BUCKET, end, 0), size)
     i, d, found = np.arange(len(label)), 1, []
@@ -228,31 +230,33 @@ def _small(start: np.ndarray, end: np.ndarray, label: np.ndarray, bits: np.ndarr
         x = x[np.bitwise_count(bits[x] ^ bits[x + d]).sum(axis=1) <= most]
         found.append(np.stack([x, x + d]))
         d += 1
-    return tuple(np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64),) * 2
+    i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return i, j, np.ones(len(i), bool), np.zeros(len(i), bool)
 
 
-def _large(f: np.ndarray, label: np.ndarray, bits: np.ndarray, s: int, e: int, most: int, ruled_out: Callable | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(f, f, settled) of a large bucket: rows outside the largest label, with the nearest of another label, or with all that are not ruled out."""
+def _large(label: np.ndarray, bits: np.ndarray, s: int, e: int, most: int, ruled_out: Callable | None) -> tuple[np.ndarray, ...]:
+    """(i, j, settled, alone) of a large bucket: rows outside the largest label, each with the nearest of another
+    label (which stands alone: another bucket need not have it), or with all that are not ruled out."""
     lab, b = label[s:e], bits[s:e]
     names, number, count = np.unique(lab, return_inverse=True, return_counts=True)
     outside = number != np.argmax(count)
-    a, other, settled = [], [], []
+    i, j, settled = [], [], []
     for x in np.flatnonzero(outside):
         d = np.bitwise_count(b ^ b[x]).sum(axis=1).astype(np.int64)
         at = np.flatnonzero((lab != lab[x]) & (d <= most))
         if not len(at):
             continue
-        ok = len(at) == 1
+        settled.append(len(at) == 1)
         if ruled_out:
             at = at[~outside[at] | (at > x)]
             at = at[~ruled_out(s + x, s + at)]
         else:
             at = at[[np.argmin(d[at])]]
-        a.append(np.full(len(at), f[s + x]))
-        other.append(f[s + at])
-        settled.append(np.full(len(at), ok))
+        i.append(np.full(len(at), s + x))
+        j.append(s + at)
     none = [np.zeros(0, np.int64)]
-    return np.concatenate(a or none), np.concatenate(other or none), np.concatenate(settled or none).astype(bool)
+    i, j = np.concatenate(i or none), np.concatenate(j or none)
+    return i, j, np.array(settled, bool) if not ruled_out else np.ones(len(i), bool), np.full(len(i), not ruled_out)
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, src: DataFrame, similarity: float) -> DataFrame:
