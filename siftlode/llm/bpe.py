@@ -1,10 +1,11 @@
 """Byte-level BPE by the ranks of a public vocabulary, contracted by recursive SQL in each partition.
 
 Every Python worker holds an in-memory DuckDB with two tables: the vocabulary, and all pairs of tokens whose
-bytes join to a token. The distinct pieces of a batch become token-position rows; a recursive query joins
+bytes join to a token. The distinct pieces of a block become token-position rows; a recursive query joins
 neighbours with the pair table and contracts each piece's leftmost pair of least rank until none is left.
-An ordered aggregation of the ids' bytes decodes. Pieces over LONG bytes, whose contraction in SQL takes a
-step for each merge over all their positions, are contracted in the same order with a heap.
+An ordered aggregation of the bytes of each document's ids decodes. Pieces over LONG bytes are contracted in
+the same order with a heap: the recursion keeps a row for each position and merge, so its memory grows with
+the square of a piece's length.
 """
 
 from __future__ import annotations
@@ -26,26 +27,35 @@ from pyspark.sql import functions as F
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bytes up to which pieces are contracted in SQL.
-LONG = 96
-#: Pieces of one recursive query; its states stay in memory.
-AT_ONCE = 16_000
+LONG = 1024
+#: Pieces of one recursive query, and the sum of their squared bytes: the query keeps a state for each merge.
+AT_ONCE, SQUARES = 16_000, 4 << 20
 #: Pieces that a worker remembers before it starts afresh; bounds its memory at about 150 MB.
 REMEMBERED = 600_000
 #: Bytes of text taken at a time.
 BLOCK = 8 << 20
+#: Ids decoded by one aggregation; longer runs are decoded in parts, which bounds its memory.
+DECODED = 1 << 20
 
-# key: rank, place and next place of a pair in one number, so that its minimum names all three
+# A token knows the next one (np, nid); key is rank, place and next place of the pair in one number, so that its
+# minimum names all three. Only the contracted token and the one before it look their pair up again.
 _CONTRACT = """
-WITH RECURSIVE s(step, w, p, id) AS (
-  SELECT 0::SMALLINT, w, p, id FROM tokens
+WITH RECURSIVE s(step, w, p, np, id, nid, key) AS (
+  SELECT 0::SMALLINT, w, p, np, x.id, nid, (pairs.id::BIGINT << 32) + (p::BIGINT << 16) + np
+  FROM (SELECT w, p, id, lead(p) OVER o AS np, lead(id) OVER o AS nid FROM tokens WINDOW o AS (PARTITION BY w ORDER BY p)) x
+  LEFT JOIN pairs ON a = x.id AND b = nid
   UNION ALL
-  SELECT step + 1::SMALLINT, w, p, CASE WHEN p = (best >> 8) & 255 THEN (best >> 16)::INT ELSE id END
-  FROM (SELECT step, w, p, id, min(key) OVER (PARTITION BY w) AS best
-        FROM (SELECT step, w, p, x.id AS id, (pairs.id::BIGINT << 16) + (p << 8) + np AS key
-              FROM (SELECT *, lead(id) OVER o AS next, lead(p) OVER o AS np FROM s WINDOW o AS (PARTITION BY w ORDER BY p)) x
-              LEFT JOIN pairs ON a = x.id AND b = next))
-  WHERE best IS NOT NULL AND p <> best & 255)
-SELECT w, p, id FROM s QUALIFY step = max(step) OVER (PARTITION BY w) ORDER BY w, p
+  SELECT step, w, p, np, y.id, nid, CASE WHEN fresh THEN (pairs.id::BIGINT << 32) + (p::BIGINT << 16) + np ELSE key END
+  FROM (SELECT s.step + 1::SMALLINT AS step, s.w, s.p, s.key,
+               CASE WHEN s.p = m.p THEN m.np ELSE s.np END AS np,
+               CASE WHEN s.p = m.p THEN made ELSE s.id END AS id,
+               CASE WHEN s.p = m.p THEN m.nid WHEN s.np = m.p THEN made ELSE s.nid END AS nid,
+               s.p = m.p OR coalesce(s.np = m.p, false) AS fresh
+        FROM s JOIN (SELECT b.w, (best >> 32)::INT AS made, ((best >> 16) & 65535)::INT AS p, gone.p AS gone, gone.np, gone.nid
+                     FROM (SELECT w, min(key) AS best FROM s GROUP BY w HAVING best IS NOT NULL) b
+                     JOIN s gone ON gone.w = b.w AND gone.p = best & 65535) m ON m.w = s.w AND s.p <> gone) y
+  LEFT JOIN pairs ON a = CASE WHEN fresh THEN y.id END AND b = nid)
+SELECT s.w, p, id FROM s JOIN (SELECT w, max(step) AS last FROM s GROUP BY w) e ON e.w = s.w AND step = last ORDER BY s.w, p
 """
 
 
@@ -69,13 +79,12 @@ class Codec:
 
     def forget(self) -> None:
         self.known: dict[str, int] = _Numbered()
-        self.start, self.length, self.ids, self.plain = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), []
+        self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def contract(self, pieces: list[bytes]) -> list[np.ndarray]:
         """The ids of each piece."""
         out: list[np.ndarray] = [self._long(p) if len(p) > LONG else self.byte[:0] for p in pieces]
-        every = [i for i, p in enumerate(pieces) if 0 < len(p) <= LONG]
-        for short in (every[i : i + AT_ONCE] for i in range(0, len(every), AT_ONCE)):
+        for short in self._batches([i for i, p in enumerate(pieces) if 0 < len(p) <= LONG], pieces):
             n = np.array([len(pieces[i]) for i in short])
             w = np.repeat(np.arange(len(short), dtype=np.int32), n)
             p = (np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
@@ -86,6 +95,17 @@ class Codec:
                 out[i] = ids
         return out
 
+    def _batches(self, every: list[int], pieces: list[bytes]) -> Iterator[list[int]]:
+        a = squares = 0
+        for b, i in enumerate(every):
+            n = len(pieces[i]) ** 2
+            if b > a and (b - a == AT_ONCE or squares + n > SQUARES):
+                yield every[a:b]
+                a, squares = b, 0
+            squares += n
+        if every:
+            yield every[a:]
+
     def _long(self, piece: bytes) -> np.ndarray:
         part, n = [piece[i : i + 1] for i in range(len(piece))], len(piece)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
@@ -108,40 +128,38 @@ class Codec:
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids."""
-        n = np.array([len(x) for x in ids], np.int64)
-        if not n.sum():
-            return [b""] * len(ids)
-        own = pa.table({"w": np.repeat(np.arange(len(ids)), n), "p": np.arange(n.sum()), "id": np.concatenate(ids).astype(np.int32)})  # noqa: F841
-        got = self.db.execute("SELECT w, string_agg(t, '' ORDER BY p) AS t FROM own JOIN vocabulary USING (id) GROUP BY w").fetchall()
-        out = [b""] * len(ids)
-        for w, t in got:
-            out[w] = t.encode("latin-1")
-        return out
+        out: list[list[bytes]] = [[] for _ in ids]
+        w = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        flat = np.concatenate([np.zeros(0, np.int32), *ids])
+        for a in range(0, len(flat), DECODED):
+            part = slice(a, a + DECODED)
+            own = pa.table({"w": w[part], "p": np.arange(len(w[part])), "id": flat[part]})  # noqa: F841
+            for i, t in self.db.execute("SELECT w, string_agg(t, '' ORDER BY p) FROM own JOIN vocabulary USING (id) GROUP BY w").fetchall():
+                out[i].append(t.encode("latin-1"))
+        return list(map(b"".join, out))
 
     def learn(self) -> None:
-        """Contracts and decodes the pieces that were met since the last call."""
-        new = self.known.new
-        ids = self.contract([p.encode("utf-8", "surrogatepass") for p in new])
-        # what decodes to the piece itself is held as the piece, which is in memory already
-        self.plain += [p if d == p.encode("utf-8", "surrogatepass") else d.decode("utf-8", "surrogateescape") for p, d in zip(new, self.decode(ids))]
+        """Contracts the pieces that were met since the last call."""
+        ids = self.contract([p.encode("utf-8", "surrogatepass") for p in self.known.new])
         n = np.array([len(x) for x in ids], np.int64)
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])
         self.length = np.concatenate([self.length, n])
         self.ids = np.concatenate([self.ids, *ids])
-        new.clear()
+        self.known.new.clear()
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, bytes]]:
-        """The ids of each text, and the bytes they decode to."""
+        """The ids of each text, and the bytes that all its ids decode to."""
         split, get = self.pattern.findall, self.known.__getitem__
         rows = [np.fromiter(map(get, split(t or "")), np.int64) for t in texts]
         if self.known.new:
             self.learn()
-        for row in rows:
+        for i, row in enumerate(rows):
             n = self.length[row]
             at = np.repeat(self.start[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            yield self.ids[at], "".join(map(self.plain.__getitem__, row.tolist())).encode("utf-8", "surrogatepass")
+            rows[i] = self.ids[at]
         if len(self.known) > REMEMBERED:
             self.forget()
+        yield from zip(rows, self.decode(rows))
 
 
 class _Numbered(dict):
@@ -178,7 +196,8 @@ def encode(docs: DataFrame, text_col: str = "text", ranks: str = RANKS, pattern:
     """The columns of ``docs`` and ``ids`` (array<int>), ``decoded`` (binary: the ids decoded again).
 
     Columns of these names in ``docs`` are replaced. A null text is encoded as an empty one. Whole texts are
-    encoded, each match of the pattern by itself. No row moves between partitions.
+    encoded, each match of the pattern by itself. Repeated rows stay, an empty table gives an empty one. No row moves
+    between partitions.
     """
 
     @F.pandas_udf("ids array<int>, decoded binary")
