@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm.shared import batches_of, shared_path
+from siftlode.llm.shared import batches_of, shared_path, written
 
 #: Bytes of a record's block; longer ones are segmented.
 SEGMENT = 16 << 10
@@ -29,6 +29,8 @@ CHUNK = 4 << 10
 FILE_RECORDS = 512
 #: Pages that Python holds at a time.
 BATCH = 200
+#: Repeated payloads up to which their hashes (32 bytes) are broadcast, and the keys of one payload beyond it.
+MAX_BROADCAST, SALTS = 200_000, 64
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -115,6 +117,21 @@ def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + n + 4
 
 
+def _typed(keyed: DataFrame) -> DataFrame:
+    """(id, url, payload, of, revisit) of rows with the hash ``h`` of their payload.
+
+    Repeats are found by hashes and ids alone; their table joins back where it is small, so that no payload moves.
+    Beyond MAX_BROADCAST the rows of a payload are dealt over SALTS keys.
+    """
+    repeats = written(keyed.groupBy("h").agg(F.max("id").alias("of"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "of", F.lit(True).alias("again")), "repeats")
+    if repeats.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        met = keyed.join(F.broadcast(repeats), "h", "left")
+    else:
+        salted = repeats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = keyed.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"], "left")
+    return met.select("id", "url", "payload", "of", (F.coalesce("again", F.lit(False)) & ~F.col("id").eqNullSafe(F.col("of"))).alias("revisit"))
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Writes gzipped archives of all rows of ``pages`` (id, url, html; other columns are not read).
 
@@ -123,9 +140,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     html is an empty payload. An empty table writes no record.
     """
     src = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    keyed = src.withColumn("h", F.sha2("payload", 256))
-    first = keyed.groupBy("h").agg(F.max("id").alias("of"))
-    typed = keyed.join(first, "h").select("id", "url", "payload", "of", (~F.col("id").eqNullSafe(F.col("of"))).alias("revisit"))
+    typed = _typed(src.withColumn("h", F.unhex(F.sha2("payload", 256))))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -205,9 +220,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest): a row for each page.
 
     The payload of a revisit is null; its bytes and digest are those of the response it names, whose digest
-    must equal the revisit's own. A response whose payload does not match its digest fails the read.
+    must equal the revisit's own. A response whose payload does not match its digest fails the read. The archives
+    are parsed once, into a table of records in the shared folder.
     """
-    recs = read_records(spark, path)
+    recs = written(read_records(spark, path), "records")
 
     @F.pandas_udf("payload binary, n long, sha string")
     def decoded(block: pd.Series, sha: pd.Series) -> pd.DataFrame:

@@ -18,7 +18,9 @@ def rows():
     ]
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("bound", [warc.MAX_BROADCAST, 0])
+def test_round_trip(spark, monkeypatch, bound):
+    monkeypatch.setattr(warc, "MAX_BROADCAST", bound)
     src = rows()
     docs = spark.createDataFrame(src, SCHEMA).repartition(3)
     path = shared_path(spark, "t")
