@@ -33,9 +33,9 @@ AT_ONCE, SQUARES = 16_000, 4 << 20
 #: Pieces that a worker remembers before it starts afresh; bounds its memory at about 150 MB.
 REMEMBERED = 600_000
 #: Bytes of text taken at a time.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 #: Ids decoded by one aggregation; longer runs are decoded in parts, which bounds its memory.
-DECODED = 1 << 20
+DECODED = 1 << 18
 
 # A token knows the next one (np, nid); key is rank, place and next place of the pair in one number, so that its
 # minimum names all three. Only the contracted token and the one before it look their pair up again.
@@ -205,8 +205,9 @@ def encode(docs: DataFrame, text_col: str = "text", ranks: str = RANKS, pattern:
         c = codec(ranks, pattern)
         for s in texts:
             t = [x if isinstance(x, str) else None for x in s]
-            rows = [r for b in _blocks(t) for r in c.texts(t[b])]
-            yield pd.DataFrame({"ids": [r[0] for r in rows], "decoded": [r[1] for r in rows]})
+            for b in _blocks(t):
+                ids, decoded = zip(*c.texts(t[b]))
+                yield pd.DataFrame({"ids": ids, "decoded": decoded})
 
     rest = [c for c in docs.columns if c not in ("ids", "decoded")]
     return docs.select(*rest, each(F.col(text_col).cast("string")).alias("__e")).select(*rest, "__e.ids", "__e.decoded")
@@ -219,9 +220,10 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ran
         c = codec(ranks, pattern)
         for pdf in batches:
             t = [x if isinstance(x, str) else None for x in pdf["t"]]
-            out = [(len(i), hashlib.sha256(i.astype("<u4")).hexdigest(), hashlib.sha256(d).hexdigest()) for b in _blocks(t) for i, d in c.texts(t[b])]
-            made = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            yield pd.concat([pdf[["id"]].reset_index(drop=True), made], axis=1)
+            for b in _blocks(t):
+                out = [(len(i), hashlib.sha256(i.astype("<u4")).hexdigest(), hashlib.sha256(d).hexdigest()) for i, d in c.texts(t[b])]
+                made = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pd.concat([pdf[["id"]][b].reset_index(drop=True), made], axis=1)
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     kind = src.schema["id"].dataType.simpleString()
