@@ -52,3 +52,15 @@ def test_forgetting_changes_nothing(reference, monkeypatch):
 
 def test_empty(spark):
     assert bpe.op6_bpe(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_batches_of_several_blocks(spark, reference):
+    rows = [(i, f"row {i} " * (bpe.BLOCK // 24 if i % 7 == 3 else 5)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    staged = {r.doc_id: r for r in bpe.stage(spark, docs, "").collect()}
+    digests = {r.doc_id: r for r in bpe.op6_bpe(docs).collect()}
+    assert len(staged) == len(digests) == 40
+    for i, t in rows:
+        ids = reference.encode_ordinary(t)
+        assert staged[i].ids == ids and staged[i].round_trip and staged[i].text == t
+        assert digests[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
