@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlode.llm import attention_lm, bpe, decontaminate, htmltree, quality, sharding, simhash, substring, urlfilter, warc
+from siftlode.llm import attention_lm, bpe, decontaminate, htmltree, piece, quality, sharding, simhash, substring, urlfilter, warc
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_urls": _over("pages", urlfilter.op8_urls),
         "op9_html": _over("pages", htmltree.op9_html),
         "op10_warc": _over("pages", warc.op10_warc),
+        "op11_pieces": _over("documents", piece.op11_pieces),
     }
 
 
