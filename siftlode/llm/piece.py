@@ -31,12 +31,12 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BLANK = "▁"
 #: A character that is no piece, as a last token; it becomes its bytes.
 UNKNOWN = -1
-#: Spans and pairs that a worker remembers before it starts afresh: bounds of its memory, at about 100 and 60 MB each.
-SPANS, PAIRS = 500_000, 500_000
+#: Spans and pairs that a worker remembers before it starts afresh: bounds of its memory, at about 75 and 40 MB.
+SPANS, PAIRS = 300_000, 300_000
 #: Characters of a span that fills its table with others; longer ones do so alone and are not remembered.
 SHORT = 48
 #: Characters of text whose spans are taken together.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 class PieceModel:
@@ -275,8 +275,10 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataF
     def each(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = piece_model(model)
         for s in texts:
-            ids = list(m.encode([t if isinstance(t, str) else None for t in s]))
-            yield pd.DataFrame({"ids": ids, "decoded": [m.decode(x.tolist()) for x in ids]})
+            own = [t if isinstance(t, str) else None for t in s]
+            for a, b in _blocks(own):
+                ids = list(m.encode(own[a:b]))
+                yield pd.DataFrame({"ids": ids, "decoded": [m.decode(x.tolist()) for x in ids]})
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("ids", "decoded")]
     own = F.struct(*rest).alias("row") if rest else F.lit(None).alias("row")
