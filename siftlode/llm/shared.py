@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Words are maximal runs of other characters; ``bytes.split()`` splits at exactly these.
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -69,6 +70,24 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
 
 
+def numbered(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
+    """df with ``pos``, the place from 0 of each row in its group by ``order`` (nulls first), and ``n``, the group's rows.
+
+    Rows are dealt to ranges of group and order and counted there; the ranges' counts are added up, so a group of any
+    size is spread over tasks. Rows equal in group and order may change places. df should be a written table, since
+    the ranges are found by reading it once before. ``__m`` and ``__p`` must not be columns of df.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in [*groups, *order]]
+    rows = df.withColumn("__m", F.monotonically_increasing_id())  # rows that are equal otherwise are spread too
+    rows = rows.repartitionByRange(*keys, "__m").sortWithinPartitions(*keys, "__m").withColumn("__m", F.monotonically_increasing_id())
+    rows = written(rows.withColumn("__p", F.shiftright("__m", 33)), "placed")
+    runs = rows.groupBy(*groups, "__p").agg(F.min("__m").alias("first"), F.count("*").alias("c"))
+    whole = Window.partitionBy(*groups)
+    before = F.coalesce(F.sum("c").over(whole.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(*groups, "__p", (before - F.col("first")).alias("shift"), F.sum("c").over(whole).alias("n"))
+    return rows.join(runs, [*groups, "__p"]).select(*df.columns, (F.col("__m") + F.col("shift")).alias("pos"), "n")
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8; a null text has none."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
