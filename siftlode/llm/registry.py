@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlode.llm import attention_lm, bpe, decontaminate, htmltree, piece, quality, sharding, simhash, substring, urlfilter, warc
+from siftlode.llm import attention_lm, bpe, conversation, decontaminate, htmltree, merkle, piece, quality, sharding, simhash, substring, urlfilter, warc
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -26,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html": _over("pages", htmltree.op9_html),
         "op10_warc": _over("pages", warc.op10_warc),
         "op11_pieces": _over("documents", piece.op11_pieces),
+        "op12_merkle": _over("documents", merkle.op12_merkle),
+        "op13_conversations": _over("conversations", conversation.op13_conversations),
     }
 
 
@@ -34,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality": quality.SQL,
         "op5_decontaminate": decontaminate.SQL,
         "op8_urls": urlfilter.SQL,
+        "op12_merkle": merkle.SQL,
     }
