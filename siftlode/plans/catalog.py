@@ -513,7 +513,7 @@ def stratified_unique(spark, sf_dir):
     return sample.stratified_unique(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_partkey", 20, 7)
 
 
-from siftlode.plans import features, files  # noqa: E402, F401  (they register their queries)
+from siftlode.plans import features, files, graphs  # noqa: E402, F401  (they register their queries)
 from siftlode.plans.registered import ORACLE, QUERIES  # noqa: E402
 
 

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -79,11 +80,36 @@ def test_neighbours(spark):
     assert [r.embedding for r in knn.wide_vectors(w, "e", 2).collect()] == [[1.0, 2.0], None] and knn.wide_vectors(w, "e", 2, zero_fill=True).collect()[1].embedding == [0.0, 2.0]
 
 
-def test_many_queries_take_blocks(spark, monkeypatch):
-    v = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(30)], "i int, v array<double>")
-    want = knn.knn(v, v, "i", "v", 3).collect()
-    monkeypatch.setattr(knn, "MAX_BROADCAST_QUERIES", 5)
-    assert sorted(knn.knn(v, v, "i", "v", 3).collect()) == sorted(want)
+def plain_neighbours(rows, k, exclude_self):
+    out = []
+    for q, v in rows:
+        if not v or q is None or not all(x is not None and math.isfinite(x) for x in v):
+            continue
+        near = sorted((math.dist(v, w), r) for r, w in rows if r is not None and w is not None and len(w) == len(v) and all(x is not None and math.isfinite(x) for x in w) and not (exclude_self and r == q))
+        out += [(q, r, i, round(d, 9)) for i, (d, r) in enumerate(near[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("exclude_self", [True, False])
+@pytest.mark.parametrize("tile_bytes", [1 << 20, 900])
+@pytest.mark.parametrize("name", [int, "v{:03d}".format])
+def test_tiles_of_both_sides(spark, monkeypatch, exclude_self, tile_bytes, name):
+    rng = random.Random(9)
+    rows = [(name(i), [float(rng.randint(0, 3)) for _ in range(3)]) for i in range(70)]  # many ties
+    rows += [(name(i), [rng.gauss(1e6, 1) for _ in range(5)]) for i in range(70, 90)]
+    rows += [(name(90), None), (None, [1.0, 1.0, 1.0]), (name(91), [float("nan"), 0.0, 0.0]), (name(92), [None, 0.0, 0.0]), (name(93), []), (name(94), [7.0])]
+    monkeypatch.setattr(knn, "QUERY_ROWS", 16)
+    monkeypatch.setattr(knn, "REF_ROWS", 8)
+    v = spark.createDataFrame(rows, f"i {'long' if name is int else 'string'}, v array<double>").repartition(3)
+    got = knn.knn(v, v, "i", "v", 4, exclude_self=exclude_self, tile_bytes=tile_bytes)
+    assert sorted((r.query_id, r.ref_id, r.rank, round(r.distance, 9)) for r in got.collect()) == plain_neighbours(rows, 4, exclude_self)
+
+
+def test_k_of_each_query(spark):
+    v = spark.createDataFrame([(i, [float(i)]) for i in range(9)], "i int, v array<double>")
+    got = knn.knn(v, v, "i", "v", F.col("i") % 3, exclude_self=True, tile_bytes=100)
+    assert {r.query_id: r["count"] for r in got.groupBy("query_id").count().collect()} == {i: i % 3 for i in range(9) if i % 3}
+    assert knn.knn(v.limit(0), v, "i", "v").count() == 0 and knn.knn(v, v.limit(0), "i", "v").count() == 0
 
 
 def test_samples_and_splits(spark):
