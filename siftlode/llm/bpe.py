@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftlode.llm.shared import unused
+
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bytes up to which pieces are contracted in SQL.
 LONG = 1024
@@ -209,8 +211,9 @@ def encode(docs: DataFrame, text_col: str = "text", ranks: str = RANKS, pattern:
                 ids, decoded = zip(*c.texts(t[b]))
                 yield pd.DataFrame({"ids": ids, "decoded": decoded})
 
-    rest = [c for c in docs.columns if c not in ("ids", "decoded")]
-    return docs.select(*rest, each(F.col(text_col).cast("string")).alias("__e")).select(*rest, "__e.ids", "__e.decoded")
+    rest = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
+    (made,) = unused(docs, "made")
+    return docs.select(*rest, each(F.col(text_col).cast("string")).alias(made)).select(*rest, F.col(made)["ids"].alias("ids"), F.col(made)["decoded"].alias("decoded"))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:

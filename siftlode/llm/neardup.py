@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.llm.components import components
-from siftlode.llm.shared import batches_of, tasks, written
+from siftlode.llm.shared import batches_of, tasks, unused, written
 from siftlode.llm.simhash import Plan, _hashes, _majority, allocate, bit_statistics, filed, masks
 
 #: Words of a shingle and the Jaccard similarity of near-duplicates.
@@ -298,6 +298,7 @@ def _similar(pairs: DataFrame, classes: DataFrame, src: DataFrame, similarity: f
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class the row with the smallest id, with its own columns; null ids all stay."""
-    g = near_duplicates(docs).where("id <=> component_id").select(F.col("id").alias("__id"), F.col("tx").alias("__gx")).distinct()
-    kept = docs.withColumn("__tx", F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
-    return kept.join(g, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tx") == F.col("__gx")), "left_semi").select(*docs.columns)
+    id_, gx, tx = unused(docs, "id", "gx", "tx")
+    g = near_duplicates(docs).where("id <=> component_id").select(F.col("id").alias(id_), F.col("tx").alias(gx)).distinct()
+    kept = docs.withColumn(tx, F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
+    return kept.join(g, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(tx) == F.col(gx)), "left_semi").select(*docs.columns)

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlode.llm.shared import unused
+
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 #: Everyday words of the four languages of the corpus (a parameter of the rules, lower case).
@@ -51,12 +53,13 @@ def counts(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFra
     A null text counts as empty: all counts are zero. Every step is a built-in expression on the row
     itself: nothing is shuffled, and one document's arrays are all a task holds. A word is covered by a
     repeat if it lies in a 3-word window that occurs twice in the text: windows are hashed, sorted with
-    their positions and compared with their neighbours, so the cost is that of a sort.
+    their positions and compared with their neighbours, so the cost is that of a sort. Repeated rows are
+    counted each, an empty table stays empty, columns that have a count's name are replaced, all others stay.
     """
     p = prefix
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     spaced = F.translate(t, _SPACES, " " * len(_SPACES))
-    c = lambda n: f"{p}__{n}"
+    c = dict(zip(("t", "w", "lines", "s"), unused(docs, "t", "w", "lines", "s"))).__getitem__
     df = docs.withColumn(c("t"), t).withColumn(c("w"), F.filter(F.split(spaced, " "), lambda w: w != ""))
     lines = F.filter(F.split(F.col(c("t")), "\n"), lambda x: F.btrim(x, F.lit(" " + _SPACES)) != "")
     w = F.col(c("w"))
@@ -111,12 +114,15 @@ def op3_quality(docs: DataFrame) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that pass the base test and every rule, with their own columns."""
-    d = counts(docs, prefix="_quality_")
-    keep = ~base_failed("_quality_") & first_failure(prefix="_quality_").isNull()
+    own = "_quality_"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own = "_" + own
+    d = counts(docs, prefix=own)
+    keep = ~base_failed(own) & first_failure(prefix=own).isNull()
     # the verdict passes through a generator of one row: a filter on it would be pushed below the arrays it
     # comes from and evaluate them again for every use
-    d = d.withColumn("_quality_keep", F.explode_outer(F.array(keep)))
-    return d.where("_quality_keep").select(*docs.columns)
+    d = d.withColumn(own + "keep", F.explode_outer(F.array(keep)))
+    return d.where(F.col(own + "keep")).select(*docs.columns)
 
 
 def _ratio_sql(r: Rule) -> str:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.shared import shared_path
+from siftlode.llm.shared import shared_path, unused
 
 #: Bytes of text that a bucket holds on average.
 BUCKET_BYTES = 8 << 20
@@ -37,39 +37,40 @@ def shuffled_shards(
     An empty table writes an empty table.
     """
     spark = docs.sparkSession
-    cols = [c for c in docs.columns if c not in ("shard", "slot")]
+    cols = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    bucket_, key_, place_, start_ = unused(docs, "bucket", "key", "place", "start")
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) + 1
     total = docs.agg(F.sum(size.cast("long")).alias("b")).first().b or 0
     n = min(max(1, -(-total // bucket_bytes)), MAX_BUCKETS)
     # two seeds for the hash: bucket and order within it must not depend on each other
     key = lambda s: F.xxhash64(F.lit(seed + s), F.col(id_col), F.col(text_col))
-    named = docs.select(*cols, F.pmod(key(0), F.lit(n)).cast("int").alias("__bucket"), key(1).alias("__key"))
-    sizes = {r["__bucket"]: r["count"] for r in named.groupBy("__bucket").count().collect()}
+    named = docs.select(*cols, F.pmod(key(0), F.lit(n)).cast("int").alias(bucket_), key(1).alias(key_))
+    sizes = {r[bucket_]: r["count"] for r in named.groupBy(bucket_).count().collect()}
     starts = [0, *accumulate(sizes.get(b, 0) for b in range(n))]
-    offset = spark.createDataFrame([(b, starts[b]) for b in range(n)], "__bucket int, __start long")
-    dealt = named.repartition(n, "__bucket").sortWithinPartitions("__bucket", "__key", id_col)
+    offset = spark.createDataFrame([(b, starts[b]) for b in range(n)], f"{bucket_} int, {start_} long")
+    dealt = named.repartition(n, bucket_).sortWithinPartitions(bucket_, key_, id_col)
     schema = docs.select(*cols).schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
     def fisher_yates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def drawn(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(parts)
-            b = t["__bucket"][0].as_py()
+            b = t[bucket_][0].as_py()
             order = np.random.default_rng([seed, b]).permutation(len(t))  # order[i]: the row at place i
             place = np.arange(len(t), dtype=np.int64)
-            t = t.drop_columns(["__key"])
+            t = t.drop_columns([key_])
             for i in range(0, len(t), 500):
-                part = t.take(order[i : i + 500]).append_column("__place", pa.array(place[i : i + 500]))
+                part = t.take(order[i : i + 500]).append_column(place_, pa.array(place[i : i + 500]))
                 yield from part.combine_chunks().to_batches()
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
             at = 0
-            ids = batch.column(batch.schema.get_field_index("__bucket")).to_numpy(zero_copy_only=False)
+            ids = batch.column(batch.schema.get_field_index(bucket_)).to_numpy(zero_copy_only=False)
             for cut in [*(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]:
                 if cut == at:
                     continue
-                if held and held[0].column(held[0].schema.get_field_index("__bucket"))[0].as_py() != ids[at]:
+                if held and held[0].column(held[0].schema.get_field_index(bucket_))[0].as_py() != ids[at]:
                     yield from drawn(held)
                     held = []
                 held.append(batch.slice(at, cut - at))
@@ -77,10 +78,10 @@ def shuffled_shards(
         if held:
             yield from drawn(held)
 
-    placed = dealt.mapInArrow(fisher_yates, f"{fields}, __bucket int, __place long")
-    at = F.col("__start") + F.col("__place")
-    placed = placed.join(F.broadcast(offset), "__bucket")
-    out = placed.select(*cols, (at % shards).cast("int").alias("shard"), F.expr(f"(__start + __place) div {shards}").alias("slot"))
+    placed = dealt.mapInArrow(fisher_yates, f"{fields}, {bucket_} int, {place_} long")
+    at = F.col(start_) + F.col(place_)
+    placed = placed.join(F.broadcast(offset), bucket_)
+    out = placed.select(*cols, (at % shards).cast("int").alias("shard"), F.expr(f"({start_} + {place_}) div {shards}").alias("slot"))
     path = path or shared_path(spark, "shards")
     out.write.option("compression", "zstd").partitionBy("shard").parquet(path)
     return spark.read.schema(out.schema).parquet(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -11,29 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftlode.session import scratch as shared_path  # noqa: E402
+
 #: Words are maximal runs of other characters; ``bytes.split()`` splits at exactly these.
 SEPARATORS = " \t\n\x0b\x0c\r"
 #: Shuffle files go once the query that made them has ended; a written table is what lasts.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (tests on one machine) is a temporary folder made and set.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not base:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="siftlode-"))
-        base = sc._jsc.sc().getCheckpointDir().get()
-    return base.rstrip("/")
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
 
 def written(df: DataFrame, label: str = "step") -> DataFrame:
     """The same rows as a Parquet table in the shared folder.
@@ -47,6 +30,14 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, behind as many underscores as it takes for none to be a column of df (case aside)."""
+    have, before = {c.lower() for c in df.columns}, ""
+    while any((before + n).lower() in have for n in names):
+        before += "_"
+    return tuple(before + n for n in names)
+
+
 def tasks(spark: SparkSession) -> int:
     """How many tasks work gets whose bytes do not tell its cost (AQE merges partitions by bytes)."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -75,17 +66,19 @@ def numbered(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
 
     Rows are dealt to ranges of group and order and counted there; the ranges' counts are added up, so a group of any
     size is spread over tasks. Rows equal in group and order may change places. df should be a written table, since
-    the ranges are found by reading it once before. ``__m`` and ``__p`` must not be columns of df.
+    the ranges are found by reading it once before. Columns named pos and n are replaced.
     """
     keys = [F.col(c).asc_nulls_first() for c in [*groups, *order]]
-    rows = df.withColumn("__m", F.monotonically_increasing_id())  # rows that are equal otherwise are spread too
-    rows = rows.repartitionByRange(*keys, "__m").sortWithinPartitions(*keys, "__m").withColumn("__m", F.monotonically_increasing_id())
-    rows = written(rows.withColumn("__p", F.shiftright("__m", 33)), "placed")
-    runs = rows.groupBy(*groups, "__p").agg(F.min("__m").alias("first"), F.count("*").alias("c"))
+    df = df.drop("pos", "n")
+    at, run, first, size, shift = unused(df, "at", "run", "first", "size", "shift")
+    rows = df.withColumn(at, F.monotonically_increasing_id())  # rows that are equal otherwise are spread too
+    rows = rows.repartitionByRange(*keys, at).sortWithinPartitions(*keys, at).withColumn(at, F.monotonically_increasing_id())
+    rows = written(rows.withColumn(run, F.shiftright(at, 33)), "placed")
+    runs = rows.groupBy(*groups, run).agg(F.min(at).alias(first), F.count("*").alias(size))
     whole = Window.partitionBy(*groups)
-    before = F.coalesce(F.sum("c").over(whole.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = runs.select(*groups, "__p", (before - F.col("first")).alias("shift"), F.sum("c").over(whole).alias("n"))
-    return rows.join(runs, [*groups, "__p"]).select(*df.columns, (F.col("__m") + F.col("shift")).alias("pos"), "n")
+    before = F.coalesce(F.sum(size).over(whole.orderBy(run).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(*groups, run, (before - F.col(first)).alias(shift), F.sum(size).over(whole).alias("n"))
+    return rows.join(runs, [*groups, run]).select(*df.columns, (F.col(at) + F.col(shift)).alias("pos"), "n")
 
 
 def words_of(text: str | None) -> list[bytes]:

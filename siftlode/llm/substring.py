@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.shared import sorted_groups, words_of, written
+from siftlode.llm.shared import sorted_groups, unused, words_of, written
 
 WINDOW = 50
 GRAM = 8
@@ -328,10 +328,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.col(text_col).cast("string")
     keyed = docs.select(id_.alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tx"), text.alias("t"))
     cuts = removals(keyed)
-    rest = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    src = docs.select(*rest, id_.alias("__id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("__tx"), text.alias("__t"))
-    cuts = cuts.select(F.col("id").alias("__id"), F.col("tx").alias("__tx"), F.transform("cuts", lambda x: x["first"]).alias("__a"), F.transform("cuts", lambda x: x["n"]).alias("__n"))
-    both = src.join(cuts, ["__id", "__tx"], "left")
+    rest = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed")]
+    i, x, own, a, n, made = unused(docs, "id", "tx", "own", "a", "n", "made")
+    src = docs.select(*rest, id_.alias(i), F.coalesce(F.xxhash64(text), F.lit(0)).alias(x), text.alias(own))
+    cuts = cuts.select(F.col("id").alias(i), F.col("tx").alias(x), F.transform("cuts", lambda r: r["first"]).alias(a), F.transform("cuts", lambda r: r["n"]).alias(n))
+    both = src.join(cuts, [i, x], "left")
 
     @F.pandas_udf("t string, n_words long, n_removed long")
     def cut(t: pd.Series, first: pd.Series, n: pd.Series) -> pd.DataFrame:
@@ -349,8 +350,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             out.append((b" ".join(keep).decode("utf-8", "surrogatepass"), len(w), len(w) - len(keep)))
         return pd.DataFrame(out, columns=["t", "n_words", "n_removed"])
 
-    both = both.withColumn("__c", cut("__t", "__a", "__n"))
-    return both.select(*(F.col("__c.t").alias(c) if c == text_col else F.col(c) for c in rest), F.col("__c.n_words").alias("n_words"), F.col("__c.n_removed").alias("n_removed"))
+    both = both.withColumn(made, cut(own, a, n))
+    return both.select(*(F.col(made)["t"].alias(c) if c == text_col else F.col(c) for c in rest), F.col(made)["n_words"].alias("n_words"), F.col(made)["n_removed"].alias("n_removed"))
 
 
 def op2_substring(docs: DataFrame) -> DataFrame:
@@ -364,5 +365,6 @@ def op2_substring(docs: DataFrame) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document, its text less the repeated words."""
-    d = dedup_substrings(docs.withColumnsRenamed({c: f"__own_{c}" for c in ("n_words", "n_removed") if c in docs.columns}))
-    return d.select(*(F.col(f"__own_{c}").alias(c) if c in ("n_words", "n_removed") else F.col(c) for c in docs.columns))
+    put = {c: unused(docs, f"own_{c}")[0] if c.lower() in ("n_words", "n_removed") else c for c in docs.columns}
+    d = dedup_substrings(docs.withColumnsRenamed({c: p for c, p in put.items() if c != p}))
+    return d.select(*(F.col(p).alias(c) for c, p in put.items()))

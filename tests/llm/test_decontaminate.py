@@ -1,5 +1,8 @@
 import random
 
+import duckdb
+import pandas as pd
+
 from siftlode.llm import decontaminate as D
 
 BENCH = [
@@ -38,3 +41,19 @@ def test_a_large_benchmark_is_shuffled(spark, monkeypatch):
     want = sorted((str(r.doc_id), r.item_ids) for r in run(spark, DOCS, BENCH).collect())
     monkeypatch.setattr(D, "MAX_BROADCAST", 1)
     assert sorted((str(r.doc_id), r.item_ids) for r in run(spark, DOCS, BENCH).collect()) == want
+
+
+def test_items_without_templates(spark):
+    names = "we saw Anna Bell Carl Dora Emil Fred Gina 12 34 56 78 and left"
+    bench = [(0, names), (1, "who wrote the old green book"), (2, "two words"), (3, ""), (4, "one two three four")]
+    docs = [
+        (0, names), (1, "Before. " + names + " After."), (2, "who wrote the old green book"), (3, "so: Who wrote the old green book? nobody"), (4, "who wrote the old red book"),
+        (5, "two words"), (6, ""), (7, None), (8, "we saw Anna Bell Carl and left"), (9, "who wrote the old, the old green book"), (10, "one two three four five"), (11, "four three two one"),
+    ]
+    got = {r.doc_id: (r.item_ids, r.coverage) for r in run(spark, docs, bench).collect()}
+    assert {k: v for k, v in got.items() if v[0]} == {0: ([0], 1.0), 1: ([0], 1.0), 2: ([1], 1.0), 3: ([1], 1.0), 10: ([4], 1.0)}
+    con = duckdb.connect()
+    d, b = (pd.DataFrame(x, columns=[c, "text"]) for x, c in ((docs, "doc_id"), (bench, "item_id")))
+    con.register("documents", d)
+    con.register("benchmark", b)
+    assert {i: (x, c) for i, _, x, c in con.sql(D.SQL).fetchall()} == got
