@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.functions.text import uniform
+from siftlode.session import kept
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
@@ -39,6 +40,60 @@ def degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy("g", F.col("s").alias("v")).agg(F.count("*").alias("degree"))
 
 
+def equalised(vertices: DataFrame, edges: DataFrame, kinds: DataFrame, rounds: int = 6, damping: float = 0.5, cut: int = 3) -> DataFrame:
+    """(g, v, charge): partial charges by exchange over bonds, a fixed number of rounds, each smaller by ``damping``.
+
+    vertices (g, v, kind, charge: the formal one, null for 0), edges (g, s, d), kinds (kind, a, b, c, top): a kind's
+    electronegativity at charge q is a + b q + c q^2, and ``top`` is its value as a positive ion. In each round an edge moves
+    damping^k (chi(d) - chi(s)) / top of its less electronegative end from one end to the other, so the total of a graph stays.
+    Vertices of an unknown kind take part in no exchange; loops and doubled edges count as none and once. Lineage is cut
+    every ``cut`` rounds.
+    """
+    v = vertices.join(kinds, "kind", "left").select("g", "v", F.coalesce(F.col("charge").cast("double"), F.lit(0.0)).alias("q"), "a", "b", "c", "top")
+    v = kept(v, "charges")
+    both = kept(mirrored(edges.where("s <> d").select("g", "s", "d")), "edges")
+    chi = F.col("a") + F.col("b") * F.col("q") + F.col("c") * F.col("q") * F.col("q")
+    for k in range(1, rounds + 1):
+        at = v.select("g", "v", "q", chi.alias("chi"), "top")
+        pairs = both.join(at.select("g", F.col("v").alias("s"), F.col("chi").alias("x"), F.col("top").alias("tx")), ["g", "s"])
+        pairs = pairs.join(at.select("g", F.col("v").alias("d"), F.col("chi").alias("y"), F.col("top").alias("ty")), ["g", "d"])
+        moved = (F.col("y") - F.col("x")) / F.when(F.col("y") > F.col("x"), F.col("tx")).otherwise(F.col("ty")) * damping**k
+        gains = pairs.groupBy("g", F.col("s").alias("v")).agg(F.sum(moved).alias("gain"))
+        v = v.join(gains, ["g", "v"], "left").withColumn("q", F.col("q") + F.coalesce("gain", F.lit(0.0))).drop("gain")
+        if k % cut == 0:
+            v = kept(v, "charges")
+    return v.select("g", "v", F.col("q").alias("charge"))
+
+
+def edge_features(edges: DataFrame, rings: DataFrame) -> DataFrame:
+    """(g, s, d, order, in_ring, conjugated, degrees): edges (g, s, d, order) with what needs their surroundings.
+
+    order is 1, 1.5, 2 or 3. An edge is conjugated if it is of order 1.5, or single between two ends that each have another edge
+    above single, or above single beside a conjugated single edge. degrees: those of both ends. rings: as ``smallest_rings`` gives.
+    """
+    one = edges.where("s <> d").groupBy("g", F.least("s", "d").alias("s"), F.greatest("s", "d").alias("d")).agg(F.max(F.col("order").cast("double")).alias("order"))
+    one = kept(one, "edges")
+    ends = lambda e: e.select("g", F.explode(F.array("s", "d")).alias("v"), *(c for c in e.columns if c not in ("g", "s", "d")))
+    around = ends(one).groupBy("g", "v").agg(F.count("*").alias("degree"), F.count_if(F.col("order") > 1).alias("multiple"))
+    at = lambda c, n: around.select("g", F.col("v").alias(c), F.col("degree").alias(f"degree_{n}"), F.col("multiple").alias(f"multiple_{n}"))
+    e = one.join(at("s", "s"), ["g", "s"]).join(at("d", "d"), ["g", "d"])
+    bridge = (F.col("order") == 1) & (F.col("multiple_s") > 0) & (F.col("multiple_d") > 0)
+    e = kept(e.withColumn("bridge", bridge), "edges")
+    beside = ends(e.where("bridge").select("g", "s", "d")).distinct()
+    mark = lambda c: beside.select("g", F.col("v").alias(c), F.lit(True).alias(f"beside_{c}"))
+    e = e.join(mark("s"), ["g", "s"], "left").join(mark("d"), ["g", "d"], "left")
+    conjugated = F.col("bridge") | (F.col("order") == 1.5) | ((F.col("order") > 1) & F.coalesce("beside_s", "beside_d", F.lit(False)))
+    found = rings.select("g", "s", "d", F.col("ring").isNotNull().alias("in_ring"))
+    return e.join(found, ["g", "s", "d"], "left").select("g", "s", "d", "order", F.coalesce("in_ring", F.lit(False)).alias("in_ring"), conjugated.alias("conjugated"), F.array("degree_s", "degree_d").alias("degrees"))
+
+
+def edge_index(edges: DataFrame, features: list[str]) -> DataFrame:
+    """(g, edges): the edges of a graph as one array of (s, d, x), each in both directions, in order; x has the features."""
+    x = F.array(*(F.col(c).cast("double") for c in features))
+    both = edges.select("g", F.explode(F.array(F.struct("s", "d", x.alias("x")), F.struct(F.col("d").alias("s"), F.col("s").alias("d"), x.alias("x")))).alias("e"))
+    return both.groupBy("g").agg(F.array_sort(F.collect_list("e")).alias("edges"))
+
+
 def masked_vertices(edges: DataFrame, share: float = 0.25, seed: int = 0) -> DataFrame:
     """(g, v): a connected set of about ``share`` of each graph's vertices, none of graphs of two or fewer.
 

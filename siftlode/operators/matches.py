@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.functions.text import finite_or_zero, lookup, one_hot, trim_all
+from siftlode.functions.text import finite_or_zero, lookup, non_blank, one_hot, trim_all
 
 
 def best_label(hits: DataFrame) -> DataFrame:
@@ -53,13 +53,15 @@ def distribution(df: DataFrame, value: str, name: str = "n") -> DataFrame:
     return df.groupBy(value).agg(F.count("*").alias(name))
 
 
-def by_lists(df: DataFrame, journals: list[str], extra: DataFrame, exclude: DataFrame) -> DataFrame:
-    """(journal, cid, name): rows of the journals, one a journal and cid, with extra rows that are not there yet,
-    less excluded names. Journals compare trimmed and in upper case, names trimmed and in lower case."""
+def by_lists(df: DataFrame, journals: list[str], extra: DataFrame, exclude: DataFrame, order: str) -> DataFrame:
+    """(journal, cid, name): rows of the journals, the first by ``order`` of each journal and cid, with extra rows that are
+    not there yet, less excluded names. Journals compare trimmed and in upper case, names trimmed and in lower case; a blank
+    name is 'CID' and the cid."""
     journal, name = F.upper(trim_all("journal")), F.lower(trim_all("name"))
     own = df.withColumn("journal", journal).where(F.col("journal").isin(*(j.strip().upper() for j in journals)) & F.col("cid").isNotNull())
-    both = own.select("journal", "cid", "name", F.lit(0).alias("o")).unionAll(extra.select(journal.alias("journal"), "cid", "name", F.lit(1).alias("o")))
-    one = both.groupBy("journal", "cid").agg(F.min_by("name", F.struct("o", "name")).alias("name")).withColumn("__n", name)
+    both = own.select("journal", "cid", "name", F.lit(0).alias("o"), order).unionAll(extra.select(journal.alias("journal"), "cid", "name", F.lit(1).alias("o"), order))
+    both = both.withColumn("name", F.coalesce(non_blank("name"), F.concat(F.lit("CID"), F.col("cid"))))
+    one = both.groupBy("journal", "cid").agg(F.min_by("name", F.struct("o", order, "name")).alias("name")).withColumn("__n", name)
     return one.join(exclude.select(journal.alias("journal"), name.alias("__n")), ["journal", "__n"], "left_anti").select("journal", "cid", "name")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlode.functions.text import uniform
+from siftlode.session import kept
 
 
 def bernoulli(df: DataFrame, keys: list[str], fraction: float, seed: int = 0) -> DataFrame:
@@ -54,19 +55,23 @@ def hash_split(df: DataFrame, keys: list[str], validation: float = 0.2, shards:
 def stratified_unique(df: DataFrame, stratum: str, item: str, n: int, seed: int = 0) -> DataFrame:
     """Up to n items a stratum, none in two strata: strata by size, largest first, each draws from its 2n first by hash.
 
-    The order of strata decides, so they are taken in turn; their number is that of a rule table, and each
-    turn handles at most 2n rows. All else is distributed.
+    All strata claim at once: each its n first items that it has not lost. Of the strata that claim an item the largest
+    keeps it, the others lose it for good and claim their next; what a stratum has kept only a larger one can take
+    from it. So the claims settle on what the strata would take in turn. A round is a window over at most 2n rows a
+    stratum and a join on the item; no stratum, item or draw reaches the driver. Null strata and items are left out.
     """
-    pairs = df.where(F.col(stratum).isNotNull() & F.col(item).isNotNull()).select(stratum, item).distinct()
-    w = Window.partitionBy(stratum).orderBy(uniform(seed, stratum, item), item)
-    drawn = pairs.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= 2 * n)
-    order = [r[0] for r in pairs.groupBy(stratum).count().orderBy(F.desc("count"), stratum).collect()]
-    by: dict = {}
-    for r in drawn.orderBy(stratum, "__r").toLocalIterator():
-        by.setdefault(r[stratum], []).append(r[item])
-    taken, out = set(), []
-    for s in order:
-        got = [x for x in by.get(s, []) if x not in taken][:n]
-        taken.update(got)
-        out += [(s, x) for x in got]
-    return df.sparkSession.createDataFrame(out, pairs.schema)
+    pairs = kept(df.where(F.col(stratum).isNotNull() & F.col(item).isNotNull()).select(F.col(stratum).alias("s"), F.col(item).alias("x")).distinct(), "pairs")
+    first = Window.partitionBy("s").orderBy(uniform(seed, "s", "x"), "x")
+    drawn = pairs.withColumn("r", F.row_number().over(first)).where(F.col("r") <= 2 * n)
+    sizes = pairs.groupBy("s").agg(F.count("*").alias("size"))
+    drawn = kept(drawn.join(sizes, "s").select("s", "x", "r", F.struct((-F.col("size")).alias("size"), "s").alias("turn")), "drawn")
+    lost = drawn.select("s", "x").limit(0)
+    own = Window.partitionBy("s").orderBy("r")
+    while True:
+        claims = drawn.join(lost, ["s", "x"], "left_anti").withColumn("k", F.row_number().over(own)).where(F.col("k") <= n)
+        claims = kept(claims.select("s", "x", "turn"), "claims")
+        best = claims.groupBy("x").agg(F.min("turn").alias("best"))
+        more = kept(claims.join(best, "x").where("turn <> best").select("s", "x"), "lost")
+        if more.isEmpty():
+            return claims.select(F.col("s").alias(stratum), F.col("x").alias(item))
+        lost = kept(lost.unionByName(more), "lost")

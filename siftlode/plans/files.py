@@ -34,16 +34,17 @@ def csv_line_ends_in_cells(spark, sf_dir):
     return readers.table(spark, p, line_ends_in_cells=True)
 
 
-@query("tsv_positional", "SELECT p_partkey::VARCHAR AS cid, p_name AS smiles FROM part WHERE p_size > 10")
+@query("tsv_positional", "SELECT p_partkey::VARCHAR AS cid, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name || '\t' || p_brand END AS smiles FROM part WHERE p_size > 10")
 def tsv_positional(spark, sf_dir):
     p = scratch(spark, "tsv")
     d = table(spark, sf_dir, "part")
-    # small parts come as rows of one cell, which are left out
-    cells = F.when(F.col("p_size") > 10, F.concat_ws("\t", "p_partkey", "p_name", "p_brand")).otherwise(F.col("p_partkey").cast("string"))
-    d = d.select(cells.alias("value")).coalesce(1)
-    head = spark.createDataFrame([("x\ty\tz",)], "value string")
-    _text(head.unionAll(d).coalesce(1), p)  # one file with a header
-    return readers.positional(spark, p, ["cid", "smiles"], "\t")
+    # small parts come as rows of one cell, which are left out; others end in a blank cell, have more cells than the header, or a separator in quotes
+    name = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit('"'), F.col("p_name"), F.lit("\t"), F.col("p_brand"), F.lit('"')))
+    more = F.when(F.col("p_size") % 2 == 0, F.lit("\tz\tmore")).otherwise(F.lit(""))
+    cells = F.when(F.col("p_size") > 10, F.concat(F.col("p_partkey"), F.lit("\t"), name, more)).otherwise(F.col("p_partkey").cast("string"))
+    for i in range(4):  # files with a header each
+        _text(spark.createDataFrame([("x\ty\tz",)], "value string").unionAll(d.where(F.col("p_partkey") % 4 == i).select(cells)).coalesce(1), f"{p}/{i}.tsv")
+    return readers.positional(spark, f"{p}/*", ["cid", "smiles"], "\t")
 
 
 @query("shard_scan", "SELECT shard, source_file, count(*) AS n, min(k) AS least FROM (SELECT c_nationkey::BIGINT AS shard, c_nationkey || '_part.csv' AS source_file, c_custkey AS k FROM customer) GROUP BY ALL")
@@ -76,21 +77,28 @@ def head_rows(spark, sf_dir):
     return readers.lines(spark, p).orderBy("line_no").limit(25).select(F.col("value").cast("long").alias("c_custkey"), "line_no")
 
 
-@query("ragged_scan", "SELECT p_name || ', ' || p_brand AS name, p_partkey::VARCHAR AS cid, p_type AS smiles, p_size::VARCHAR AS journal FROM part")
+@query("ragged_scan", """
+SELECT p_name || CASE p_size % 3 WHEN 0 THEN ', ' || p_brand WHEN 1 THEN ', "' || p_brand || '", x' ELSE '' END AS name, p_partkey::VARCHAR AS cid, p_type AS smiles, p_size || CASE WHEN p_size % 2 = 0 THEN ', J' ELSE '' END AS journal FROM part
+""")
 def ragged_scan(spark, sf_dir):
-    d = table(spark, sf_dir, "part")
-    line = F.concat_ws(",", F.concat_ws(", ", "p_name", "p_brand"), "p_partkey", "p_type", "p_size")
-    p = _text(d.select(line), scratch(spark, "ragged"))
+    # names with bare separators, in quotes with quotes inside, and plain; journals with a separator in quotes
+    d, size = table(spark, sf_dir, "part"), F.col("p_size")
+    quoted = F.concat(F.lit('"'), F.col("p_name"), F.lit(', ""'), F.col("p_brand"), F.lit('"", x"'))
+    name = F.when(size % 3 == 0, F.concat_ws(", ", "p_name", "p_brand")).when(size % 3 == 1, quoted).otherwise(F.col("p_name"))
+    journal = F.when(size % 2 == 0, F.concat(F.lit('"'), size, F.lit(', J"'))).otherwise(size.cast("string"))
+    p = _text(d.select(F.concat_ws(",", name, "p_partkey", "p_type", journal)), scratch(spark, "ragged"))
     return readers.repaired(spark, p, ["name", "cid", "smiles", "journal"])
 
 
 @query("tagged_scan", """
-SELECT p_name || ' ' || p_brand AS title, p_type AS journal, 'About ' || p_partkey AS abstract FROM part WHERE p_size % 5 <> 0
+SELECT p_name || ' ' || p_brand AS title, p_type AS journal, 'About ' || p_partkey || CASE WHEN p_size % 3 = 0 THEN ' ERp57 is a protein ER' || p_size ELSE '' END AS abstract FROM part WHERE p_size % 5 <> 0
 """)
 def tagged_scan(spark, sf_dir):
+    # lines that only begin with ER end nothing
     d = table(spark, sf_dir, "part")
     end = F.when(F.col("p_size") % 2 == 0, F.lit("\r\n")).otherwise(F.lit("\n"))  # both kinds of line ends
-    abstract = F.when(F.col("p_size") % 5 != 0, F.concat(F.lit("AB About"), end, F.lit("   "), F.col("p_partkey"), end)).otherwise(F.lit(""))
+    er = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("ERp57 is a protein"), end, F.lit("ER"), F.col("p_size"), end)).otherwise(F.lit(""))
+    abstract = F.when(F.col("p_size") % 5 != 0, F.concat(F.lit("AB About"), end, F.lit("   "), F.col("p_partkey"), end, er)).otherwise(F.lit(""))
     rec = F.concat(F.lit("PT J"), end, F.lit("TI "), F.col("p_name"), end, F.lit("   "), F.col("p_brand"), end, F.lit("SO "), F.col("p_type"), end, abstract, F.lit("ER "), end)
     p = _text(d.select(rec), scratch(spark, "tagged"))
     return readers.tagged(spark, p, {"TI": "title", "SO": "journal", "AB": "abstract"}, "abstract")
@@ -98,10 +106,24 @@ def tagged_scan(spark, sf_dir):
 
 @query("json_block_scan", "SELECT p_partkey, p_name, p_size FROM part WHERE p_size % 7 <> 0")
 def json_block_scan(spark, sf_dir):
-    d = table(spark, sf_dir, "part")
-    good = F.regexp_replace(F.to_json(F.struct("p_partkey", "p_name", "p_size")), ',"p_size"', ',\r\n "p_size"')
-    p = _text(d.select(F.when(F.col("p_size") % 7 == 0, F.lit("{not json")).otherwise(good)), scratch(spark, "blocks"), "\r\n\r\n")
-    return readers.json_blocks(spark, p, "p_partkey long, p_name string, p_size int")
+    # files of either kind of line ends side by side
+    d, p = table(spark, sf_dir, "part"), scratch(spark, "blocks")
+    for i, end in enumerate(("\r\n", "\n")):
+        good = F.regexp_replace(F.to_json(F.struct("p_partkey", "p_name", "p_size")), ',"p_size"', f',{end} "p_size"')
+        _text(d.where(F.col("p_partkey") % 2 == i).select(F.when(F.col("p_size") % 7 == 0, F.lit("{not json")).otherwise(good)), f"{p}/{i} kind", end * 2)
+    return readers.json_blocks(spark, f"{p}/*", "p_partkey long, p_name string, p_size int")
+
+
+@query("json_fallback", """
+SELECT c_custkey, CASE WHEN c_custkey % 4 <> 3 THEN c_name END AS name, CASE WHEN c_custkey % 4 <> 3 THEN [[c_nationkey, 0.5, -1.0], [2.0, 3.0, c_custkey]]::DOUBLE[][] END AS points FROM customer
+""")
+def json_fallback(spark, sf_dir):
+    # a nested object as JSON, in a code fence behind prose, as a literal with single quotes, or broken; coordinates flat
+    body = F.format_string('{"name": "%s", "coords": {"3d": [%d, 0.5, -1.0, 2.0, 3.0, %d]}}', "c_name", "c_nationkey", "c_custkey")
+    k = F.col("c_custkey") % 4
+    raw = F.when(k == 0, body).when(k == 1, F.concat(F.lit("The answer:\n```json\n"), body, F.lit("\n```\nDone."))).when(k == 2, F.regexp_replace(body, '"', "'")).otherwise(F.lit("{name: none"))
+    o = table(spark, sf_dir, "customer").select("c_custkey", text.lenient_json(raw, "name string, coords struct<`3d`: array<double>>").alias("o"))
+    return o.select("c_custkey", F.col("o.name").alias("name"), text.triples(F.col("o.coords.3d")).alias("points"))
 
 
 @query("json_line_scan", "SELECT count(*) AS n, sum(p_size)::BIGINT AS size FROM part WHERE p_size % 7 <> 0")
@@ -138,9 +160,12 @@ def query_rows_with_fallbacks(spark, sf_dir):
     return readers.with_fallbacks(d, {"cid": ["cid", "ref_cid"], "smiles": ["smiles", "canonical"], "note": ["comment"]})
 
 
-@query("inline_query_rows", "SELECT * FROM (VALUES ('a', 1), ('b', NULL)) AS t(name, cid)")
+@query("inline_query_rows", "SELECT c_custkey, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey END AS cid FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def inline_query_rows(spark, sf_dir):
-    return readers.query_rows(spark, [{"name": "a", "cid": 1}, {"name": "b"}], "name string, cid int")
+    # the rows given inline are those of the smallest table, every other one without a cid; they are joined like any table
+    given = [{"nation": r.n_nationkey, "name": r.n_name} | ({"cid": r.n_regionkey} if r.n_nationkey % 2 == 0 else {}) for r in table(spark, sf_dir, "nation").collect()]
+    rows = readers.query_rows(spark, given, "nation long, name string, cid long")
+    return table(spark, sf_dir, "customer").join(rows, F.col("c_nationkey") == F.col("nation")).select("c_custkey", "name", "cid")
 
 
 @query("partitioned_write", "SELECT lower(c_mktsegment) AS group_slug, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM customer GROUP BY 1")
@@ -180,20 +205,25 @@ def pending_files(spark, sf_dir):
 
 @query("union_of_files", "SELECT c_custkey::VARCHAR AS cid, c_name AS name FROM customer UNION ALL SELECT s_suppkey::VARCHAR, s_name FROM supplier")
 def union_of_files(spark, sf_dir):
+    # two sets of record files are written as one
     p = scratch(spark, "union")
     for t, k in (("customer", "c"), ("supplier", "s")):
         d = table(spark, sf_dir, t)
-        d.select(F.concat(F.lit("m\n> <CID>\n"), F.col(d.columns[0]), F.lit("\n\n> <NAME>\n"), F.col(f"{k}_name"), F.lit("\n\n$$$$"))).write.mode("append").text(p)
-    return readers.structure_blocks(spark, p, {"cid": ["CID"], "name": ["NAME"]}).select("cid", "name")
+        d.select(F.concat(F.lit("m\n> <CID>\n"), F.col(d.columns[0]), F.lit("\n\n> <NAME>\n"), F.col(f"{k}_name"), F.lit("\n\n$$$$"))).write.option("compression", "gzip" if k == "c" else "none").text(f"{p}/{t}")
+    writers.concatenated(spark, [f"{p}/customer", f"{p}/supplier"], f"{p}/all", "$$$$\n")
+    return readers.structure_blocks(spark, f"{p}/all", {"cid": ["CID"], "name": ["NAME"]}).select("cid", "name")
 
 
-@query("extended_rows", "SELECT vec_id, label, 'ok' AS status, round(embedding[1]::DOUBLE, 6) AS emb_0, round(embedding[2]::DOUBLE, 6) AS emb_1 FROM embeddings")
+_CELLS = ", ".join(f"CASE WHEN vec_id % 9 <> 0 THEN printf('%.6f', embedding[{i + 1}]::DOUBLE) END AS emb_{i}" for i in range(64))
+
+
+@query("extended_rows", f"SELECT vec_id::VARCHAR AS vec_id, label::VARCHAR AS label, CASE WHEN vec_id % 9 = 0 THEN 'failed' ELSE 'ok' END AS status, {_CELLS} FROM embeddings")
 def extended_rows(spark, sf_dir):
-    # the columns of the input, a status and the vector in columns of its own
+    # the columns of the input, a status and every cell of the vector as text with six decimals; blank cells where there is none
     p = scratch(spark, "extended")
-    d = table(spark, sf_dir, "embeddings").withColumn("status", F.lit("ok"))
-    d.select("vec_id", "label", "status", *(F.col("embedding")[i].cast("double").alias(f"emb_{i}") for i in range(2))).write.option("header", True).csv(p)
-    return spark.read.schema("vec_id long, label int, status string, emb_0 double, emb_1 double").option("header", True).csv(p).withColumns({c: F.round(c, 6) for c in ("emb_0", "emb_1")})
+    d = table(spark, sf_dir, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 9 != 0, F.col("embedding")))
+    writers.with_cells(d, "embedding", 64).write.option("header", True).csv(p)
+    return readers.table(spark, p, ",")
 
 
 @query("index_and_manifest", """
@@ -201,15 +231,32 @@ SELECT reason, count(*) AS n FROM (SELECT CASE WHEN value < 5 THEN 'low' WHEN va
 UNION ALL SELECT 'index', count(*) FROM events WHERE value BETWEEN 5 AND 90 UNION ALL SELECT 'failures', count(*) FROM events WHERE value < 5 OR value > 90
 """)
 def index_and_manifest(spark, sf_dir):
-    good, bad, manifest = (scratch(spark, x) for x in ("index", "failures", "manifest"))
+    out = scratch(spark, "indexed")
     reason = F.when(F.col("value") < 5, "low").when(F.col("value") > 90, "high")
-    writers.split_by_status(table(spark, sf_dir, "events").select("event_id", "value", reason.alias("reason")), "reason", good, bad, manifest)
-    counts = spark.read.schema("reason string, count long").json(manifest).withColumnRenamed("count", "n")
-    for name, p in (("index", good), ("failures", bad)):
-        counts = counts.union(spark.read.parquet(p).agg(F.lit(name).alias("reason"), F.count("*").alias("n")))
+    writers.indexed(table(spark, sf_dir, "events").select("event_id", "value", reason.alias("reason")), "reason", out, ["event_id"])
+    counts = spark.read.schema("reason string, n long").json(f"{out}/manifest")
+    for name in ("index", "failures"):
+        counts = counts.union(spark.read.parquet(f"{out}/{name}").agg(F.lit(name).alias("reason"), F.count("*").alias("n")))
     return counts
 
 
+@query("index_lineage", """
+WITH f AS (SELECT c_custkey, c_name, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS line_no FROM customer)
+SELECT c_custkey, line_no, CASE WHEN c_acctbal >= 0 THEN c_name END AS name, CASE WHEN c_acctbal < 0 THEN 'negative' END AS reason FROM f
+""")
+def index_lineage(spark, sf_dir):
+    # rows of text files, a file a nation; the index leads from a written row to its line, and from its place to the row
+    src, out = scratch(spark, "lines"), scratch(spark, "indexed")
+    d = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.to_json(F.struct("c_custkey", "c_name", "c_acctbal")).alias("value")).repartition("c_nationkey")
+    d.sortWithinPartitions("c_nationkey", "c_custkey").select("c_nationkey", "value").write.partitionBy("c_nationkey").text(src)
+    got = readers.lines(spark, src).select("source_file", "line_no", F.from_json("value", "c_custkey long, c_name string, c_acctbal double").alias("o")).select("source_file", "line_no", "o.*")
+    got = got.withColumn("reason", F.when(F.col("c_acctbal") < 0, "negative"))
+    writers.indexed(got, "reason", out, ["c_custkey"], ["source_file", "line_no"])
+    index, failures = spark.read.parquet(f"{out}/index"), spark.read.parquet(f"{out}/failures")
+    found = writers.at_places(spark, f"{out}/rows", index).select(F.col("c_custkey"), "line_no", F.col("row.c_name").alias("name"), F.lit(None).cast("string").alias("reason"))
+    return found.unionByName(failures.select("c_custkey", "line_no", F.lit(None).cast("string").alias("name"), "reason"))
+
+
 @query("log_rebuild", """
 SELECT c_custkey AS cid, CASE c_nationkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE '' END AS chloride_found, CASE c_nationkey % 3 WHEN 0 THEN c_name ELSE '' END AS chloride_vendor, c_mktsegment || '; x' AS notes
 FROM customer

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from siftlode.operators import encoder, knn, matches, patterns, rings
+from siftlode.operators import encoder, graph, knn, matches, patterns, rings, stats
 from siftlode.plans.registered import query
 from siftlode.session import table
 
@@ -143,3 +143,110 @@ def knn_both_sides(spark, sf_dir):
     # every vector is a query; the tiles are small enough that the queries need several
     e = table(spark, sf_dir, "embeddings")
     return knn.knn(e, e, "vec_id", "embedding", 3, exclude_self=True, tile_bytes=256 << 10).withColumn("distance", F.round("distance", 6))
+
+
+#: Published parameters of electronegativity by charge, a + b q + c q^2, and its value as a positive ion.
+KINDS = [("C", 7.98, 9.18, 1.88, 19.04), ("N", 11.54, 10.82, 1.36, 23.72), ("O", 14.18, 12.92, 1.39, 28.49)]
+
+
+@query("equalised_charges", f"""
+WITH RECURSIVE v AS MATERIALIZED ({VERTICES}), e AS MATERIALIZED ({EDGES}), b AS MATERIALIZED (SELECT g, s, d FROM e UNION ALL SELECT g, d, s FROM e),
+  k(kind, a, b, c, top) AS (VALUES {", ".join(map(str, KINDS))}),
+  q(n, g, v, q, a, b, c, top) AS (
+    SELECT 0, g, v, CASE WHEN label = 'N' AND g % 5 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE, k.a::DOUBLE, k.b::DOUBLE, k.c::DOUBLE, k.top::DOUBLE FROM v JOIN k ON k.kind = v.label
+    UNION ALL
+    SELECT n + 1, g, v, any_value(q) + sum(pow(0.5, n + 1) * (y - x) / CASE WHEN y > x THEN top ELSE other END), any_value(a), any_value(b), any_value(c), any_value(top) FROM (
+      SELECT p.n, p.g, p.v, p.q, p.a, p.b, p.c, p.top, o.top AS other, p.a + p.b * p.q + p.c * p.q * p.q AS x, o.a + o.b * o.q + o.c * o.q * o.q AS y
+      FROM q p JOIN b ON b.g = p.g AND b.s = p.v JOIN q o ON o.g = b.g AND o.v = b.d WHERE p.n < 6) GROUP BY n, g, v)
+SELECT g, v, round(q, 6) + 0.0 AS charge FROM q WHERE n = 6
+""")
+def equalised_charges(spark, sf_dir):
+    v = vertices(spark, sf_dir).select("g", "v", F.col("label").alias("kind"), F.when((F.col("label") == "N") & (F.col("g") % 5 == 0), 1).alias("charge"))
+    kinds = spark.createDataFrame(KINDS, "kind string, a double, b double, c double, top double")
+    return graph.equalised(v, edges(spark, sf_dir), kinds).withColumn("charge", F.round("charge", 6) + 0.0)
+
+
+def _bonds(spark, sf_dir):
+    k = (F.col("g") + F.col("s") + F.col("d")) % 4
+    return edges(spark, sf_dir).withColumn("order", F.when(k == 0, 2.0).when(k == 1, 1.5).otherwise(1.0))
+
+
+_BONDS = f"""{_RINGS}, o AS (SELECT g, s, d, ring, [2.0, 1.5, 1.0, 1.0][1 + (g + s + d) % 4]::DOUBLE AS "order" FROM ring),
+  h AS (SELECT g, s AS v, "order" AS x FROM o UNION ALL SELECT g, d, "order" FROM o), a AS (SELECT g, v, count(*) AS deg, count(*) FILTER (x > 1) AS mult FROM h GROUP BY g, v),
+  f AS (SELECT o.*, p.deg AS ds, q.deg AS dd, "order" = 1 AND p.mult > 0 AND q.mult > 0 AS bridge FROM o JOIN a p ON p.g = o.g AND p.v = o.s JOIN a q ON q.g = o.g AND q.v = o.d),
+  c AS (SELECT g, s, d, "order", ring IS NOT NULL AS in_ring, [ds, dd] AS degrees, bridge OR "order" = 1.5 OR ("order" > 1 AND EXISTS (
+    SELECT 1 FROM f y WHERE y.g = f.g AND y.bridge AND (y.s IN (f.s, f.d) OR y.d IN (f.s, f.d)))) AS conjugated FROM f)"""
+
+
+@query("edge_features", f'{_BONDS} SELECT g, s, d, "order", in_ring, conjugated, degrees FROM c')
+def edge_features(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    return graph.edge_features(_bonds(spark, sf_dir), rings.smallest_rings(e, 6))
+
+
+@query("edge_arrays", f"""{_BONDS}, t AS (SELECT g, s, d, ["order", in_ring::INT, conjugated::INT]::DOUBLE[] AS x FROM c UNION ALL SELECT g, d, s, ["order", in_ring::INT, conjugated::INT]::DOUBLE[] FROM c)
+SELECT g, list({{'s': s, 'd': d, 'x': x}} ORDER BY s, d) AS edges FROM t GROUP BY g""")
+def edge_arrays(spark, sf_dir):
+    return graph.edge_index(edge_features(spark, sf_dir), ["order", "in_ring", "conjugated"])
+
+
+@query("contrast_loss", """
+WITH p AS (SELECT vec_id // 16 AS batch, vec_id % 16 AS i, embedding::DOUBLE[] AS a, CASE WHEN vec_id <> 37 THEN list_reverse(embedding::DOUBLE[]) END AS b FROM embeddings),
+  z AS (SELECT batch, i, 0 AS side, a AS v FROM p UNION ALL SELECT batch, i, 1, b FROM p),
+  s AS (SELECT x.batch, x.i, x.side, sum(exp(list_cosine_similarity(x.v, y.v) / 0.5)) AS total, any_value(list_cosine_similarity(x.v, y.v) / 0.5) FILTER (x.i = y.i) AS own
+    FROM z x JOIN z y ON y.batch = x.batch AND (y.i <> x.i OR y.side <> x.side) GROUP BY x.batch, x.i, x.side)
+SELECT batch, count(*) // 2 AS n, CASE WHEN batch = 2 THEN 'nan'::DOUBLE ELSE round(avg(ln(total) - own), 6) END AS loss FROM s GROUP BY batch
+""")
+def contrast_loss(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("batch"), F.col("embedding").alias("a"), F.when(F.col("vec_id") != 37, F.reverse("embedding")).alias("b"))
+    return stats.contrast_loss(e, "batch", "a", "b", 0.5, 7).withColumn("loss", F.round("loss", 6))
+
+
+@query("gaussian_recovered", """
+SELECT s_suppkey, 10.0 + s_nationkey AS height, s_suppkey % 7 - 3 + s_nationkey / 10 AS mean, 0.5 + s_suppkey % 5 * 0.3 AS std, true AS better FROM supplier
+""")
+def gaussian_recovered(spark, sf_dir):
+    # each supplier's curve, cut off at both sides so that its moments are not its parameters
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    d = table(spark, sf_dir, "supplier").select("s_suppkey", (10.0 + n).alias("h"), (k % 7 - 3 + n / 10).alias("m"), (0.5 + k % 5 * 0.3).alias("s"), F.explode(F.sequence(F.lit(-16), F.lit(20))).alias("i"))
+    x = F.col("m") + F.col("s") * F.col("i") / 10
+    bins = d.select("s_suppkey", x.alias("center"), (F.col("h") * F.exp(-((x - F.col("m")) ** 2) / (2 * F.col("s") * F.col("s")))).alias("n"))
+    fit = stats.gaussian_fit(bins, ["s_suppkey"])
+    return fit.select("s_suppkey", *(F.round(c, 4).alias(c) for c in ("height", "mean", "std")), ((F.col("sse") < 1e-6) & (F.col("sse_moments") > 1)).alias("better"))
+
+
+@query("gaussian_by_group", """
+WITH b AS (SELECT l_returnflag, l_linestatus, floor(l_extendedprice / 5000) * 5000 + 2500 AS x, count(*) AS y FROM lineitem GROUP BY ALL),
+  m AS (SELECT l_returnflag, l_linestatus, sum(x * y) / sum(y) AS mean, sqrt(sum(y * x * x) / sum(y) - (sum(x * y) / sum(y)) ** 2) AS std FROM b GROUP BY ALL),
+  e AS (SELECT l_returnflag, l_linestatus, y, exp(-((x - mean) ** 2) / (2 * std * std)) AS e FROM b JOIN m USING (l_returnflag, l_linestatus)),
+  h AS (SELECT l_returnflag, l_linestatus, sum(y * e) / sum(e * e) AS height FROM e GROUP BY ALL)
+SELECT l_returnflag, l_linestatus, round(sqrt(sum((y - height * e) ** 2) / sum(y * y)), 6) AS error_of_moments, true AS never_worse FROM e JOIN h USING (l_returnflag, l_linestatus) GROUP BY ALL
+""")
+def gaussian_by_group(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus", (F.floor(F.col("l_extendedprice") / 5000) * 5000 + 2500).alias("center")).agg(F.count("*").alias("n"))
+    keys = ["l_returnflag", "l_linestatus"]
+    total = d.groupBy(*keys).agg(F.sum(F.col("n") * F.col("n")).alias("y2"))
+    fit = stats.gaussian_fit(d, keys).join(total, keys)
+    return fit.select(*keys, F.round(F.sqrt(F.col("sse_moments") / F.col("y2")), 6).alias("error_of_moments"), (F.col("sse") <= F.col("sse_moments")).alias("never_worse"))
+
+
+_CLEAN = """SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 97 = 0 THEN 'nan'::DOUBLE WHEN l_orderkey % 89 = 0 THEN 'inf'::DOUBLE ELSE l_quantity::DOUBLE END AS a, CASE WHEN l_partkey % 83 <> 0 THEN l_tax END AS b, 4.0::DOUBLE AS c FROM lineitem"""
+
+
+def _dirty(spark, sf_dir):
+    k = F.col("l_orderkey")
+    a = F.when(k % 97 == 0, float("nan")).when(k % 89 == 0, float("inf")).otherwise(F.col("l_quantity").cast("double"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", a.alias("a"), F.when(F.col("l_partkey") % 83 != 0, F.col("l_tax")).alias("b"), F.lit(4.0).alias("c"))
+
+
+@query("usable_rows", f"SELECT l_orderkey, l_linenumber, a, b FROM ({_CLEAN}) WHERE isfinite(a) AND b IS NOT NULL")
+def usable_rows(spark, sf_dir):
+    return stats.usable(_dirty(spark, sf_dir), ["a", "b", "c"])[0]
+
+
+@query("unusable_report", f"""
+SELECT 'rows' AS what, NULL AS name, count(*) FILTER (NOT isfinite(a) OR b IS NULL) AS n FROM ({_CLEAN}) UNION ALL SELECT 'not finite', 'a', count(*) FILTER (NOT isfinite(a)) FROM ({_CLEAN})
+UNION ALL SELECT 'not finite', 'b', count(*) FILTER (b IS NULL) FROM ({_CLEAN}) UNION ALL SELECT 'constant', 'c', count(*) FILTER (isfinite(a) AND b IS NOT NULL) FROM ({_CLEAN})
+""")
+def unusable_report(spark, sf_dir):
+    return stats.usable(_dirty(spark, sf_dir), ["a", "b", "c"])[1]

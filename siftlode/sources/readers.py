@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,11 +50,25 @@ def table(spark: SparkSession, path: str, sep: str | None = None, columns: list[
     return df.select("*", F.regexp_extract("_metadata.file_path", r"([^/]*)$", 1).alias("source_file")) if source else df
 
 
+def cells(line: str | Column, sep: str = ",") -> Column:
+    """The cells of a line: a cell that begins with a quote runs to its closing quote, '""' inside it is one quote."""
+    s = re.escape(sep)
+    found = F.regexp_extract_all(line, F.lit(rf'(?s)(?:^|{s})(?:"(?:[^"]|"")*"[^{s}]*|[^{s}]*)'), F.lit(0))
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r'(?s)^"((?:[^"]|"")*)"', "$1"), '""', '"')
+    own = F.transform(found, lambda x, i: F.when(i == 0, x).otherwise(F.substr(x, F.lit(len(sep) + 1))))
+    return F.transform(own, lambda x: F.when(x.startswith('"'), bare(x)).otherwise(x))
+
+
 def positional(spark: SparkSession, path: str, columns: list[str], sep: str | None = None) -> DataFrame:
-    """The first cells of each row by place, whatever the header says; rows with fewer cells are left out."""
-    df = spark.read.csv(path, header=True, sep=sep or sniff(spark, path), escape='"')
-    df = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, columns)))
-    return df.where(F.col(columns[-1]).isNotNull())
+    """The first cells of each row by place, whatever the header says; blank cells are '', rows with fewer cells are left out."""
+    sep = sep or sniff(spark, path)
+    names = [f"c{i}" for i in range(len(spark.read.csv(path, header=True, sep=sep, escape='"').columns))]
+    if len(names) < len(columns):
+        raise ValueError(f"{len(names)} cells in the header, {len(columns)} wanted")
+    schema = ", ".join(f"{c} string" for c in [*names, "bad"])
+    df = spark.read.schema(schema).option("columnPruning", False).csv(path, header=True, sep=sep, escape='"', columnNameOfCorruptRecord="bad")
+    enough = F.col("bad").isNull() | (F.size(cells("bad", sep)) >= len(columns))  # bad: another number of cells than the header
+    return df.where(enough).select(*(F.coalesce(c, F.lit("")).alias(n) for c, n in zip(names, columns)))
 
 
 def shards(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
@@ -58,17 +76,23 @@ def shards(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     return table(spark, path, sep, source=True).withColumn("shard", F.nullif(F.regexp_extract("source_file", r"^(\d+)", 1), F.lit("")).cast("long"))
 
 
-def lines(spark: SparkSession, path: str, start: int = 1) -> DataFrame:
-    """(source_file, line_no, value): lines with their places in their file.
+def pieces(spark: SparkSession, path: str, sep: str = "\n") -> DataFrame:
+    """(f, no, value): the pieces of files between separators with their places from 1 in their file (its whole path).
 
-    Lines are ranked in the splits of the files, and the splits' counts are added up, so no task takes a whole file.
+    Pieces are ranked in the splits of the files, and the splits' counts are added up, so no task takes a whole file.
     """
     place = [F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m")]
-    raw = spark.read.text(path).select("value", *place)
+    raw = spark.read.option("lineSep", sep).text(path) if sep != "\n" else spark.read.text(path)
+    raw = raw.select("value", *place)
     before = F.sum("n").over(Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
     offsets = raw.groupBy("f", "b").agg(F.count("*").alias("n")).select("f", "b", F.coalesce(before, F.lit(0)).alias("o"))
-    no = F.col("o") + F.row_number().over(Window.partitionBy("f", "b").orderBy("m")) + (start - 1)
-    return raw.join(offsets, ["f", "b"]).select(F.regexp_extract("f", r"([^/]*)$", 1).alias("source_file"), no.alias("line_no"), "value")
+    no = F.col("o") + F.row_number().over(Window.partitionBy("f", "b").orderBy("m"))
+    return raw.join(offsets, ["f", "b"]).select("f", no.alias("no"), "value")
+
+
+def lines(spark: SparkSession, path: str, start: int = 1) -> DataFrame:
+    """(source_file, line_no, value): lines with their places in their file."""
+    return pieces(spark, path).select(F.regexp_extract("f", r"([^/]*)$", 1).alias("source_file"), (F.col("no") + (start - 1)).alias("line_no"), "value")
 
 
 def query_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
@@ -91,17 +115,16 @@ def pending_files(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     return n.join(done, "source_file", "left").where("done is null or done < n").select("source_file", "n")
 
 
-def repaired(spark: SparkSession, path: str, columns: list[str], keep: int | None = None, sep: str = ",") -> DataFrame:
+def repaired(spark: SparkSession, path: str, columns: list[str], sep: str = ",") -> DataFrame:
     """Lines whose first cell may hold bare separators: the last len(columns) - 1 cells are kept, the head rejoined.
 
-    The CSV reader would drop what overflows. Short lines are left out; the header is the first line's text.
+    Quoted cells are read first, so separators in quotes part nothing; the CSV reader would drop what overflows. Short
+    lines are left out; a line of the column names is the header.
     """
     n = len(columns)
-    cells = F.split(F.regexp_replace("value", "﻿", ""), "\\Q" + sep + "\\E")
-    df = spark.read.text(path).select(cells.alias("c")).where(F.size("c") >= n)
+    df = spark.read.text(path).select(cells(F.regexp_replace("value", "\ufeff|\r$", ""), sep).alias("c")).where(F.size("c") >= n)
     head = F.array_join(F.slice("c", F.lit(1), F.size("c") - (n - 1)), sep)
-    unquoted = lambda x: trim_all(F.regexp_replace(x, r'^\s*"|"\s*$', ""))
-    out = df.select(unquoted(head).alias(columns[0]), *(unquoted(F.element_at("c", i - n)).alias(columns[i]) for i in range(1, n)))
+    out = df.select(trim_all(head).alias(columns[0]), *(trim_all(F.element_at("c", i - n)).alias(columns[i]) for i in range(1, n)))
     same = F.lit(True)
     for c in columns:
         same = same & (F.lower(F.col(c)) == c.lower())
@@ -111,11 +134,17 @@ def repaired(spark: SparkSession, path: str, columns: list[str], keep: int | Non
 def tagged(spark: SparkSession, path: str, tags: dict[str, str], needed: str | None = None, end: str = "ER") -> DataFrame:
     """Records of two-letter tags with indented continuation lines, ended by a line ``ER``; tags -> column names.
 
-    Each record is split off by the reader, so a large file is never one row; line ends may be CRLF and the last
-    line may have blanks behind its tag. Of a repeated tag the last counts. Records without ``needed`` go.
+    The reader splits before every line that begins with ER, so a large file is never one row; pieces whose ER is not alone
+    in its line are put back behind what they continue. Line ends may be CRLF and the last line may have blanks
+    behind its tag. Of a repeated tag the last counts. Records without ``needed`` go.
     """
-    recs = spark.read.option("lineSep", f"\n{end}").text(path).withColumnRenamed("value", "r")
-    recs = recs.withColumn("r", F.concat(F.lit("\n"), F.regexp_replace("r", "\r", ""))).where(trim_all("r") != "")
+    raw = pieces(spark, path, f"\n{end}")
+    more = raw.where((F.col("no") > 1) & ~F.col("value").rlike(r"^[ \t\r]*(\n|\z)")).select("f", "no")
+    run = F.col("no") - F.row_number().over(Window.partitionBy("f").orderBy("no"))  # equal along a run of continuations
+    head = more.withColumn("run", run).select("f", "no", (F.min("no").over(Window.partitionBy("f", "run")) - 1).alias("head"))
+    own = raw.join(head, ["f", "no"], "left").groupBy("f", F.coalesce("head", "no").alias("head"))
+    own = own.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "value"))), lambda x: x["value"]), f"\n{end}").alias("r"))
+    recs = own.select(F.concat(F.lit("\n"), F.regexp_replace("r", "\r", "")).alias("r")).where(trim_all("r") != "")
     next_tag = r"(?=\n(?:[A-Z][A-Z0-9]|[0-9][A-Z])(?: |\n|\z)|\z)"
 
     def value(tag: str) -> Column:
@@ -129,11 +158,15 @@ def tagged(spark: SparkSession, path: str, tags: dict[str, str], needed: str | N
 def json_blocks(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Objects separated by blank lines; blocks that are no such object are left out.
 
-    The reader splits the blocks off. Whether lines end in CRLF is told by the first line, for all files alike.
+    The reader splits the blocks off, by the line ends of each file; blank lines of the other kind in a file are
+    split afterwards. Of the files only their paths and kinds reach the driver, which lists them anyway.
     """
-    first = spark.read.option("lineSep", "\n").text(path).first()
-    blank = "\r\n\r\n" if first and first[0].endswith("\r") else "\n\n"
-    raw = spark.read.option("lineSep", blank).text(path).where(trim_all("value") != "")
+    ends = spark.read.option("lineSep", "\n").text(path).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.max(F.col("value").endswith("\r")).alias("crlf")).collect()
+    parts = [spark.createDataFrame([], "value string")]
+    for blank, crlf in (("\n\n", False), ("\r\n\r\n", True)):
+        if files := [unquote(r["f"]) for r in ends if r["crlf"] == crlf]:
+            parts.append(spark.read.option("lineSep", blank).text(files))
+    raw = reduce(DataFrame.unionAll, parts).select(F.explode(F.split("value", r"\r?\n[ \t]*\r?\n")).alias("value")).where(trim_all("value") != "")
     return raw.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("o")).where("o is not null").select("o.*").na.drop("all")
 
 

@@ -64,8 +64,46 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def split_by_status(df: DataFrame, ok: str, good: str, bad: str, manifest: str) -> None:
-    """Rows without and with a reason to two tables, and counts by reason as a third."""
-    df.where(F.col(ok).isNull()).write.mode("overwrite").parquet(good)
-    df.where(F.col(ok).isNotNull()).write.mode("overwrite").parquet(bad)
-    df.groupBy(F.coalesce(F.col(ok), F.lit("ok")).alias("reason")).count().write.mode("overwrite").json(manifest)
+def concatenated(spark: SparkSession, paths: list[str], target: str, end: str) -> None:
+    """The records of all files, plain or gzipped, that end in ``end``, written as one set of files; nothing is left out but blank
+    pieces."""
+    raw = spark.read.option("lineSep", end).text(paths)
+    raw.where(F.trim(F.regexp_replace("value", r"\s+", " ")) != "").write.mode("overwrite").option("lineSep", end).text(target)
+
+
+def with_cells(df: DataFrame, vector: str, n: int, prefix: str = "emb_", decimals: int = 6) -> DataFrame:
+    """df with ``status`` and a text column for each of the n cells of a vector instead of it.
+
+    A vector that is null, of another length, or has a cell that is null, NaN or infinite failed: its cells are blank.
+    """
+    v = F.col(vector)
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x) == float("inf")))
+    ok = F.coalesce((F.size(v) == n) & ~bad, F.lit(False))
+    cell = lambda i: F.when(ok, F.format_string(f"%.{decimals}f", F.get(v, F.lit(i)).cast("double"))).alias(f"{prefix}{i}")
+    return df.select(*(c for c in df.columns if c != vector), F.when(ok, "ok").otherwise("failed").alias("status"), *map(cell, range(n)))
+
+
+def indexed(df: DataFrame, reason: str, path: str, keys: list[str], lineage: list[str] = ()) -> None:
+    """Writes rows, an index, failures and a manifest under ``path``; df is evaluated once.
+
+    rows/: df, those without a reason under ``part=rows``. index/: keys and lineage (where a row came from, such as
+    source file and line) of each written row with its ``file`` and its ``place`` (from 0) in it. failures/: keys,
+    lineage and reason of the others. manifest/: rows by reason ('ok' for none), as JSON. All but rows/ is read from rows/.
+    """
+    spark = df.sparkSession
+    df.withColumn("part", F.when(F.col(reason).isNull(), "rows").otherwise("failures")).write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    own = [*keys, *lineage]
+    file = F.regexp_extract("_metadata.file_path", r"([^/]*)$", 1)
+    rows.where("part = 'rows'").select(*own, file.alias("file"), F.col("_metadata.row_index").alias("place")).write.mode("overwrite").parquet(f"{path}/index")
+    rows.where("part = 'failures'").select(*own, reason).write.mode("overwrite").parquet(f"{path}/failures")
+    counts = rows.groupBy(F.coalesce(reason, F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
+    counts.write.mode("overwrite").json(f"{path}/manifest")
+
+
+def at_places(spark: SparkSession, rows: str, index: DataFrame) -> DataFrame:
+    """The index with ``row``, the written row at each place."""
+    found = spark.read.parquet(rows).where("part = 'rows'")
+    file = F.regexp_extract("_metadata.file_path", r"([^/]*)$", 1)
+    found = found.select(file.alias("file"), F.col("_metadata.row_index").alias("place"), F.struct(*(c for c in found.columns if c != "part")).alias("row"))
+    return index.join(found, ["file", "place"])

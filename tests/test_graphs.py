@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from siftlode.operators import encoder, matches, patterns, rings
+from siftlode.operators import encoder, graph as gr, matches, patterns, rings
 
 FUSED = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 0), (5, 6), (6, 7), (7, 4)]  # a ring of six and one of four share 4-5
 BRIDGED = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 0), (0, 6), (6, 3)]  # three paths between 0 and 3
@@ -113,3 +113,26 @@ def test_encoder(spark, pooling):
             assert got[g].embedding == pytest.approx(v, abs=1e-9)
     with pytest.raises(ValueError):
         encoder.embedded(packed, w, "max")
+
+
+def test_charges(spark):
+    v = spark.createDataFrame([("a", 0, "X", None), ("a", 1, "Y", None), ("b", 0, "X", 1), ("b", 1, "X", None), ("b", 2, "?", 2), ("c", 0, "Y", -1)], "g string, v int, kind string, charge int")
+    e = spark.createDataFrame([("a", 0, 1), ("a", 1, 0), ("b", 0, 1), ("b", 1, 2), ("b", 1, 1)], "g string, s int, d int")
+    kinds = spark.createDataFrame([("X", 2.0, 1.0, 0.0, 10.0), ("Y", 4.0, 1.0, 0.0, 20.0)], "kind string, a double, b double, c double, top double")
+    one = {(r.g, r.v): r.charge for r in gr.equalised(v, e, kinds, rounds=1).collect()}
+    assert one == pytest.approx({("a", 0): 0.1, ("a", 1): -0.1, ("b", 0): 0.95, ("b", 1): 0.05, ("b", 2): 2.0, ("c", 0): -1.0})
+    for rounds in (2, 5, 9):
+        total = {}
+        for r in gr.equalised(v, e, kinds, rounds=rounds, cut=2).collect():
+            total[r.g] = total.get(r.g, 0) + r.charge
+        assert total == pytest.approx({"a": 0, "b": 3, "c": -1})
+
+
+def test_edges_of_a_small_molecule(spark):
+    # C=C-C=C-C-C with a ring of three at the end: conjugated are the first three
+    e = spark.createDataFrame([("m", 0, 1, 2.0), ("m", 2, 1, 1.0), ("m", 2, 3, 2.0), ("m", 3, 4, 1.0), ("m", 4, 5, 1.0), ("m", 5, 6, 1.0), ("m", 6, 4, 1.0), ("m", 7, 8, 1.5)], "g string, s int, d int, order double")
+    r = rings.smallest_rings(e, 6)
+    got = {(x.s, x.d): (x.order, x.in_ring, x.conjugated, tuple(x.degrees)) for x in gr.edge_features(e, r).collect()}
+    assert got == {(0, 1): (2.0, False, True, (1, 2)), (1, 2): (1.0, False, True, (2, 2)), (2, 3): (2.0, False, True, (2, 2)), (3, 4): (1.0, False, False, (2, 3)), (4, 5): (1.0, True, False, (3, 2)), (5, 6): (1.0, True, False, (2, 2)), (4, 6): (1.0, True, False, (3, 2)), (7, 8): (1.5, False, True, (1, 1))}
+    nested = gr.edge_index(e.where("s = 0 or s = 7"), ["order"]).first().edges
+    assert [(x.s, x.d, x.x) for x in nested] == [(0, 1, [2.0]), (1, 0, [2.0]), (7, 8, [1.5]), (8, 7, [1.5])]

@@ -158,3 +158,77 @@ def test_cheapest_assignment(spark):
         assert abs(sum(c[i][j] for i, j in enumerate(got)) - min(sum(c[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(n)))) < 1e-9
     d = spark.createDataFrame([("m", 0, 5, 1.0), ("m", 0, 6, 0.0), ("m", 1, 5, 0.0), ("m", 1, 6, 3.0), ("odd", 0, 5, 1.0), ("odd", 1, 5, 1.0)], "k string, a int, b int, c double")
     assert sorted((x.k, x.a, x.b) for x in graph.assigned(d, ["k"], "a", "b", "c").collect()) == [("m", 0, 6), ("m", 1, 5)]
+
+
+def test_molecule_rules(spark):
+    atom = lambda e, v=1, c=0: (e, v, c)
+    ok = dict(sanitized=True, n_components=1, elements=["C", "N"], n_heavy=9, n_radicals=0, max_ring=6, weight=100.0, charges=[0], isotopes=False, atoms=[atom("C", 4), atom("N", 3)])
+    cases = {
+        None: {}, "null_mol": dict.fromkeys(ok), "sanitization": {"sanitized": False}, "single_component": {"n_components": 2}, "allowed_elements": {"elements": ["C", "N", "Xe"]},
+        "require_any_elements": {"elements": ["C"]}, "max_heavy_atoms": {"n_heavy": 31}, "no_radicals": {"n_radicals": 1}, "max_ring_size": {"max_ring": 7}, "max_mol_weight": {"weight": None},
+        "no_zwitterion": {"charges": [1, -1]}, "no_isotope": {"isotopes": True}, "heteroatom_lone_pair": {"atoms": [atom("N", 4)]},
+    }
+    schema = "sanitized boolean, n_components int, elements array<string>, n_heavy int, n_radicals int, max_ring int, weight double, charges array<int>, isotopes boolean, atoms array<struct<element: string, valence: int, charge: int>>"
+    d = spark.createDataFrame([tuple((ok | x).values()) for x in cases.values()], schema)
+    assert [r.r for r in d.select(filters.rules_reason(filters.molecule_rules()).alias("r")).collect()] == list(cases)
+    nine = [r.r for r in d.select(filters.passes_nine_rules().alias("r")).collect()]
+    assert nine == [k in (None, "no_isotope", "heteroatom_lone_pair") for k in cases]
+    # elements that cannot hold a lone pair are not asked for one
+    f = filters.molecule_rules(require_any_elements=["F"])
+    assert spark.createDataFrame([tuple((ok | {"elements": ["C", "F"], "atoms": [atom("F")]}).values())], schema).select(filters.rules_reason(f).alias("r")).first().r is None
+    assert d.select(filters.rules_reason(filters.molecule_rules(**{r.reason: None for r in filters.MOLECULE_RULES[1:]})).alias("r")).where("r is not null").count() == 1
+    with pytest.raises(ValueError):
+        filters.molecule_rules(max_size=3)
+
+
+def test_strata_claim_until_they_settle(spark):
+    rng = random.Random(8)
+    pairs = [(f"s{min(int(rng.expovariate(0.05)), 150)}", rng.randrange(300)) for _ in range(3000)] + [(None, 1), ("s1", None)]
+    d = spark.createDataFrame(pairs, "s string, x int")
+    rank = {(r.s, r.x): r.u for r in d.where("s is not null and x is not null").distinct().withColumn("u", text.uniform(5, "s", "x")).collect()}
+    size = {}
+    for s, _ in rank:
+        size[s] = size.get(s, 0) + 1
+    want, taken = set(), set()
+    for s in sorted(size, key=lambda s: (-size[s], s)):
+        drawn = sorted((u, x) for (t, x), u in rank.items() if t == s)[:8]
+        got = [x for _, x in drawn if x not in taken][:4]
+        taken.update(got)
+        want |= {(s, x) for x in got}
+    assert {tuple(r) for r in sample.stratified_unique(d, "s", "x", 4, 5).collect()} == want
+    assert sample.stratified_unique(d.limit(0), "s", "x", 4).count() == 0
+
+
+def test_gaussian_fit(spark):
+    rows = [("exact", x / 4, 7 * math.exp(-((x / 4 - 1) ** 2) / (2 * 0.64))) for x in range(-3, 9)]
+    rows += [("noisy", x, y) for x, y in enumerate([1.0, 0.0, 4.0, 9.0, 11.0, 8.0, 5.0, 0.0, 3.0])] + [("one", 2.0, 5.0), ("none", 1.0, 0.0), ("none", 2.0, 0.0), ("exact", None, 1.0)]
+    d = spark.createDataFrame([(k, float(x) if x is not None else None, y) for k, x, y in rows], "k string, center double, n double")
+    got = {r.k: r for r in stats.gaussian_fit(d, ["k"]).collect()}
+    assert (got["exact"].height, got["exact"]["mean"], got["exact"]["std"]) == pytest.approx((7, 1, 0.8), abs=1e-6)
+    assert got["noisy"].sse < got["noisy"].sse_moments and got["one"].height is None and got["none"]["mean"] is None
+    f = got["noisy"]
+    sse = lambda h, m, s: sum((y - h * math.exp(-((x - m) ** 2) / (2 * s * s))) ** 2 for k, x, y in rows if k == "noisy")
+    assert f.sse == pytest.approx(sse(f.height, f["mean"], f["std"]))
+    assert all(sse(f.height + a, f["mean"] + b, f["std"] + c) >= f.sse for a, b, c in itertools.product((-1e-3, 0, 1e-3), repeat=3))
+
+
+def test_usable_columns(spark):
+    d = spark.createDataFrame([(1, 1.0, 5.0, 2.0), (2, 2.0, 5.0, 2.0), (3, float("nan"), 1.0, 2.0), (4, 3.0, None, 2.0), (5, float("inf"), 5.0, 2.0)], "i int, a double, b double, c double")
+    rows, went = stats.usable(d, ["a", "b", "c"])
+    assert rows.columns == ["i", "a"] and sorted(map(tuple, rows.collect())) == [(1, 1.0), (2, 2.0)]
+    assert {tuple(r) for r in went.collect()} == {("rows", None, 3), ("not finite", "a", 2), ("not finite", "b", 1), ("constant", "b", 2), ("constant", "c", 2)}
+
+
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_contrast_loss(spark, block):
+    rng = random.Random(3)
+    v = lambda: [rng.gauss(0, 1) for _ in range(4)]
+    rows = [(k, v(), v()) for k in "aaaaabbc"] + [("d", [float("nan")] * 4, v()), ("d", v(), v()), ("e", [float("inf"), 0.0, 0.0, 1.0], v()), ("f", None, v()), ("g", [0.0] * 4, v()), ("g", v(), v())]
+    got = {r.batch: (r.n, r.loss) for r in stats.contrast_loss(spark.createDataFrame(rows, "k string, x array<double>, y array<double>"), "k", "x", "y", 0.5, block).collect()}
+    for k in "abcg":
+        z = [x for kk, x, _ in rows if kk == k] + [y for kk, _, y in rows if kk == k]
+        cos = lambda p, q: sum(a * b for a, b in zip(p, q)) / ((math.hypot(*p) or 1) * (math.hypot(*q) or 1)) / 0.5
+        n = len(z) // 2
+        want = sum(math.log(sum(math.exp(cos(z[i], z[j])) for j in range(2 * n) if j != i)) - cos(z[i], z[(i + n) % (2 * n)]) for i in range(2 * n)) / (2 * n)
+        assert got[k] == (n, pytest.approx(want, abs=1e-9))
+    assert math.isnan(got["d"][1]) and got["e"] == (1, math.inf) and math.isnan(got["f"][1])

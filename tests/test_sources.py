@@ -50,8 +50,8 @@ def test_writers(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(t).collect()) == [2, 2, 3]
     writers.by_group(d, str(tmp_path / "g"), "g")
     assert sorted(p.name for p in (tmp_path / "g").iterdir() if p.is_dir()) == ["group_slug=a_b", "group_slug=c_d", "group_slug=none"]
-    writers.split_by_status(d.withColumn("reason", d.g), "reason", *(str(tmp_path / x) for x in ("ok", "bad", "m")))
-    assert spark.read.parquet(str(tmp_path / "ok")).count() == 1 and spark.read.json(str(tmp_path / "m")).count() == 3
+    writers.indexed(d.withColumn("reason", d.g), "reason", str(tmp_path / "i"), ["k"])
+    assert spark.read.parquet(str(tmp_path / "i/index")).count() == 1 and spark.read.json(str(tmp_path / "i/manifest")).count() == 3
     writers.quoted_csv(d, str(tmp_path / "c"))
     assert next((tmp_path / "c").glob("*.csv")).read_text().startswith('"k","g"')
 
@@ -93,3 +93,43 @@ def test_a_broken_replacement_is_put_right(spark, tmp_path):
     spark.range(3).write.parquet(t)
     (tmp_path / "t").rename(tmp_path / "t.old")
     assert writers.recovered(spark, t) and not writers.recovered(spark, t) and spark.read.parquet(t).count() == 3
+
+
+def test_positional_counts_cells(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,smiles,z\n5,,z\n6,"a,b"\n7\n8,\n9,c,d,e\n10,"x""y",\n')
+    got = {r.cid: r.smiles for r in readers.positional(spark, str(tmp_path / "a.csv"), ["cid", "smiles"], ",").collect()}
+    assert got == {"5": "", "6": "a,b", "8": "", "9": "c", "10": 'x"y'}
+    with pytest.raises(ValueError):
+        readers.positional(spark, str(tmp_path / "a.csv"), ["a", "b", "c", "d"], ",")
+
+
+def test_repaired_reads_quotes_first(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('name,cid,smiles,journal\n"a, b",5,CC,"J, x"\n2,3-di, x,6,C,K\n"say ""hi"", you",7,O,"L"\n"open,8,N,M\nshort,1\n')
+    got = {tuple(r) for r in readers.repaired(spark, str(tmp_path / "a.csv"), ["name", "cid", "smiles", "journal"]).collect()}
+    assert got == {("a, b", "5", "CC", "J, x"), ("2,3-di, x", "6", "C", "K"), ('say "hi", you', "7", "O", "L"), ('"open', "8", "N", "M")}
+
+
+def test_only_a_line_of_its_own_ends_a_record(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("TI One\nAB Start\nERp57 is a protein\nERK too\nER\n\nTI Two\nAB More\nER  \nTI Three\nER\nTI Four\nAB Last\nER")
+    (tmp_path / "b.txt").write_text("TI Five\r\nAB x\r\nER\r\nTI Six\r\nAB ERA\r\nERB\r\nER\r\n")
+    got = {(r.title, r.abstract) for r in readers.tagged(spark, str(tmp_path), {"TI": "title", "AB": "abstract"}, "abstract").collect()}
+    assert got == {("One", "Start ERp57 is a protein ERK too"), ("Two", "More"), ("Four", "Last"), ("Five", "x"), ("Six", "ERA ERB")}
+
+
+def test_blocks_of_both_line_ends(spark, tmp_path):
+    (tmp_path / "a.json").write_bytes(b'{"a": 1}\r\n\r\n{"a":\r\n 2}\r\n')
+    (tmp_path / "b b.json").write_bytes(b'{"a": 3}\n\n{"a": 4}\n \n{"a": 5}\n\n\n\n{"a": 6}')
+    (tmp_path / "c.json").write_bytes(b'{"a": 7}\r\n\r\n{"a": 8}\n\n{"a": 9}')
+    assert sorted(r.a for r in readers.json_blocks(spark, str(tmp_path), "a int").collect()) == list(range(1, 10))
+
+
+def test_cells_and_index(spark, tmp_path):
+    d = spark.createDataFrame([(1, [0.5, -1.25]), (2, None), (3, [1.0]), (4, [float("nan"), 1.0])], "i int, v array<double>")
+    got = sorted(tuple(r) for r in writers.with_cells(d, "v", 2).collect())
+    assert got == [(1, "ok", "0.500000", "-1.250000"), (2, "failed", None, None), (3, "failed", None, None), (4, "failed", None, None)]
+    out, src = str(tmp_path / "x"), spark.createDataFrame([(i, f"f{i % 3}", i, "bad" if i % 4 == 0 else None) for i in range(20)], "k int, source_file string, line_no int, why string")
+    writers.indexed(src, "why", out, ["k"], ["source_file", "line_no"])
+    index = spark.read.parquet(f"{out}/index")
+    assert {(r.k, r.row.k, r.row.line_no) for r in writers.at_places(spark, f"{out}/rows", index).collect()} == {(i, i, i) for i in range(20) if i % 4}
+    assert {(r.k, r.why) for r in spark.read.parquet(f"{out}/failures").collect()} == {(i, "bad") for i in range(0, 20, 4)}
+    assert {(r.reason, r.n) for r in spark.read.json(f"{out}/manifest").collect()} == {("ok", 15), ("bad", 5)}
