@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,37 @@ from siftlode.functions.text import uniform
 from siftlode.session import kept
 
 
+def each_group(df: DataFrame, keys: list[str], order: list[str], solve: Callable[[list[tuple]], Iterator[tuple]], out: list[str]) -> DataFrame:
+    """The rows that ``solve`` makes of each group's rows; ``out`` names columns of df whose types they have.
+
+    Groups are small (a molecule) and many: a task sorts its rows by key and goes through them group by group, many to
+    each batch that it hands on.
+    """
+    at = [df.columns.index(c) for c in out]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields: list[pa.Field] = []
+
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                fields[:] = [b.schema.field(i) for i in at]
+                yield from zip(*(c.to_pylist() for c in b.columns))
+
+        def packed(held: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), fields)], out)
+
+        held: list[tuple] = []
+        for _, group in groupby(rows(), lambda r: r[: len(keys)]):
+            held += solve(list(group))
+            if len(held) >= 10_000:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(each, df.select(*out).schema)
+
+
 def mirrored(edges: DataFrame) -> DataFrame:
     """Every edge in both directions, once."""
     rest = [c for c in edges.columns if c not in ("g", "s", "d")]
@@ -101,23 +134,25 @@ def masked_vertices(edges: DataFrame, share: float = 0.25, seed: int = 0) -> Dat
     leaves two vertices at least. One graph is a group: its size is that of a molecule.
     """
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(rows: list[tuple]) -> Iterator[tuple]:
         near: dict = {}
-        for a, b in zip(pdf["s"], pdf["d"]):
+        for _, a, b, _ in rows:
             near.setdefault(a, set()).add(b)
             near.setdefault(b, set()).add(a)
         nodes = sorted(near)
         n = min(max(1, int(len(nodes) * share)), len(nodes) - 2)
-        queue = [nodes[int(pdf["__u"].iloc[0] * len(nodes))]] if n > 0 else []
+        queue = [nodes[int(rows[0][3] * len(nodes))]] if n > 0 else []
+        seen = set(queue)
         for x in queue:
             if len(queue) >= n:
                 break
-            queue += sorted(near[x] - set(queue))[: n - len(queue)]
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "v": queue})
+            new = sorted(near[x] - seen)[: n - len(queue)]
+            queue += new
+            seen.update(new)
+        return ((rows[0][0], v) for v in queue)
 
-    h = edges.select("g", "s", "d").withColumn("__u", uniform(seed, "g"))
-    kinds = dict(edges.dtypes)
-    return h.groupBy("g").applyInPandas(grow, f"g {kinds['g']}, v {kinds['s']}")
+    h = edges.select("g", "s", "d").withColumn("u", uniform(seed, "g"))
+    return each_group(h, ["g"], ["s", "d"], grow, ["g", "s"]).withColumnRenamed("s", "v")
 
 
 def masked_subgraph(edges: DataFrame, share: float = 0.25, seed: int = 0, order: list[str] | None = None) -> DataFrame:
@@ -141,18 +176,20 @@ def assigned(pairs: DataFrame, keys: list[str], a: str, b: str, cost: str) -> Da
     Groups whose sides differ in size, or miss a cost, give no rows. A group is a molecule's atoms of one kind.
     """
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot_table(index=a, columns=b, values=cost, aggfunc="min").sort_index()
-        m = m[sorted(m.columns)]
-        if m.shape[0] != m.shape[1] or m.isna().any().any():
-            return pdf.iloc[:0][[*keys, a, b]]
-        col = cheapest(m.to_numpy().tolist())
-        out = pd.DataFrame({a: m.index, b: [m.columns[j] for j in col]})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, a, b]]
-
-    return pairs.groupBy(*keys).applyInPandas(solve, pairs.select(*keys, a, b).schema)
+    def solve(rows: list[tuple]) -> Iterator[tuple]:
+        n = len(keys)
+        left, right = sorted({r[n] for r in rows}), sorted({r[n + 1] for r in rows})
+        price: dict = {}
+        for r in rows:
+            if r[n + 2] is not None:
+                price[r[n : n + 2]] = min(price.get(r[n : n + 2], r[n + 2]), r[n + 2])
+        if len(left) != len(right) or len(price) != len(left) ** 2:
+            return iter(())
+        col = cheapest([[price[x, y] for y in right] for x in left])
+        return ((*rows[0][:n], x, right[j]) for x, j in zip(left, col))
+
+    src = pairs.select(*keys, a, b, cost).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return each_group(src, keys, [a, b], solve, [*keys, a, b])
 
 
 def cheapest(cost: list[list[float]]) -> list[int]:

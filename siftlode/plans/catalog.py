@@ -509,12 +509,12 @@ SELECT s AS l_returnflag, unnest(got) AS l_partkey FROM t WHERE k > 0
 
 
 #: As many strata as a table of rules never has.
-_MANY = _STRATA.replace("DISTINCT l_returnflag AS s", "DISTINCT l_orderkey % 2000 AS s").replace("''::VARCHAR AS s", "0::BIGINT AS s").replace("r <= 40", "r <= 6").replace("[1:20]", "[1:3]").replace("AS l_returnflag", "AS stratum")
+_MANY = _STRATA.replace("DISTINCT l_returnflag AS s", "DISTINCT l_orderkey % 500 AS s").replace("''::VARCHAR AS s", "0::BIGINT AS s").replace("r <= 40", "r <= 6").replace("[1:20]", "[1:3]").replace("AS l_returnflag", "AS stratum")
 
 
 @query("stratified_many", _MANY)
 def stratified_many(spark, sf_dir):
-    return sample.stratified_unique(table(spark, sf_dir, "lineitem").withColumn("stratum", F.col("l_orderkey") % 2000), "stratum", "l_partkey", 3, 7)
+    return sample.stratified_unique(table(spark, sf_dir, "lineitem").withColumn("stratum", F.col("l_orderkey") % 500), "stratum", "l_partkey", 3, 7)
 
 
 @query("stratified_unique", _STRATA)
