@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.functions.text import uniform
+from siftlode.functions.text import lookup, uniform
 from siftlode.session import kept
 
 
@@ -120,6 +120,26 @@ def edge_features(edges: DataFrame, rings: DataFrame) -> DataFrame:
     return e.join(found, ["g", "s", "d"], "left").select("g", "s", "d", "order", F.coalesce("in_ring", F.lit(False)).alias("in_ring"), conjugated.alias("conjugated"), F.array("degree_s", "degree_d").alias("degrees"))
 
 
+def vertex_features(vertices: DataFrame, edges: DataFrame, rings: DataFrame, valences: dict[str, int]) -> DataFrame:
+    """vertices (g, v, label, charge, ...) with degree, explicit_valence, implicit_valence, total_valence, total_num_hs,
+    total_degree, is_aromatic, is_in_ring and min_ring_size, from edges (g, s, d, order) and ``smallest_rings``.
+
+    explicit_valence is the sum of the orders, rounded up; what the usual valence of the label, more by a positive charge, leaves open is
+    implicit and filled by hydrogen. Labels without a usual valence have no open places. A vertex without edges has zeros.
+    """
+    one = edges.where("s <> d").groupBy("g", F.least("s", "d").alias("s"), F.greatest("s", "d").alias("d")).agg(F.max(F.col("order").cast("double")).alias("order"))
+    one = one.join(rings.select("g", "s", "d", "ring"), ["g", "s", "d"], "left")
+    ends = one.select("g", F.explode(F.array("s", "d")).alias("v"), "order", "ring")
+    around = ends.groupBy("g", "v").agg(
+        F.count("*").alias("degree"), F.ceil(F.sum("order")).cast("int").alias("explicit_valence"), F.max(F.col("order") == 1.5).alias("is_aromatic"), F.max(F.col("ring").isNotNull()).alias("is_in_ring"), F.min("ring").alias("min_ring_size")
+    )
+    out = vertices.join(around, ["g", "v"], "left").fillna({"degree": 0, "explicit_valence": 0, "is_aromatic": False, "is_in_ring": False, "min_ring_size": 0})
+    usual = lookup("label", valences, None) + F.coalesce("charge", F.lit(0))
+    out = out.withColumn("implicit_valence", F.greatest(F.coalesce(usual - F.col("explicit_valence"), F.lit(0)), F.lit(0)).cast("int"))
+    out = out.withColumn("total_valence", F.col("explicit_valence") + F.col("implicit_valence")).withColumn("total_num_hs", F.col("implicit_valence"))
+    return out.withColumn("total_degree", (F.col("degree") + F.col("implicit_valence")).cast("int"))
+
+
 def edge_index(edges: DataFrame, features: list[str]) -> DataFrame:
     """(g, edges): the edges of a graph as one array of (s, d, x), each in both directions, in order; x has the features."""
     x = F.array(*(F.col(c).cast("double") for c in features))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftlode.functions import text
@@ -42,9 +43,9 @@ def tsv_positional(spark, sf_dir):
     name = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit('"'), F.col("p_name"), F.lit("\t"), F.col("p_brand"), F.lit('"')))
     more = F.when(F.col("p_size") % 2 == 0, F.lit("\tz\tmore")).otherwise(F.lit(""))
     cells = F.when(F.col("p_size") > 10, F.concat(F.col("p_partkey"), F.lit("\t"), name, more)).otherwise(F.col("p_partkey").cast("string"))
-    for i in range(4):  # files with a header each
-        _text(spark.createDataFrame([("x\ty\tz",)], "value string").unionAll(d.where(F.col("p_partkey") % 4 == i).select(cells)).coalesce(1), f"{p}/{i}.tsv")
-    return readers.positional(spark, f"{p}/*", ["cid", "smiles"], "\t")
+    # a header in each file
+    d.select(cells.alias("x\ty\tz")).repartition(4, "p_partkey").write.option("header", True).option("sep", "\x01").option("quote", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(p)
+    return readers.positional(spark, p, ["cid", "smiles"], "\t")
 
 
 @query("shard_scan", "SELECT shard, source_file, count(*) AS n, min(k) AS least FROM (SELECT c_nationkey::BIGINT AS shard, c_nationkey || '_part.csv' AS source_file, c_custkey AS k FROM customer) GROUP BY ALL")
@@ -73,8 +74,10 @@ def line_numbers(spark, sf_dir):
 
 @query("head_rows", "SELECT c_custkey, line_no FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS line_no FROM customer) WHERE line_no <= 25")
 def head_rows(spark, sf_dir):
-    p = _text(table(spark, sf_dir, "customer").select("c_custkey").coalesce(1).sortWithinPartitions("c_custkey").select(F.col("c_custkey").cast("string")), scratch(spark, "head"))
-    return readers.lines(spark, p).orderBy("line_no").limit(25).select(F.col("value").cast("long").alias("c_custkey"), "line_no")
+    # the first rows in the order of files and lines; the files hold ranges of the keys
+    p = _text(table(spark, sf_dir, "customer").select("c_custkey").orderBy("c_custkey").select(F.col("c_custkey").cast("string")), scratch(spark, "head"))
+    first = readers.lines(spark, p).orderBy("source_file", "line_no").limit(25)
+    return first.select(F.col("value").cast("long").alias("c_custkey"), F.row_number().over(Window.orderBy("source_file", "line_no")).alias("line_no"))
 
 
 @query("ragged_scan", """

@@ -190,6 +190,31 @@ def edge_arrays(spark, sf_dir):
     return graph.edge_index(edge_features(spark, sf_dir), ["order", "in_ring", "conjugated"])
 
 
+_USUAL = {"C": 4, "N": 3, "O": 2}
+
+
+@query("node_catalog", f"""
+{_BONDS}, v AS (SELECT g, v, label, (label = 'N' AND g % 5 = 0)::INT AS charge FROM ({VERTICES})),
+  w AS (SELECT g, v, count(*) AS deg, ceil(sum(x))::INT AS ev, max(x = 1.5)::INT AS ar FROM h GROUP BY g, v),
+  r AS (SELECT g, v, (count(ring) > 0)::INT AS inr, coalesce(min(ring), 0) AS mr FROM (SELECT g, s AS v, ring FROM ring UNION ALL SELECT g, d, ring FROM ring) GROUP BY g, v),
+  i AS (SELECT *, greatest(CASE label WHEN 'C' THEN 4 WHEN 'N' THEN 3 ELSE 2 END + charge - ev, 0) AS iv FROM v JOIN w USING (g, v) JOIN r USING (g, v))
+SELECT g, list(v ORDER BY v) AS ids, list([(label = 'C')::INT, (label = 'N')::INT, (label = 'O')::INT, 0, charge, deg, deg + iv, ev, iv, ev + iv, iv, ar, inr, mr, CASE label WHEN 'C' THEN 4 WHEN 'N' THEN 5 ELSE 6 END,
+  CASE label WHEN 'C' THEN 2.55 WHEN 'N' THEN 3.04 ELSE 3.44 END]::DOUBLE[] ORDER BY v) AS x FROM i GROUP BY g
+""")
+def node_catalog(spark, sf_dir):
+    # every feature that follows from elements, charges and bonds, nested by graph
+    v = vertices(spark, sf_dir).withColumn("charge", ((F.col("label") == "N") & (F.col("g") % 5 == 0)).cast("int"))
+    full = graph.vertex_features(v, _bonds(spark, sf_dir), rings.smallest_rings(edges(spark, sf_dir), 6), _USUAL)
+    names = ["degree", "total_degree", "explicit_valence", "implicit_valence", "total_valence", "total_num_hs"]
+    c = matches.Features().one_hot("element", ["C", "N", "O"], "label").number("formal_charge", "charge").flag("is_aromatic").flag("is_in_ring").number("min_ring_size")
+    for n in names:
+        c.number(n)
+    c.of_table("valence_electrons", "label", {"C": 4.0, "N": 5.0, "O": 6.0}, 4.0).of_table("electronegativity", "label", {"C": 2.55, "N": 3.04, "O": 3.44}, 2.0)
+    x = c.vector(["element", "formal_charge", *names, "is_aromatic", "is_in_ring", "min_ring_size", "valence_electrons", "electronegativity"])
+    rows = full.select("g", F.struct("v", x.alias("x")).alias("r")).groupBy("g").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    return rows.select("g", F.transform("r", lambda a: a["v"]).alias("ids"), F.transform("r", lambda a: a["x"]).alias("x"))
+
+
 @query("contrast_loss", """
 WITH p AS (SELECT vec_id // 16 AS batch, vec_id % 16 AS i, embedding::DOUBLE[] AS a, CASE WHEN vec_id <> 37 THEN list_reverse(embedding::DOUBLE[]) END AS b FROM embeddings),
   z AS (SELECT batch, i, 0 AS side, a AS v FROM p UNION ALL SELECT batch, i, 1, b FROM p),

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle files go once the query that made them has ended; a written table is what lasts.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "siftlode") -> SparkSession:
     """A local session with the settings that results depend on (UTC) and AQE on."""
@@ -52,7 +55,15 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def kept(df: DataFrame, label: str = "step") -> DataFrame:
-    """The same rows as a Parquet table in the shared folder: lineage ends there, so a lost executor costs a reread."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The same rows as a Parquet table in the shared folder.
+
+    Lineage ends there, so a lost executor costs a reread and never the steps before it; shuffle files go once it is written.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -136,3 +136,12 @@ def test_edges_of_a_small_molecule(spark):
     assert got == {(0, 1): (2.0, False, True, (1, 2)), (1, 2): (1.0, False, True, (2, 2)), (2, 3): (2.0, False, True, (2, 2)), (3, 4): (1.0, False, False, (2, 3)), (4, 5): (1.0, True, False, (3, 2)), (5, 6): (1.0, True, False, (2, 2)), (4, 6): (1.0, True, False, (3, 2)), (7, 8): (1.5, False, True, (1, 1))}
     nested = gr.edge_index(e.where("s = 0 or s = 7"), ["order"]).first().edges
     assert [(x.s, x.d, x.x) for x in nested] == [(0, 1, [2.0]), (1, 0, [2.0]), (7, 8, [1.5]), (8, 7, [1.5])]
+
+
+def test_vertex_features(spark):
+    # a ring of three carbons, one bound to a charged N and one double to an O; a lone atom
+    v = spark.createDataFrame([("m", 0, "C", 0), ("m", 1, "C", 0), ("m", 2, "C", None), ("m", 3, "N", 1), ("m", 4, "O", 0), ("x", 0, "?", 0)], "g string, v int, label string, charge int")
+    e = spark.createDataFrame([("m", 0, 1, 1.0), ("m", 1, 2, 1.0), ("m", 2, 0, 1.0), ("m", 0, 3, 1.0), ("m", 4, 1, 2.0), ("m", 1, 4, 2.0)], "g string, s int, d int, order double")
+    out = gr.vertex_features(v, e, rings.smallest_rings(e, 6), {"C": 4, "N": 3, "O": 2})
+    got = {(r.g, r.v): (r.degree, r.explicit_valence, r.implicit_valence, r.total_valence, r.total_degree, r.is_in_ring, r.min_ring_size) for r in out.collect()}
+    assert got == {("m", 0): (3, 3, 1, 4, 4, True, 3), ("m", 1): (3, 4, 0, 4, 3, True, 3), ("m", 2): (2, 2, 2, 4, 4, True, 3), ("m", 3): (1, 1, 3, 4, 4, False, 0), ("m", 4): (1, 2, 0, 2, 1, False, 0), ("x", 0): (0, 0, 0, 0, 0, False, 0)}
