@@ -31,9 +31,9 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bytes up to which pieces are contracted in SQL.
 LONG = 1024
 #: Pieces of one recursive query, and the sum of their squared bytes: the query keeps a state for each merge.
-AT_ONCE, SQUARES = 16_000, 4 << 20
-#: Pieces that a worker remembers before it starts afresh; bounds its memory at about 150 MB.
-REMEMBERED = 600_000
+AT_ONCE, SQUARES = 8_000, 2 << 20
+#: Pieces that a worker remembers before it starts afresh; bounds its memory at about 65 MB.
+REMEMBERED = 250_000
 #: Bytes of text taken at a time.
 BLOCK = 2 << 20
 #: Ids decoded by one aggregation; longer runs are decoded in parts, which bounds its memory.
@@ -69,7 +69,7 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "temp_directory": "", "memory_limit": "250MB"})
+        self.db = duckdb.connect(config={"threads": 1, "temp_directory": "", "memory_limit": "160MB"})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         a, b, r = np.array(pairs, np.int32).T
         own = pa.table({"a": a, "b": b, "id": r})

@@ -326,3 +326,42 @@ def op13_conversations(conversations: DataFrame, long: int | None = None) -> Dat
     zeros = {f: F.coalesce(f, F.lit(0).cast("long")).alias(f) for f in _FIGURES}
     empty = hashlib.sha256(b"").hexdigest()
     return d.select("conv_id", *zeros.values(), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(empty)).alias("repaired_sha256"))
+
+
+#: CRC-32 of an ASCII text, bit by bit.
+_CRC = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(id, ''), lambda x: ascii(x)::BIGINT),
+  lambda c, b: list_reduce([xor(c, b)] || range(8), lambda r, i: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+#: What a turn can do in each state: (state, state after, initials inserted before it); an empty state after deletes it.
+_MOVES = ", ".join([*(f"('{p[0]}', '{p[1]}', '{ins}')" for p, ins in GAP.items()), *(f"('{q}', '', '')" for q in STATES)])
+_TURNS = {i: f"chr(10) || '{r}:'" for i, r in ROLES.items()}
+#: The same program with whole audits and texts in its rows.
+SQL = rf"""
+WITH RECURSIVE hurt AS (
+  SELECT k, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM (SELECT *, {_CRC} % 20 AS fate FROM (SELECT coalesce('=' || conv_id::VARCHAR, '') AS k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS id FROM conversations)) WHERE fate <> 0),
+seq AS MATERIALIZED (
+  SELECT k, turn, role, text, i, left(role, 1) AS ini, CASE WHEN bare = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    coalesce(lag(left(role, 1)) OVER (PARTITION BY k ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM (SELECT *, row_number() OVER (PARTITION BY k, role, text ORDER BY i) AS seen, regexp_replace(text, '[\x20\x09-\x0D]+\z', '') AS bare
+    FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt))),
+moves(f, t, ins) AS (VALUES {_MOVES}),
+walk(k, i, st, best) AS (
+  SELECT DISTINCT k, 0::BIGINT, '-', {{'c': 0::BIGINT, 'a': '', 'o': ''}} FROM seq
+  UNION ALL
+  SELECT k, i, st, min(best) FROM (
+    SELECT s.k, s.i, CASE WHEN t = '' THEN w.st ELSE t END AS st, CASE WHEN t = '' THEN {{'c': best.c + {DELETE}, 'a': best.a || 'D', 'o': best.o}} ELSE {{
+      'c': best.c + {INSERT} * len(ins) + CASE WHEN ini = t THEN 0 ELSE {REROLE} END + CASE WHEN fault = 'truncated' THEN {TRUNCATED} ELSE 0 END,
+      'a': best.a || repeat('I', len(ins)) || CASE WHEN ini = t THEN 'K' ELSE 'R' END,
+      'o': best.o || CASE ins WHEN 'u' THEN {_TURNS["u"]} WHEN 'a' THEN {_TURNS["a"]} ELSE '' END || CASE WHEN ini = t THEN chr(10) || role || ':' WHEN t = 'u' THEN {_TURNS["u"]} ELSE {_TURNS["a"]} END || text}} END AS best
+    FROM walk w JOIN seq s ON s.k = w.k AND s.i = w.i + 1 JOIN moves ON f = w.st AND (t = '' OR (fault NOT IN ('blank', 'duplicate') AND (t <> 's' OR ini = 's'))))
+  GROUP BY k, i, st),
+size AS (SELECT k, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM seq GROUP BY k),
+ends AS (SELECT k, min(CASE st WHEN 's' THEN {{'c': best.c + 10, 'a': best.a || 'II', 'o': best.o || {_TURNS["u"]} || {_TURNS["a"]}}} WHEN 'u' THEN {{'c': best.c + 5, 'a': best.a || 'I', 'o': best.o || {_TURNS["a"]}}} ELSE best END) AS best
+  FROM walk JOIN size USING (k) WHERE i = n GROUP BY k)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(substr(coalesce(best.o, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('=' || conv_id::VARCHAR, '') AS k FROM conversations) LEFT JOIN size USING (k) LEFT JOIN ends USING (k)
+"""

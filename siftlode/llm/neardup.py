@@ -33,7 +33,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 SEEDS = (7, 11, 13, 17)
 LANES = len(SEEDS)
 #: Partitions that the allocation may choose; how many compared pairs cost as much as a filed row; rows filed at a time.
-PARTITIONS, ROW_COST, FILED = tuple(range(10, 21)), 100.0, 64
+PARTITIONS, ROW_COST, FILED = tuple(range(10, 21)), 300.0, 64
 #: Rows of a bucket all pairs of which are compared; members that are verified against a text in one task.
 BUCKET, MEMBERS = 256, 256
 #: 64-bit words of parity bits of a set, which rule pairs of large buckets out.
@@ -118,8 +118,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met, open_ = _met(classes, label, plan, most, similarity)
         links = links.unionAll(check(met))
         label = components(links, "a", "b").withColumnRenamed("node", "f")
-        if open_:
-            links = links.unionAll(check(_met(classes, label, plan, most, similarity, rest=True)[0]))
+        if open_ is not None:
+            links = links.unionAll(check(_met(classes, label, plan, most, similarity, open_)[0]))
             label = components(links, "a", "b").withColumnRenamed("node", "f")
     distinct = rows.groupBy("f").agg(F.min("id").alias("least")).join(label, "f", "left").withColumn("label", F.coalesce("label", "f"))
     least = written(distinct.groupBy("label").agg(F.min("least").alias("component_id")), "least")
@@ -140,28 +140,29 @@ def _stars(classes: DataFrame, plan: Plan, most: int) -> DataFrame:
     return near.groupBy(F.col("f").alias("b")).agg(F.min(F.struct("d", "c.f")).alias("m")).select(F.col("m.f").alias("a"), "b")
 
 
-def _met(classes: DataFrame, label: DataFrame, plan: Plan, most: int, similarity: float, rest: bool = False) -> tuple[DataFrame, bool]:
-    """((a, b), whether rows stay open): classes of different labels that meet in a bucket within ``most`` bits.
+def _met(classes: DataFrame, label: DataFrame, plan: Plan, most: int, similarity: float, buckets: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """((a, b), open buckets (p, key) or None): classes of different labels that meet in a bucket within ``most`` bits.
 
     Of buckets over BUCKET rows, each row outside the largest label comes with its nearest only; where it had
-    more to choose from, it stays open. ``rest`` gives all pairs of just those buckets, less those whose sizes and
-    parity bits rule the similarity out.
+    more to choose from, its bucket stays open. ``buckets``: open ones, of which all pairs are given, less those whose
+    sizes and parity bits rule the similarity out; only their rows are shuffled again.
     """
-    spark, keep = classes.sparkSession, ("n", *ODD) if rest else ()
+    spark, rest = classes.sparkSession, buckets is not None
+    keep = ("n", *ODD) if rest else ()
     held = written(classes.select("f", *COLS, *keep).join(label, "f", "left").withColumn("label", F.coalesce("label", "f")), "labelled")
     earlier = [np.array(masks(part, LANES), np.uint64) for part in plan.parts]
     reach = plan.thresholds
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in _whole(batches):
-            p, flip, f, lab = (g[c].to_numpy() for c in ("p", "flip", "f", "label"))
+            p, key, flip, f, lab = (g[c].to_numpy() for c in ("p", "key", "flip", "f", "label"))
             bits = g[COLS].to_numpy(np.int64).view(np.uint64)
             n, odd = (g["n"].to_numpy(), g[ODD].to_numpy(np.int64).view(np.uint64)) if rest else (None, None)
 
             def ruled_out(x: int, y: np.ndarray) -> np.ndarray:
                 return np.bitwise_count(odd[y] ^ odd[x]).sum(axis=1) > (n[y] + n[x]) * ((1 - similarity) / (1 + similarity)) + _EPS
 
-            new = np.flatnonzero((np.diff(g["key"].to_numpy()) != 0) | (np.diff(p) != 0)) + 1
+            new = np.flatnonzero((np.diff(key) != 0) | (np.diff(p) != 0)) + 1
             start, end = np.r_[0, new], np.r_[new, len(g)]
             found = [_large(lab, bits, s, e, most, ruled_out if rest else None) for s, e in zip(start, end) if e - s > BUCKET and (lab[s:e] != lab[s]).any()]
             if not rest:
@@ -169,6 +170,7 @@ def _met(classes: DataFrame, label: DataFrame, plan: Plan, most: int, similarity
             if not found:
                 continue
             i, j, settled, alone = (np.concatenate(x) for x in zip(*found))
+            at = i
             swap = f[i] > f[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
             once = (flip[i] < flip[j]) | ((flip[i] == 0) & (flip[j] == 0))  # a pair meets under more values
@@ -176,15 +178,19 @@ def _met(classes: DataFrame, label: DataFrame, plan: Plan, most: int, similarity
                 once &= (p[i] <= q) | (np.bitwise_count((bits[i] ^ bits[j]) & m).sum(axis=1) > reach[q])
             once |= alone
             if once.any():
-                yield pd.DataFrame({"a": f[i[once]], "b": f[j[once]], "settled": settled[once]})
+                yield pd.DataFrame({"a": f[i[once]], "b": f[j[once]], "settled": settled[once], "p": p[at[once]], "key": key[at[once]]})
 
     out, got = None, None
     for parts in _dealt(plan):
         some = Plan(plan.parts, tuple(t if q in parts else -1 for q, t in enumerate(plan.thresholds)), 0.0)
-        met = filed(held, some, LANES, ("f", "label", *keep)).repartition(tasks(spark), "p", "key").sortWithinPartitions("p", "key")
-        got = written(met.mapInPandas(each, "a long, b long, settled boolean"), "met")
+        met = filed(held, some, LANES, ("f", "label", *keep))
+        if rest:
+            met = met.join(buckets, ["p", "key"], "left_semi")
+        met = met.repartition(tasks(spark), "p", "key").sortWithinPartitions("p", "key")
+        got = written(met.mapInPandas(each, "a long, b long, settled boolean, p int, key long"), "met")
         out = got if out is None else out.unionAll(got)
-    return out.select("a", "b").distinct(), not rest and not out.where("not settled").isEmpty()
+    left = None if rest else written(out.where("not settled").select("p", "key").distinct(), "open")
+    return out.select("a", "b").distinct(), None if rest or left.isEmpty() else left
 
 
 def _dealt(plan: Plan) -> list[set[int]]:
@@ -226,7 +232,7 @@ def _small(start: np.ndarray, end: np.ndarray, label: np.ndarray, bits: np.ndarr
     i, d, found = np.arange(len(label)), 1, []
     while len(i := i[i + d < stop[i]]):
         x = i[label[i] != label[i + d]]
-        x = x[np.bitwise_count(bits[x, 0] ^ bits[x + d, 0]) <= most // 2]  # a lane alone
+        x = x[np.bitwise_count(bits[x, :2] ^ bits[x + d, :2]).sum(axis=1) <= most]  # half of the lanes rules most out
         x = x[np.bitwise_count(bits[x] ^ bits[x + d]).sum(axis=1) <= most]
         found.append(np.stack([x, x + d]))
         d += 1

@@ -37,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontaminate": decontaminate.SQL,
         "op8_urls": urlfilter.SQL,
         "op12_merkle": merkle.SQL,
+        "op13_conversations": conversation.SQL,
     }

@@ -6,36 +6,14 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from siftlode.session import scratch as shared_path  # noqa: E402
+from siftlode.operators.order import numbered, unused  # noqa: F401  (operators take them from here)
+from siftlode.session import kept as written  # noqa: F401
+from siftlode.session import scratch as shared_path  # noqa: F401
 
 #: Words are maximal runs of other characters; ``bytes.split()`` splits at exactly these.
 SEPARATORS = " \t\n\x0b\x0c\r"
-#: Shuffle files go once the query that made them has ended; a written table is what lasts.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-
-def written(df: DataFrame, label: str = "step") -> DataFrame:
-    """The same rows as a Parquet table in the shared folder.
-
-    Lineage ends there, so a lost executor costs a reread and never the steps before it.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    with setting(spark, CLEANUP, "true"):
-        df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
-    """The names, behind as many underscores as it takes for none to be a column of df (case aside)."""
-    have, before = {c.lower() for c in df.columns}, ""
-    while any((before + n).lower() in have for n in names):
-        before += "_"
-    return tuple(before + n for n in names)
 
 
 def tasks(spark: SparkSession) -> int:
@@ -61,26 +39,6 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
 
 
-def numbered(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
-    """df with ``pos``, the place from 0 of each row in its group by ``order`` (nulls first), and ``n``, the group's rows.
-
-    Rows are dealt to ranges of group and order and counted there; the ranges' counts are added up, so a group of any
-    size is spread over tasks. Rows equal in group and order may change places. df should be a written table, since
-    the ranges are found by reading it once before. Columns named pos and n are replaced.
-    """
-    keys = [F.col(c).asc_nulls_first() for c in [*groups, *order]]
-    df = df.drop("pos", "n")
-    at, run, first, size, shift = unused(df, "at", "run", "first", "size", "shift")
-    rows = df.withColumn(at, F.monotonically_increasing_id())  # rows that are equal otherwise are spread too
-    rows = rows.repartitionByRange(*keys, at).sortWithinPartitions(*keys, at).withColumn(at, F.monotonically_increasing_id())
-    rows = written(rows.withColumn(run, F.shiftright(at, 33)), "placed")
-    runs = rows.groupBy(*groups, run).agg(F.min(at).alias(first), F.count("*").alias(size))
-    whole = Window.partitionBy(*groups)
-    before = F.coalesce(F.sum(size).over(whole.orderBy(run).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = runs.select(*groups, run, (before - F.col(first)).alias(shift), F.sum(size).over(whole).alias("n"))
-    return rows.join(runs, [*groups, run]).select(*df.columns, (F.col(at) + F.col(shift)).alias("pos"), "n")
-
-
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8; a null text has none."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -223,7 +223,8 @@ def _trimmed(strings: DataFrame) -> DataFrame:
         keys = rows.groupBy("m", F.col(side).alias("key")).agg(F.count("*").alias("n")).withColumn("kh", F.xxhash64("key"))
         known = keys.repartitionByRange("m", "key").sortWithinPartitions("m", "key").mapInPandas(_prefixes, "m long, kh long, reach int")
         # two keys of one hash would only add reach
-        known = known.groupBy("m", "kh").agg(F.max("reach").alias(f"{side}_reach")).withColumnRenamed("kh", f"{side}_kh")
+        # written, so that both sides of the join are plain exchanges, which Spark splits where a context is very common
+        known = written(known.groupBy("m", "kh").agg(F.max("reach").alias(f"{side}_reach")).withColumnRenamed("kh", f"{side}_kh"), "contexts")
         rows = rows.withColumn(f"{side}_kh", F.xxhash64(side)).join(known, ["m", f"{side}_kh"])
     reach = rows.groupBy("m", "sid").agg(F.min("p").alias("p"), F.max("many").alias("many"), F.max("right_reach").alias("r"), F.max("left_reach").alias("l"))
     span = WINDOW - GRAM

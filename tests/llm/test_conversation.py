@@ -4,6 +4,7 @@ import re
 import zlib
 from itertools import product
 
+import duckdb
 import pytest
 
 from siftlode.llm import conversation as c
@@ -146,3 +147,12 @@ def test_query(spark):
         by.setdefault(r.conv_id, []).append((r.conv_id, r.turn, r.role, r.text))
     want = {k: (k, *figures(t := broken(v)), *plain(t)) for k, v in by.items()}
     assert {r.conv_id: tuple(r) for r in c.op13_conversations(d).collect()} == want
+
+
+def test_sql(spark):
+    rows = random_rows(random.Random(12), 80, 7)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = sorted(con.sql(f"SELECT {', '.join(COLS)} FROM ({c.SQL})").fetchall(), key=str)
+    assert sorted(map(tuple, c.op13_conversations(frame(spark, rows)).select(*COLS).collect()), key=str) == want
