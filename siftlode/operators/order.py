@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
 
 def numbered(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
     """df with ``pos``, the place from 0 of each row in its group by ``order`` (nulls first), and ``n``, the group's rows.
+    Null groups are groups.
 
     Rows are dealt to ranges of group and order and counted there; the ranges' counts are added up, so a group of any
     size is spread over tasks. Rows equal in group and order may change places. df should be a written table, since
@@ -32,5 +35,7 @@ def numbered(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
     runs = rows.groupBy(*groups, run).agg(F.min(at).alias(first), F.count("*").alias(size))
     whole = Window.partitionBy(*groups)
     before = F.coalesce(F.sum(size).over(whole.orderBy(run).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = runs.select(*groups, run, (before - F.col(first)).alias(shift), F.sum(size).over(whole).alias("n"))
-    return rows.join(runs, [*groups, run]).select(*df.columns, (F.col(at) + F.col(shift)).alias("pos"), "n")
+    mine = unused(rows, *(f"group{i}" for i in range(len(groups))), "part")
+    runs = runs.select(*(F.col(c).alias(m) for c, m in zip([*groups, run], mine)), (before - F.col(first)).alias(shift), F.sum(size).over(whole).alias("n"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(m)) for c, m in zip([*groups, run], mine)))
+    return rows.join(runs, same).select(*df.columns, (F.col(at) + F.col(shift)).alias("pos"), "n")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlode.functions import text, vector
-from siftlode.operators import clean, filters, graph, knn, sample, stats
+from siftlode.operators import clean, filters, graph, knn, order, sample, stats
 
 
 def one(spark, expr, value, kind="string"):
@@ -232,3 +232,12 @@ def test_contrast_loss(spark, block):
         want = sum(math.log(sum(math.exp(cos(z[i], z[j])) for j in range(2 * n) if j != i)) - cos(z[i], z[(i + n) % (2 * n)]) for i in range(2 * n)) / (2 * n)
         assert got[k] == (n, pytest.approx(want, abs=1e-9))
     assert math.isnan(got["d"][1]) and got["e"] == (1, math.inf) and math.isnan(got["f"][1])
+
+
+def test_numbered(spark):
+    rows = [("a", 3), ("a", 1), ("a", None), ("b", 2), (None, 5), (None, 4), ("a", 1), ("a", 1)]
+    got = order.numbered(spark.createDataFrame(rows, "g string, v int"), ["g"], ["v"]).collect()
+    assert sorted(((r.g, r.pos, r.v, r.n) for r in got), key=str) == sorted([("a", 0, None, 5), ("a", 1, 1, 5), ("a", 2, 1, 5), ("a", 3, 1, 5), ("a", 4, 3, 5), ("b", 0, 2, 1), (None, 0, 4, 2), (None, 1, 5, 2)], key=str)
+    whole = order.numbered(spark.range(500).withColumnRenamed("id", "pos").withColumn("AT", F.col("pos")).withColumn("run", F.lit(1)).repartition(7), [], ["AT"]).collect()
+    assert all(r.pos == r.AT and r.n == 500 and r.run == 1 for r in whole) and len(whole) == 500
+    assert order.numbered(spark.createDataFrame([], "g string, v int"), ["g"], ["v"]).count() == 0
