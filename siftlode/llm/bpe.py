@@ -32,8 +32,8 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 LONG = 1024
 #: Pieces of one recursive query, and the sum of their squared bytes: the query keeps a state for each merge.
 AT_ONCE, SQUARES = 8_000, 2 << 20
-#: Pieces that a worker remembers before it starts afresh; bounds its memory at about 65 MB.
-REMEMBERED = 250_000
+#: Pieces that a worker remembers before it starts afresh; bounds its memory at about 80 MB.
+REMEMBERED = 320_000
 #: Bytes of text taken at a time.
 BLOCK = 2 << 20
 #: Ids decoded by one aggregation; longer runs are decoded in parts, which bounds its memory.
