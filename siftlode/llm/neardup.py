@@ -34,8 +34,11 @@ SEEDS = (7, 11, 13, 17)
 LANES = len(SEEDS)
 #: Partitions that the allocation may choose; how many compared pairs cost as much as a filed row; rows filed at a time.
 PARTITIONS, ROW_COST, FILED = tuple(range(10, 21)), 300.0, 64
-#: Rows of a bucket all pairs of which are compared; members that are verified against a text in one task.
-BUCKET, MEMBERS = 256, 256
+#: Rows of a bucket all pairs of which are compared (a few times the rows that ROW_COST makes usual); members that are verified
+#: against a text in one task.
+BUCKET, MEMBERS = 1024, 256
+#: Labels that an unsettled row names, so that its bucket can be closed once they are its own; with more it stays open.
+NAMED = 16
 #: 64-bit words of parity bits of a set, which rule pairs of large buckets out.
 BITS = 8
 _EPS = 1e-9
@@ -118,8 +121,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met, open_ = _met(classes, label, plan, most, similarity)
         links = links.unionAll(check(met))
         label = components(links, "a", "b").withColumnRenamed("node", "f")
-        if open_ is not None:
-            links = links.unionAll(check(_met(classes, label, plan, most, similarity, open_)[0]))
+        buckets = _still_open(open_, label)
+        if not buckets.isEmpty():
+            links = links.unionAll(check(_met(classes, label, plan, most, similarity, buckets)[0]))
             label = components(links, "a", "b").withColumnRenamed("node", "f")
     distinct = rows.groupBy("f").agg(F.min("id").alias("least")).join(label, "f", "left").withColumn("label", F.coalesce("label", "f"))
     least = written(distinct.groupBy("label").agg(F.min("least").alias("component_id")), "least")
@@ -140,11 +144,11 @@ def _stars(classes: DataFrame, plan: Plan, most: int) -> DataFrame:
     return near.groupBy(F.col("f").alias("b")).agg(F.min(F.struct("d", "c.f")).alias("m")).select(F.col("m.f").alias("a"), "b")
 
 
-def _met(classes: DataFrame, label: DataFrame, plan: Plan, most: int, similarity: float, buckets: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """((a, b), open buckets (p, key) or None): classes of different labels that meet in a bucket within ``most`` bits.
+def _met(classes: DataFrame, label: DataFrame, plan: Plan, most: int, similarity: float, buckets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((a, b), unsettled rows (p, key, x, others)): classes of different labels that meet in a bucket within ``most`` bits.
 
     Of buckets over BUCKET rows, each row outside the largest label comes with its nearest only; where it had
-    more to choose from, its bucket stays open. ``buckets``: open ones, of which all pairs are given, less those whose
+    more to choose from it is unsettled, and others are their labels (none if over NAMED). ``buckets``: open ones, of which all pairs are given, less those whose
     sizes and parity bits rule the similarity out; only their rows are shuffled again.
     """
     spark, rest = classes.sparkSession, buckets is not None
@@ -169,7 +173,7 @@ def _met(classes: DataFrame, label: DataFrame, plan: Plan, most: int, similarity
                 found.append(_small(start, end, lab, bits, most))
             if not found:
                 continue
-            i, j, settled, alone = (np.concatenate(x) for x in zip(*found))
+            i, j, others, alone = (np.concatenate(x) for x in zip(*found))
             at = i
             swap = f[i] > f[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -178,7 +182,7 @@ def _met(classes: DataFrame, label: DataFrame, plan: Plan, most: int, similarity
                 once &= (p[i] <= q) | (np.bitwise_count((bits[i] ^ bits[j]) & m).sum(axis=1) > reach[q])
             once |= alone
             if once.any():
-                yield pd.DataFrame({"a": f[i[once]], "b": f[j[once]], "settled": settled[once], "p": p[at[once]], "key": key[at[once]]})
+                yield pd.DataFrame({"a": f[i[once]], "b": f[j[once]], "p": p[at[once]], "key": key[at[once]], "x": f[at[once]], "others": others[once]})
 
     out, got = None, None
     for parts in _dealt(plan):
@@ -187,10 +191,17 @@ def _met(classes: DataFrame, label: DataFrame, plan: Plan, most: int, similarity
         if rest:
             met = met.join(buckets, ["p", "key"], "left_semi")
         met = met.repartition(tasks(spark), "p", "key").sortWithinPartitions("p", "key")
-        got = written(met.mapInPandas(each, "a long, b long, settled boolean, p int, key long"), "met")
+        got = written(met.mapInPandas(each, "a long, b long, p int, key long, x long, others array<long>"), "met")
         out = got if out is None else out.unionAll(got)
-    left = None if rest else written(out.where("not settled").select("p", "key").distinct(), "open")
-    return out.select("a", "b").distinct(), None if rest or left.isEmpty() else left
+    return out.select("a", "b").distinct(), out.where("others is not null").select("p", "key", "x", "others")
+
+
+def _still_open(unsettled: DataFrame, label: DataFrame) -> DataFrame:
+    """The buckets (p, key) of rows x that have another label than one of those they could have met."""
+    name = lambda c: label.select(F.col("f").alias(c), F.col("label").alias(c + "_label"))
+    met = unsettled.select("p", "key", "x", F.explode_outer("others").alias("other")).join(name("x"), "x", "left").join(name("other"), "other", "left")
+    apart = F.coalesce("x_label", "x") != F.coalesce("other_label", "other")
+    return written(met.where(F.col("other").isNull() | apart).select("p", "key").distinct(), "open")
 
 
 def _dealt(plan: Plan) -> list[set[int]]:
@@ -226,7 +237,7 @@ def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _small(start: np.ndarray, end: np.ndarray, label: np.ndarray, bits: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
-    """(i, j, settled, alone): rows of one bucket of BUCKET rows or fewer, with different labels, within ``most`` bits."""
+    """(i, j, others, alone): rows of one bucket of BUCKET rows or fewer, with different labels, within ``most`` bits."""
     size = end - start
     stop = np.repeat(np.where(size <= BUCKET, end, 0), size)
     i, d, found = np.arange(len(label)), 1, []
@@ -237,7 +248,7 @@ def _small(start: np.ndarray, end: np.ndarray, label: np.ndarray, bits: np.ndarr
         found.append(np.stack([x, x + d]))
         d += 1
     i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-    return i, j, np.ones(len(i), bool), np.zeros(len(i), bool)
+    return i, j, np.full(len(i), None, object), np.zeros(len(i), bool)
 
 
 def _large(label: np.ndarray, bits: np.ndarray, s: int, e: int, most: int, ruled_out: Callable | None) -> tuple[np.ndarray, ...]:
@@ -246,13 +257,15 @@ def _large(label: np.ndarray, bits: np.ndarray, s: int, e: int, most: int, ruled
     lab, b = label[s:e], bits[s:e]
     names, number, count = np.unique(lab, return_inverse=True, return_counts=True)
     outside = number != np.argmax(count)
-    i, j, settled = [], [], []
+    i, j, others = [], [], []
     for x in np.flatnonzero(outside):
         d = np.bitwise_count(b ^ b[x]).sum(axis=1).astype(np.int64)
         at = np.flatnonzero((lab != lab[x]) & (d <= most))
         if not len(at):
             continue
-        settled.append(len(at) == 1)
+        if not ruled_out:
+            near = np.unique(lab[at]) if len(at) > 1 else None
+            others.append(near if near is None else near.tolist() if len(near) <= NAMED else [])
         if ruled_out:
             at = at[~outside[at] | (at > x)]
             at = at[~ruled_out(s + x, s + at)]
@@ -262,7 +275,10 @@ def _large(label: np.ndarray, bits: np.ndarray, s: int, e: int, most: int, ruled
         j.append(s + at)
     none = [np.zeros(0, np.int64)]
     i, j = np.concatenate(i or none), np.concatenate(j or none)
-    return i, j, np.array(settled, bool) if not ruled_out else np.ones(len(i), bool), np.full(len(i), not ruled_out)
+    said = np.full(len(i), None, object)
+    for x, near in enumerate(others):
+        said[x] = near
+    return i, j, said, np.full(len(i), not ruled_out)
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, src: DataFrame, similarity: float) -> DataFrame:
