@@ -20,6 +20,12 @@ def l2_normalize(v: str | Column) -> Column:
     return F.transform(v, lambda x: F.when(n == 0, x).otherwise(x / n))
 
 
+def signed_round(x: str | Column, digits: int) -> Column:
+    """x rounded half away from zero; a negative number that rounds to zero gives -0.0, as SQL's engine has it."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.round(F.abs(x), digits) * F.signum(x)
+
+
 def centered(v: str | Column) -> Column:
     """n points (arrays of one length) less their mean on each axis; no points stay none."""
     v = F.col(v) if isinstance(v, str) else v

@@ -344,7 +344,7 @@ def knn_nested(spark, sf_dir):
 @query("l2_normalize", "SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))), 6)) AS v FROM embeddings")
 def l2_normalize(spark, sf_dir):
     v = vector.l2_normalize(F.col("embedding").cast("array<double>"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(v, lambda x: F.round(x, 6)).alias("v"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(v, lambda x: vector.signed_round(x, 6)).alias("v"))
 
 
 @query("vector_pooling", """

@@ -241,3 +241,8 @@ def test_numbered(spark):
     whole = order.numbered(spark.range(500).withColumnRenamed("id", "pos").withColumn("AT", F.col("pos")).withColumn("run", F.lit(1)).repartition(7), [], ["AT"]).collect()
     assert all(r.pos == r.AT and r.n == 500 and r.run == 1 for r in whole) and len(whole) == 500
     assert order.numbered(spark.createDataFrame([], "g string, v int"), ["g"], ["v"]).count() == 0
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    got = [one(spark, vector.signed_round("x", 6), v, "double") for v in (-1e-9, 1e-9, -0.0, 1.2345675, -1.2345675, float("nan"), None)]
+    assert [str(x) for x in got] == ["-0.0", "0.0", "-0.0", "1.234568", "-1.234568", "nan", "None"]
