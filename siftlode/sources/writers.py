@@ -75,11 +75,14 @@ def with_cells(df: DataFrame, vector: str, n: int, prefix: str = "emb_", decimal
     """df with ``status`` and a text column for each of the n cells of a vector instead of it.
 
     A vector that is null, of another length, or has a cell that is null, NaN or infinite failed: its cells are blank.
+    Cells are rounded as C's printf does: from their exact value, half to even. (A float times 10^decimals is exact as a double for up to
+    12 decimals; ``format_string`` alone rounds the shortest decimal text half up.)
     """
     v = F.col(vector)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x) == float("inf")))
     ok = F.coalesce((F.size(v) == n) & ~bad, F.lit(False))
-    cell = lambda i: F.when(ok, F.format_string(f"%.{decimals}f", F.get(v, F.lit(i)).cast("double"))).alias(f"{prefix}{i}")
+    exact = lambda x: F.rint(x * F.lit(10.0**decimals)) / F.lit(10.0**decimals)
+    cell = lambda i: F.when(ok, F.format_string(f"%.{decimals}f", exact(F.get(v, F.lit(i)).cast("double")))).alias(f"{prefix}{i}")
     return df.select(*(c for c in df.columns if c != vector), F.when(ok, "ok").otherwise("failed").alias("status"), *map(cell, range(n)))
 
 

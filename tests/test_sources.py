@@ -133,3 +133,10 @@ def test_cells_and_index(spark, tmp_path):
     assert {(r.k, r.row.k, r.row.line_no) for r in writers.at_places(spark, f"{out}/rows", index).collect()} == {(i, i, i) for i in range(20) if i % 4}
     assert {(r.k, r.why) for r in spark.read.parquet(f"{out}/failures").collect()} == {(i, "bad") for i in range(0, 20, 4)}
     assert {(r.reason, r.n) for r in spark.read.json(f"{out}/manifest").collect()} == {("ok", 15), ("bad", 5)}
+
+
+def test_cells_round_half_to_even(spark):
+    # exact ties in the seventh decimal, a value just under one, and zeros that keep their sign
+    d = spark.createDataFrame([(1, [0.0078125, 0.0234375, -0.0703125, 5e-7, -1e-7, 1e17])], "i int, v array<float>")
+    got = tuple(writers.with_cells(d, "v", 6).first())[2:]
+    assert got == tuple("%.6f" % x for x in d.first().v) == ("0.007812", "0.023438", "-0.070312", "0.000000" if d.first().v[3] < 5e-7 else "0.000001", "-0.000000", "%.6f" % d.first().v[5])
