@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftlode.operators import encoder, graph, knn, matches, patterns, rings, stats
 from siftlode.plans.registered import query
-from siftlode.session import table
+from siftlode.session import spread, table
 
 #: An order as a graph: parts and suppliers, modulo 6, are its vertices, a line joins two of them.
 EDGES = """
@@ -20,9 +20,10 @@ VERTICES = f"SELECT DISTINCT g, v, ['C', 'N', 'O'][1 + (v + g) % 3] AS label FRO
 
 def edges(spark, sf_dir):
     a, b = F.col("l_partkey") % 6, F.col("l_suppkey") % 6
-    d = table(spark, sf_dir, "lineitem").where(a != b)
-    d = d.select(F.col("l_orderkey").alias("g"), F.least(a, b).alias("s"), F.greatest(a, b).alias("d"), (1 + F.col("l_linenumber") % 2).alias("kind"))
-    return d.groupBy("g", "s", "d").agg(F.min("kind").alias("kind"))
+    lines = table(spark, sf_dir, "lineitem")
+    d = lines.where(a != b).select(F.col("l_orderkey").alias("g"), F.least(a, b).alias("s"), F.greatest(a, b).alias("d"), (1 + F.col("l_linenumber") % 2).alias("kind"))
+    # all lines of an order go to one task, so that groups and joins by graph need no further shuffle (but behind Python)
+    return spread(d, lines, "g").groupBy("g", "s", "d").agg(F.min("kind").alias("kind"))
 
 
 def vertices(spark, sf_dir):
