@@ -6,13 +6,14 @@ import heapq
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.functions.text import lookup, uniform
-from siftlode.session import kept
+from siftlode.operators.order import unused
 
 
 def each_group(df: DataFrame, keys: list[str], order: list[str], solve: Callable[[list[tuple]], Iterator[tuple]], out: list[str]) -> DataFrame:
@@ -79,23 +80,58 @@ def equalised(vertices: DataFrame, edges: DataFrame, kinds: DataFrame, rounds: i
     vertices (g, v, kind, charge: the formal one, null for 0), edges (g, s, d), kinds (kind, a, b, c, top): a kind's
     electronegativity at charge q is a + b q + c q^2, and ``top`` is its value as a positive ion. In each round an edge moves
     damping^k (chi(d) - chi(s)) / top of its less electronegative end from one end to the other, so the total of a graph stays.
-    Vertices of an unknown kind take part in no exchange; loops and doubled edges count as none and once. Lineage is cut
-    every ``cut`` rounds.
+    Vertices of an unknown kind take part in no exchange; loops and doubled edges count as none and once. A graph's vertices and
+    edges are brought together once (a molecule is a row) and all rounds run there; ``cut`` has no effect any more.
     """
-    v = vertices.join(kinds, "kind", "left").select("g", "v", F.coalesce(F.col("charge").cast("double"), F.lit(0.0)).alias("q"), "a", "b", "c", "top")
-    v = kept(v, "charges")
-    both = kept(mirrored(edges.where("s <> d").select("g", "s", "d")), "edges")
-    chi = F.col("a") + F.col("b") * F.col("q") + F.col("c") * F.col("q") * F.col("q")
-    for k in range(1, rounds + 1):
-        at = v.select("g", "v", "q", chi.alias("chi"), "top")
-        pairs = both.join(at.select("g", F.col("v").alias("s"), F.col("chi").alias("x"), F.col("top").alias("tx")), ["g", "s"])
-        pairs = pairs.join(at.select("g", F.col("v").alias("d"), F.col("chi").alias("y"), F.col("top").alias("ty")), ["g", "d"])
-        moved = (F.col("y") - F.col("x")) / F.when(F.col("y") > F.col("x"), F.col("tx")).otherwise(F.col("ty")) * damping**k
-        gains = pairs.groupBy("g", F.col("s").alias("v")).agg(F.sum(moved).alias("gain"))
-        v = v.join(gains, ["g", "v"], "left").withColumn("q", F.col("q") + F.coalesce("gain", F.lit(0.0))).drop("gain")
-        if k % cut == 0:
-            v = kept(v, "charges")
-    return v.select("g", "v", F.col("q").alias("charge"))
+    names = ["q", "a", "b", "c", "top"]
+    v = vertices.join(F.broadcast(kinds), "kind", "left").withColumn("q", F.coalesce(F.col("charge").cast("double"), F.lit(0.0)))
+    v = v.groupBy("g").agg(F.collect_list(F.struct("v", *(F.col(c).cast("double").alias(c) for c in names))).alias("vs"))
+    e = edges.where("s <> d").groupBy("g").agg(F.collect_set(F.struct(F.least("s", "d").alias("s"), F.greatest("s", "d").alias("d"))).alias("es"))
+    ends = [F.transform(F.coalesce("es", F.array()), lambda x: x[c]) for c in ("s", "d")]
+    run = F.arrow_udf(lambda *x: exchanged(*x, rounds, damping), "array<double>")
+    done = v.join(e, "g", "left").select("g", "vs", run(*(F.transform("vs", lambda x: x[c]) for c in ("v", *names)), *ends).alias("qs"))
+    rows = done.select("g", F.explode(F.zip_with("vs", "qs", lambda x, q: F.struct(x["v"].alias("v"), q.alias("charge")))).alias("x"))
+    return rows.select("g", "x.v", "x.charge")
+
+
+def exchanged(v: pa.Array, q: pa.Array, a: pa.Array, b: pa.Array, c: pa.Array, top: pa.Array, s: pa.Array, d: pa.Array, rounds: int, damping: float) -> pa.Array:
+    """The charges of the vertices v[i] of each graph i after the rounds of ``equalised`` over its edges s[i] - d[i]."""
+    of = lambda x: np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy()))
+    ids = pa.concat_arrays([x.flatten() for x in (v, s, d)]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    keys = np.r_[of(v), of(s), of(d)] * (len(ids) + 1) + np.nan_to_num(ids, nan=len(ids)).astype(np.int64)
+    n, m = len(v.flatten()), len(s.flatten())
+    q, a, b, c, top = (x.flatten().to_numpy(zero_copy_only=False).astype(float) for x in (q, a, b, c, top))
+    if n and m:
+        order = np.argsort(keys[:n], kind="stable")
+        at = order[np.minimum(np.searchsorted(keys[:n], keys[n:], sorter=order), n - 1)]
+        there = (keys[at] == keys[n:]) & ~np.isnan(a + b + c + top)[at]
+        both = there[:m] & there[m:]
+        s, d = at[:m][both], at[m:][both]
+        for k in range(1, rounds + 1):
+            chi = a + b * q + c * q * q
+            gap = chi[d] - chi[s]
+            moved = gap / np.where(gap > 0, top[s], top[d]) * damping**k
+            q = q + np.bincount(s, moved, n) - np.bincount(d, moved, n)
+    return pa.ListArray.from_arrays(pa.array(v.offsets.to_numpy() - v.offsets[0].as_py()), pa.array(q))
+
+
+def _orders(edges: DataFrame) -> DataFrame:
+    """(g, es): a graph's edges once, s < d, as an array of (s, d, order) with the highest order of each."""
+    one = edges.where("s <> d").groupBy("g", F.least("s", "d").alias("s"), F.greatest("s", "d").alias("d")).agg(F.max(F.col("order").cast("double")).alias("order"))
+    return one.where("g is not null").groupBy("g").agg(F.collect_list(F.struct("s", "d", "order")).alias("es"))
+
+
+def _ringed(rings: DataFrame) -> DataFrame:
+    """(g, rs): a graph's edges on rings as an array of (s, d, ring)."""
+    return rings.where("g is not null and ring is not null").groupBy("g").agg(F.collect_list(F.struct("s", "d", "ring")).alias("rs"))
+
+
+def _at(e: Column, v: Column) -> Column:
+    return (e["s"] == v) | (e["d"] == v)
+
+
+def _same(e: Column, r: Column) -> Column:
+    return (e["s"] == r["s"]) & (e["d"] == r["d"])
 
 
 def edge_features(edges: DataFrame, rings: DataFrame) -> DataFrame:
@@ -103,21 +139,19 @@ def edge_features(edges: DataFrame, rings: DataFrame) -> DataFrame:
 
     order is 1, 1.5, 2 or 3. An edge is conjugated if it is of order 1.5, or single between two ends that each have another edge
     above single, or above single beside a conjugated single edge. degrees: those of both ends. rings: as ``smallest_rings`` gives.
+    A graph's edges are one row (a molecule): they and its rings meet by g alone.
     """
-    one = edges.where("s <> d").groupBy("g", F.least("s", "d").alias("s"), F.greatest("s", "d").alias("d")).agg(F.max(F.col("order").cast("double")).alias("order"))
-    one = kept(one, "edges")
-    ends = lambda e: e.select("g", F.explode(F.array("s", "d")).alias("v"), *(c for c in e.columns if c not in ("g", "s", "d")))
-    around = ends(one).groupBy("g", "v").agg(F.count("*").alias("degree"), F.count_if(F.col("order") > 1).alias("multiple"))
-    at = lambda c, n: around.select("g", F.col("v").alias(c), F.col("degree").alias(f"degree_{n}"), F.col("multiple").alias(f"multiple_{n}"))
-    e = one.join(at("s", "s"), ["g", "s"]).join(at("d", "d"), ["g", "d"])
-    bridge = (F.col("order") == 1) & (F.col("multiple_s") > 0) & (F.col("multiple_d") > 0)
-    e = kept(e.withColumn("bridge", bridge), "edges")
-    beside = ends(e.where("bridge").select("g", "s", "d")).distinct()
-    mark = lambda c: beside.select("g", F.col("v").alias(c), F.lit(True).alias(f"beside_{c}"))
-    e = e.join(mark("s"), ["g", "s"], "left").join(mark("d"), ["g", "d"], "left")
-    conjugated = F.col("bridge") | (F.col("order") == 1.5) | ((F.col("order") > 1) & F.coalesce("beside_s", "beside_d", F.lit(False)))
-    found = rings.select("g", "s", "d", F.col("ring").isNotNull().alias("in_ring"))
-    return e.join(found, ["g", "s", "d"], "left").select("g", "s", "d", "order", F.coalesce("in_ring", F.lit(False)).alias("in_ring"), conjugated.alias("conjugated"), F.array("degree_s", "degree_d").alias("degrees"))
+    j = _orders(edges).join(_ringed(rings), "g", "left").withColumn("rs", F.coalesce("rs", F.array()))
+    multiple = lambda v: F.exists("es", lambda x: (x["order"] > 1) & _at(x, v))
+    bridge = lambda e: (e["order"] == 1) & multiple(e["s"]) & multiple(e["d"])
+    j = j.select("g", "es", "rs", F.filter("es", bridge).alias("bridges"))
+    degree = lambda v: F.size(F.filter("es", lambda x: _at(x, v))).cast("long")
+    beside = lambda e: F.exists("bridges", lambda x: _at(x, e["s"]) | _at(x, e["d"]))
+    conjugated = lambda e: F.exists("bridges", lambda x: _same(x, e)) | (e["order"] == 1.5) | ((e["order"] > 1) & beside(e))
+    features = lambda e: F.struct(
+        e["s"].alias("s"), e["d"].alias("d"), e["order"].alias("order"), F.exists("rs", lambda r: _same(r, e)).alias("in_ring"), conjugated(e).alias("conjugated"), F.array(degree(e["s"]), degree(e["d"])).alias("degrees")
+    )
+    return j.select("g", F.explode(F.transform("es", features)).alias("e")).select("g", "e.*")
 
 
 def vertex_features(vertices: DataFrame, edges: DataFrame, rings: DataFrame, valences: dict[str, int]) -> DataFrame:
@@ -126,14 +160,18 @@ def vertex_features(vertices: DataFrame, edges: DataFrame, rings: DataFrame, val
 
     explicit_valence is the sum of the orders, rounded up; what the usual valence of the label, more by a positive charge, leaves open is
     implicit and filled by hydrogen. Labels without a usual valence have no open places. A vertex without edges has zeros.
+    A graph's edges are one row (a molecule) that meets its vertices by g alone.
     """
-    one = edges.where("s <> d").groupBy("g", F.least("s", "d").alias("s"), F.greatest("s", "d").alias("d")).agg(F.max(F.col("order").cast("double")).alias("order"))
-    one = one.join(rings.select("g", "s", "d", "ring"), ["g", "s", "d"], "left")
-    ends = one.select("g", F.explode(F.array("s", "d")).alias("v"), "order", "ring")
-    around = ends.groupBy("g", "v").agg(
-        F.count("*").alias("degree"), F.ceil(F.sum("order")).cast("int").alias("explicit_valence"), F.max(F.col("order") == 1.5).alias("is_aromatic"), F.max(F.col("ring").isNotNull()).alias("is_in_ring"), F.min("ring").alias("min_ring_size")
-    )
-    out = vertices.join(around, ["g", "v"], "left").fillna({"degree": 0, "explicit_valence": 0, "is_aromatic": False, "is_in_ring": False, "min_ring_size": 0})
+    es, rs = unused(vertices, "es", "rs")
+    around = _orders(edges).join(_ringed(rings), "g", "left")
+    around = around.select("g", F.col("es").alias(es), F.filter(F.coalesce("rs", F.array()), lambda r: F.exists("es", lambda e: _same(e, r))).alias(rs))
+    own = lambda c: F.filter(F.coalesce(c, F.array()), lambda x: _at(x, F.col("v")))
+    out = vertices.join(around, "g", "left").withColumns({es: own(es), rs: own(rs)})
+    total = F.aggregate(es, F.lit(0.0), lambda t, x: t + x["order"])
+    out = out.withColumns({
+        "degree": F.size(es).cast("long"), "explicit_valence": F.ceil(total).cast("int"), "is_aromatic": F.exists(es, lambda x: x["order"] == 1.5),
+        "is_in_ring": F.size(rs) > 0, "min_ring_size": F.coalesce(F.array_min(F.transform(rs, lambda x: x["ring"])), F.lit(0)),
+    }).drop(es, rs)
     usual = lookup("label", valences, None) + F.coalesce("charge", F.lit(0))
     out = out.withColumn("implicit_valence", F.greatest(F.coalesce(usual - F.col("explicit_valence"), F.lit(0)), F.lit(0)).cast("int"))
     out = out.withColumn("total_valence", F.col("explicit_valence") + F.col("implicit_valence")).withColumn("total_num_hs", F.col("implicit_valence"))
