@@ -53,7 +53,8 @@ def nested(vertices: DataFrame, edges: DataFrame, features: list[str], edge_feat
     cell = lambda cs: F.array(*(F.col(c).cast("double") for c in cs))
     v = vertices.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("v", cell(features).alias("x")))).alias("vs"))
     one = edges.select("g", F.least("s", "d").alias("s"), F.greatest("s", "d").alias("d"), cell(edge_features).alias("e")).dropDuplicates(["g", "s", "d"])
-    both = one.unionByName(one.select("g", F.col("d").alias("s"), F.col("s").alias("d"), "e")).dropDuplicates(["g", "s", "d"])
+    ways = F.array(F.struct("s", "d", "e"), F.struct(F.col("d").alias("s"), F.col("s").alias("d"), "e"))
+    both = one.select("g", F.explode(F.array_distinct(ways)).alias("w")).select("g", "w.*")
     es = both.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("s", "d", "e"))).alias("es"))
     j = v.join(es, "g", "left").withColumn("ids", F.transform("vs", lambda a: a["v"]))
     place = lambda end: F.transform("es", lambda a: F.array_position(F.col("ids"), a[end]) - 1)

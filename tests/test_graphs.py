@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from siftlode import session
 from siftlode.operators import encoder, graph as gr, matches, patterns, rings
 
 FUSED = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 0), (5, 6), (6, 7), (7, 4)]  # a ring of six and one of four share 4-5
@@ -145,3 +146,32 @@ def test_vertex_features(spark):
     out = gr.vertex_features(v, e, rings.smallest_rings(e, 6), {"C": 4, "N": 3, "O": 2})
     got = {(r.g, r.v): (r.degree, r.explicit_valence, r.implicit_valence, r.total_valence, r.total_degree, r.is_in_ring, r.min_ring_size) for r in out.collect()}
     assert got == {("m", 0): (3, 3, 1, 4, 4, True, 3), ("m", 1): (3, 4, 0, 4, 3, True, 3), ("m", 2): (2, 2, 2, 4, 4, True, 3), ("m", 3): (1, 1, 3, 4, 4, False, 0), ("m", 4): (1, 2, 0, 2, 1, False, 0), ("x", 0): (0, 0, 0, 0, 0, False, 0)}
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_graphs_are_shuffled_once(spark):
+    # edges that lie by graph are not dealt again for each join and group
+    dealt = graph(spark, fused=FUSED, tree=TREE).withColumn("kind", (1 + (1 + gr.F.col("s")) % 2)).withColumn("order", gr.F.lit(1.0)).repartition(5, "g")
+    v = dealt.select("g", gr.F.explode(gr.F.array("s", "d")).alias("v")).distinct().withColumns({"label": gr.F.lit("C"), "kind": gr.F.lit("C"), "charge": gr.F.lit(0), "x": gr.F.lit(1.0)})
+    kinds = spark.createDataFrame([("C", 7.98, 9.18, 1.88, 19.04)], "kind string, a double, b double, c double, top double")
+    r = rings.smallest_rings(dealt, 6)
+    ps = [patterns.Pattern("pair", ("C", "C"), ((0, 1, 2),)), patterns.Pattern("chain", ("C", "C", "C"), ((0, 1, None), (1, 2, None)))]
+    # one for each use of the tables, and one by graph behind a function in Python
+    assert shuffles(r) == 1 and shuffles(rings.vertex_rings(r)) == shuffles(rings.graph_rings(r)) == 2
+    assert shuffles(gr.edge_index(gr.edge_features(dealt, r), ["order"])) <= 4 and shuffles(gr.vertex_features(v, dealt, r, {"C": 4}).groupBy("g").count()) <= 5
+    assert shuffles(gr.equalised(v, dealt, kinds)) <= 2 and shuffles(encoder.nested(v, dealt, ["x"], ["kind"])) <= 2
+    assert shuffles(matches.best_label(patterns.hits(patterns.pattern_matches(v, dealt, ps), ps))) <= 3
+
+
+def test_partitions_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "SPREAD", 10)
+    d = spark.range(95)
+    assert [session.spread(d, x, "id").rdd.getNumPartitions() for x in (d, d.limit(5))] == [10, int(spark.conf.get("spark.sql.shuffle.partitions"))]
+
+
+def test_null_graphs_and_vertices_of_text(spark):
+    e = spark.createDataFrame([(None, "a", "b"), (None, "b", "c"), (None, "a", "c"), (1, "a", "b"), (1, "c", "b"), (1, "a", "c"), (2, "x", None)], "g int, s string, d string")
+    assert {(x.g, x.s, x.d, x.ring) for x in rings.smallest_rings(e, 6).collect()} == {(None, "a", "b", None), (None, "b", "c", None), (None, "a", "c", None), (1, "a", "b", 3), (1, "b", "c", 3), (1, "a", "c", 3)}
