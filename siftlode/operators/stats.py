@@ -105,7 +105,9 @@ def gaussian_fit(bins: DataFrame, keys: list[str], center: str = "center", weigh
     all groups go on at once inside the JVM. Bins with a null are left out. Groups without weight or with one center alone have
     no curve: null.
     """
-    pts = bins.where(F.col(center).isNotNull() & F.col(weight).isNotNull()).groupBy(*keys)
+    # groups are few bytes and much work: dealt by number, since small partitions would be joined into one task
+    deal = int(bins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pts = bins.where(F.col(center).isNotNull() & F.col(weight).isNotNull()).repartition(deal, *keys).groupBy(*keys)
     pts = pts.agg(F.sort_array(F.collect_list(F.struct(F.col(center).cast("double").alias("x"), F.col(weight).cast("double").alias("y")))).alias("p"))
     p, total = F.col("p"), lambda f: F.aggregate(F.col("p"), F.lit(0.0), lambda s, b: s + f(b))
     d = pts.withColumn("w", total(lambda b: b["y"])).withColumn("mean", F.try_divide(total(lambda b: b["x"] * b["y"]), F.col("w")))

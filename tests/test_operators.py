@@ -246,3 +246,9 @@ def test_numbered(spark):
 def test_rounding_keeps_the_sign_of_zero(spark):
     got = [one(spark, vector.signed_round("x", 6), v, "double") for v in (-1e-9, 1e-9, -0.0, 1.2345675, -1.2345675, float("nan"), None)]
     assert [str(x) for x in got] == ["-0.0", "0.0", "-0.0", "1.234568", "-1.234568", "nan", "None"]
+
+
+def test_curves_are_dealt_to_tasks(spark):
+    bins = spark.range(40).selectExpr("id % 8 as k", "cast(id as double) as center", "cast(1 + id % 5 as double) as n")
+    fit = stats.gaussian_fit(bins, ["k"], rounds=1)
+    assert fit.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
