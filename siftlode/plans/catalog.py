@@ -8,7 +8,7 @@ from siftlode.functions import text, vector
 from siftlode.operators import clean, filters, graph, sample, stats
 from siftlode.operators import knn as nn
 from siftlode.plans.registered import query
-from siftlode.session import table
+from siftlode.session import spread, table
 
 #: Distances are rounded in the output only; ranks come from the full doubles.
 _KNN_SQL = """
@@ -364,8 +364,9 @@ def vector_pooling(spark, sf_dir):
 
 
 def _order_graph(spark, sf_dir):
-    d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_partkey").alias("s"), (F.col("l_suppkey") + 1_000_000).alias("d"))
-    return d.dropDuplicates()
+    lines = table(spark, sf_dir, "lineitem")
+    d = lines.select(F.col("l_orderkey").alias("g"), F.col("l_partkey").alias("s"), (F.col("l_suppkey") + 1_000_000).alias("d"))
+    return spread(d, lines, "g").dropDuplicates()
 
 
 @query("graph_degree", """
