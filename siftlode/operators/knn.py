@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of queries, with their k best, that are broadcast; beyond it they are cut into tiles of as many.
-TILE_BYTES = 32 << 20
+#: Bytes of queries, with their k best, that are broadcast, and that a task holds of more queries than are broadcast.
+TILE_BYTES = HELD_BYTES = 32 << 20
 #: Rows of a query tile and of a reference tile whose matrix product is taken at once (16 MB of doubles).
 QUERY_ROWS, REF_ROWS = 2048, 1024
 
@@ -89,7 +89,7 @@ def _dense(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.nd
     names = np.array(ids.to_pylist())
     for n in np.unique(size[size > 0]):
         at = np.flatnonzero(size == n)
-        m = flat[begin[at][:, None] + np.arange(n)] if len(at) < len(size) else flat.reshape(-1, n)
+        m = (flat[begin[at][:, None] + np.arange(n)] if len(at) < len(size) else flat.reshape(-1, n)).astype(np.float64)
         whole = np.isfinite(m).all(axis=1)
         yield at[whole], names[at[whole]], m[whole]
 
@@ -140,20 +140,35 @@ def _search(batches: Iterator[pa.RecordBatch], exclude_self: bool, given: pa.Tab
         yield from flushed(kind)
 
 
+def _grid(query_bytes: int, ref_bytes: int, slots: int) -> tuple[int, int]:
+    """(tiles of the queries, parts of the references) for at least ``slots`` tasks: each tile meets each part in one.
+
+    References are sent once a tile and queries once a part, so both are cut evenly, by the root of the slots where the
+    tables are alike. A tile is at most HELD_BYTES; only queries that need more tiles for that send the references oftener.
+    """
+    even = round((slots * query_bytes / max(1, ref_bytes)) ** 0.5)
+    tiles = max(-(-query_bytes // HELD_BYTES), min(even, slots), 1)
+    return tiles, -(-slots // tiles)
+
+
 def knn(queries: DataFrame, refs: DataFrame, id_col: str, vec_col: str, k: int | Column = 10, exclude_self: bool = False, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """(query_id, ref_id, rank, distance): the k references nearest to each query by Euclidean distance.
 
     Ties go to the smaller reference id. ``k`` may be a column of ``queries``. Rows with a null id or vector, a component that is
     null, NaN or infinite, no components, or another length than the query's are no candidates. Queries whose vectors and k best fit
-    into ``tile_bytes`` are broadcast and each task takes the references it reads. More queries are cut into tiles by a
-    hash; references are sent once to each tile, whose work is dealt to parts of the references, so a task holds one tile
-    of queries and streams references past it. Shuffled beyond a broadcast: the references times the number of tiles (their
-    bytes over ``tile_bytes``), the queries times the parts. Each task gives k rows a query at most.
+    into ``tile_bytes`` are broadcast and each task takes the references it reads. More queries are cut into tiles and the
+    references into parts by a hash (see ``_grid``); a task holds one tile of queries and streams one part past it. Shuffled
+    beyond a broadcast: the references times the tiles and the queries times the parts. The numbers of both follow from the
+    shuffle partitions, so this grows with the tables until tiles would be over HELD_BYTES; from there on the tiles,
+    and with them the copies of the references, grow with the queries. Each task gives k rows a query at most.
     """
     spark = queries.sparkSession
     kcol = (F.lit(k) if isinstance(k, int) else k).cast("int")
-    q = queries.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), kcol.alias("k")).where("k > 0")
-    r = refs.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    # floats travel as they are and become doubles in the tasks
+    single = all(d.schema[vec_col].dataType.simpleString() == "array<float>" for d in (queries, refs))
+    v = F.col(vec_col).cast("array<float>" if single else "array<double>").alias("v")
+    q = queries.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), v, kcol.alias("k")).where("k > 0")
+    r = refs.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), v)
     kind = queries.schema[id_col].dataType.simpleString()
     out = f"query_id {kind}, ref_id {kind}, k int, distance double"
     size = q.agg(F.sum(F.size("v").cast("long") * 8 + F.col("k") * 24 + 16).alias("b")).first().b or 0
@@ -161,13 +176,14 @@ def knn(queries: DataFrame, refs: DataFrame, id_col: str, vec_col: str, k: int |
         held = spark.sparkContext.broadcast(q.toArrow())
         found = r.mapInArrow(lambda batches: _search(batches, exclude_self, held.value), out)
     else:
-        tiles = -(-size // tile_bytes)
-        parts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // tiles))
+        ref_size = r.agg(F.sum(F.size("v").cast("long") * 8).alias("b")).first().b or 0
+        tiles, parts = _grid(size, ref_size, int(spark.conf.get("spark.sql.shuffle.partitions")))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
         left = q.select(deal(tiles).alias("tile"), every(parts).alias("part"), F.lit(0).alias("kind"), "id", "v", "k")
         right = r.select(every(tiles).alias("tile"), deal(parts).alias("part"), F.lit(1).alias("kind"), "id", "v", F.lit(0).alias("k"))
-        dealt = left.unionByName(right).repartition(tiles * parts, "tile", "part").sortWithinPartitions("tile", "part", "kind")
+        cell = (F.col("tile") * parts + F.col("part")).cast("int")
+        dealt = left.unionByName(right).repartitionById(tiles * parts, cell).sortWithinPartitions("tile", "part", "kind")
         found = dealt.mapInArrow(lambda batches: _search(batches, exclude_self), out)
     w = Window.partitionBy("query_id").orderBy("distance", "ref_id")
     return found.withColumn("rank", F.row_number().over(w)).where("rank <= k").select("query_id", "ref_id", "rank", "distance")

@@ -112,6 +112,31 @@ def test_k_of_each_query(spark):
     assert knn.knn(v.limit(0), v, "i", "v").count() == 0 and knn.knn(v, v.limit(0), "i", "v").count() == 0
 
 
+def test_shuffle_grows_with_the_tables(spark, monkeypatch):
+    def dealt(n):  # rows of both sides that reach the tasks
+        seen, frame = [], type(spark.range(1))
+        by = frame.repartitionById
+        monkeypatch.setattr(frame, "repartitionById", lambda d, *a: (seen.append(d.count()), by(d, *a))[1])
+        v = spark.range(n).select("id", F.array(F.col("id").cast("double"), F.rand(1)).alias("v"))
+        assert knn.knn(v, v, "id", "v", 2, tile_bytes=1000).count() == 2 * n
+        monkeypatch.undo()
+        return seen[0]
+
+    assert dealt(1000) == 10 * dealt(100)
+    # 1 GB against as much: the root of the slots each way; few queries are not cut so finely that many references travel
+    assert knn._grid(300 << 20, 300 << 20, 144) == (12, 12) and knn._grid(40 << 20, 40 << 30, 200) == (2, 100)
+    # beyond the root, a tile keeps within what a task may hold
+    assert knn._grid(32 << 30, 32 << 30, 144) == (1024, 1) and knn._grid(0, 0, 8)[0] == 1
+
+
+def test_floats_are_compared_as_doubles(spark):
+    rows = [(i, [1e4 + i / 1024, 3.0, -1e-3 * i]) for i in range(40)]
+    v = spark.createDataFrame(rows, "i int, v array<float>")
+    want = [tuple(r) for r in knn.knn(v, v.withColumn("v", F.col("v").cast("array<double>")), "i", "v", 3, tile_bytes=300).collect()]
+    assert sorted(tuple(r) for r in knn.knn(v, v, "i", "v", 3, tile_bytes=300).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in knn.knn(v, v, "i", "v", 3).collect()) == sorted(want)
+
+
 def test_samples_and_splits(spark):
     d = spark.range(1000).withColumnRenamed("id", "k")
     a = {r.k for r in sample.exact(d, ["k"], 50, 1).collect()}
