@@ -9,6 +9,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -229,25 +230,110 @@ def masked_subgraph(edges: DataFrame, share: float = 0.25, seed: int = 0, order:
 
 
 def assigned(pairs: DataFrame, keys: list[str], a: str, b: str, cost: str) -> DataFrame:
-    """keys, a, b: the one-to-one assignment of least total cost in each group of a square cost table.
+    """keys, a, b, cost (double): the one-to-one assignment of least total cost in each group of a square cost table.
 
-    Groups whose sides differ in size, or miss a cost, give no rows. A group is a molecule's atoms of one kind.
+    Groups whose sides differ in size, or miss a cost (null or NaN), give no rows. A group is a molecule's atoms of one kind;
+    a task solves all groups of one size that it holds at once. Pairs that lie by their keys already are not shuffled.
     """
+    schema = pairs.select(*keys, a, b).withColumn("__cost", F.lit(0.0)).schema
+    src = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(cost).cast("double").alias("c")).alias("__x"))
+    packed = src.groupBy(*keys).agg(F.sort_array(F.collect_list("__x")).alias("__x"))
 
-    def solve(rows: list[tuple]) -> Iterator[tuple]:
-        n = len(keys)
-        left, right = sorted({r[n] for r in rows}), sorted({r[n + 1] for r in rows})
-        price: dict = {}
-        for r in rows:
-            if r[n + 2] is not None:
-                price[r[n : n + 2]] = min(price.get(r[n : n + 2], r[n + 2]), r[n + 2])
-        if len(left) != len(right) or len(price) != len(left) ** 2:
-            return iter(())
-        col = cheapest([[price[x, y] for y in right] for x in left])
-        return ((*rows[0][:n], x, right[j]) for x, j in zip(left, col))
-
-    src = pairs.select(*keys, a, b, cost).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return each_group(src, keys, [a, b], solve, [*keys, a, b])
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(len(keys))
+            group, x, y, c = _assigned(rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(group)) for i in range(len(keys))), x, y, pa.array(c)], schema.names)
+
+    return packed.mapInArrow(each, schema).withColumnRenamed("__cost", cost)
+
+
+def _differ(x: pa.Array, y: pa.Array) -> np.ndarray:
+    try:
+        return pc.not_equal(x, y).to_numpy(zero_copy_only=False)
+    except pa.ArrowNotImplementedError:
+        return np.array([p != q for p, q in zip(x.to_pylist(), y.to_pylist())], bool)
+
+
+def _assigned(groups: pa.ListArray) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
+    """(group, a, b, cost) of the cheapest assignments of groups of sorted pairs (a, b, c)."""
+    pairs = groups.flatten()
+    x, y, c = (pairs.field(i) for i in range(3))
+    c, group = c.to_numpy(zero_copy_only=False).astype(np.float64), np.repeat(np.arange(len(groups)), np.diff(groups.offsets.to_numpy()))
+    new_a = np.ones(len(c), bool)
+    new_a[1:] = np.diff(group) != 0
+    new_a[1:] |= _differ(x[1:], x[:-1])
+    new = new_a.copy()
+    new[1:] |= _differ(y[1:], y[:-1])
+    at = np.flatnonzero(new)  # each pair once, at its least cost
+    if not len(at):
+        return at, x, y, c
+    c, group, new_a = np.fmin.reduceat(c, at), group[at], new_a[at]
+    size = np.bincount(group, minlength=len(groups))
+    n = np.bincount(group[new_a], minlength=len(groups))
+    first = np.cumsum(size) - size
+    place, side = np.arange(len(at)) - first[group], n[group]
+    # a square: the first a has n partners, and the others have the same ones
+    ok = new_a == (place % side == 0)
+    ok &= (size == n * n)[group]
+    pa_at = pa.array(at)
+    ok &= ~_differ(y.take(pa_at), y.take(pa.array(at[first[group] + np.where(ok, place % side, 0)]))) & ~np.isnan(c)
+    whole = np.bincount(group[ok], minlength=len(groups)) == size
+    chosen = []
+    for k in np.unique(n[whole & (n > 0)]):
+        begin = first[whole & (n == k)]
+        cost = c[begin[:, None] + np.arange(k * k)].reshape(-1, k, k)
+        chosen.append((begin[:, None] + np.arange(k) * k + cheapest_of_each(cost)).ravel())
+    chosen = np.sort(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
+    taken = pa.array(at[chosen])
+    return group[chosen], x.take(taken), y.take(taken), c[chosen]
+
+
+def cheapest_of_each(cost: np.ndarray) -> np.ndarray:
+    """The column of each row in a cheapest assignment of each of many square tables of one size, as ``cheapest`` finds it,
+    a step of all tables at a time."""
+    g, n = cost.shape[:2]
+    out = np.empty((g, n), np.int64)
+    odd = ~np.isfinite(cost).all(axis=(1, 2))
+    for i in np.flatnonzero(odd):
+        out[i] = cheapest(cost[i].tolist())
+    cost = cost[~odd]
+    g = len(cost)
+    # column 0 holds the row that looks for a column; rows and columns count from 1
+    pot_r, pot_c, row_of = np.zeros((g, n + 1)), np.zeros((g, n + 1)), np.zeros((g, n + 1), np.int64)
+    back, every = np.zeros((g, n + 1), np.int64), np.arange(g)
+    for r in range(1, n + 1):
+        row_of[:, 0] = r
+        dist, done, at, live = np.full((g, n), np.inf), np.zeros((g, n + 1), bool), np.zeros(g, np.int64), every
+        while len(live):
+            j, here = at[live], np.arange(len(live))
+            done[live, j] = True
+            i, used = row_of[live, j], done[live]
+            d, via = dist[live], back[live]
+            new = cost[live, i - 1] - pot_r[live, i][:, None] - pot_c[live, 1:]
+            less = ~used[:, 1:] & (new < d)
+            d, via[:, 1:] = np.where(less, new, d), np.where(less, j[:, None], via[:, 1:])
+            open_ = np.where(used[:, 1:], np.inf, d)
+            near = open_.argmin(axis=1)
+            step = open_[here, near]
+            moved = used * step[:, None]
+            pot = pot_r[live]
+            pot[here[:, None], row_of[live]] += moved  # rows of done columns are all different; the rest adds 0
+            pot_r[live] = pot
+            pot_c[live] -= moved
+            dist[live], back[live], at[live] = d - np.where(used[:, 1:], 0, step[:, None]), via, near + 1
+            live = live[row_of[live, near + 1] > 0]
+        live = every
+        while len(live):
+            j = at[live]
+            before = back[live, j]
+            row_of[live, j] = row_of[live, before]
+            at[live] = before
+            live = live[before > 0]
+    found = np.empty((g, n), np.int64)
+    found[every[:, None], row_of[:, 1:] - 1] = np.arange(n)
+    out[~odd] = found
+    return out
 
 
 def cheapest(cost: list[list[float]]) -> list[int]:

@@ -420,9 +420,9 @@ SELECT k, count(*) AS n, count(*) AS n_a, count(*) AS n_b, sum(q * day) AS cost
 """)
 def min_cost_assignment(spark, sf_dir):
     """The cheapest totals by order: with such costs the least quantity takes the last day (rearrangement)."""
-    cost = _waiting(spark, sf_dir)
-    got = graph.assigned(cost, ["k"], "a", "b", "cost").join(cost, ["k", "a", "b"])
-    return got.groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("a").alias("n_a"), F.count_distinct("b").alias("n_b"), F.sum("cost").alias("cost"))
+    got = graph.assigned(_waiting(spark, sf_dir), ["k"], "a", "b", "cost")
+    distinct = lambda c: F.size(F.collect_set(c)).cast("long")  # noqa: E731  (an order's lines; two count_distinct treble the rows)
+    return got.groupBy("k").agg(F.count("*").alias("n"), distinct("a").alias("n_a"), distinct("b").alias("n_b"), F.sum("cost").alias("cost"))
 
 
 def _waiting(spark, sf_dir):
@@ -430,9 +430,11 @@ def _waiting(spark, sf_dir):
     # line numbers repeat within an order, so lines are numbered anew
     d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_quantity", "l_shipdate")
     d = clean.ranked(d, ["k"], ["l_linenumber", "l_shipdate", "l_quantity"])
-    a = d.select("k", F.col("rank").alias("a"), "l_quantity")
-    b = d.select("k", F.col("rank").alias("b"), F.datediff("l_shipdate", F.lit("1970-01-01").cast("date")).alias("day"))
-    return a.join(b, "k").withColumn("cost", (F.col("l_quantity") * F.col("day")).cast("double")).select("k", "a", "b", "cost")
+    line = F.struct("rank", "l_quantity", F.datediff("l_shipdate", F.lit("1970-01-01").cast("date")).alias("day"))
+    d = d.where(F.col("k").isNotNull()).groupBy("k").agg(F.collect_list(line).alias("lines"))
+    d = d.select("k", "lines", F.explode("lines").alias("x")).select("k", "x", F.explode("lines").alias("y"))
+    cost = (F.col("x.l_quantity") * F.col("y.day")).cast("double")
+    return d.select("k", F.col("x.rank").alias("a"), F.col("y.rank").alias("b"), cost.alias("cost"))
 
 
 @query("model_scoring", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x, i: x * i)), 4) AS score FROM embeddings")

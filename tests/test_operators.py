@@ -185,6 +185,30 @@ def test_cheapest_assignment(spark):
     assert sorted((x.k, x.a, x.b) for x in graph.assigned(d, ["k"], "a", "b", "c").collect()) == [("m", 0, 6), ("m", 1, 5)]
 
 
+def test_assignments_of_many_groups_at_once(spark):
+    r = random.Random(2)
+    rows, want = [], {}
+    for g in range(60):
+        n = r.choice([1, 2, 3, 4, 6])
+        c = [[float(r.choice([0, 1, 2, 5, -3])) for _ in range(n)] for _ in range(n)]  # many ties
+        rows += [(g, f"r{i}", j * 10, c[i][j]) for i in range(n) for j in range(n)]
+        want[g] = sum(c[i][j] for i, j in enumerate(graph.cheapest(c)))
+    rows += [(0, "r0", 0, 99.0), (0, "r0", 0, None), (0, None, 0, -99.0)]  # a repeated pair counts at its least cost
+    rows += [(None, "x", 1, 4.0), (70, "x", 1, None), (71, "x", 1, float("nan"))]
+    rows += [(72, "x", 1, 0.0), (72, "x", 2, 0.0), (72, "y", 1, 0.0), (72, "y", 3, 0.0), (73, "x", 1, 0.0), (73, "x", 2, 0.0), (73, "y", 1, 0.0)]
+    r.shuffle(rows)
+    pairs = spark.createDataFrame(rows, "g int, s string, t int, c double")
+    got = {}
+    for x in graph.assigned(pairs, ["g"], "s", "t", "c").collect():
+        got.setdefault(x.g, []).append(x)
+    assert got.keys() == {*want, None} and [tuple(x) for x in got[None]] == [(None, "x", 1, 4.0)]
+    for g, total in want.items():
+        assert len({x.s for x in got[g]}) == len({x.t for x in got[g]}) == len(got[g]) and sum(x.c for x in got[g]) == total
+    # pairs that lie by their keys are not dealt again
+    plan = graph.assigned(pairs.repartition(3, "g"), ["g"], "s", "t", "c")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_molecule_rules(spark):
     atom = lambda e, v=1, c=0: (e, v, c)
     ok = dict(sanitized=True, n_components=1, elements=["C", "N"], n_heavy=9, n_radicals=0, max_ring=6, weight=100.0, charges=[0], isotopes=False, atoms=[atom("C", 4), atom("N", 3)])
