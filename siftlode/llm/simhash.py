@@ -107,11 +107,11 @@ def bit_statistics(fps: DataFrame, lanes: int) -> tuple[int, np.ndarray]:
 
     summed = fps.mapInPandas(each, "i int, v array<double>").selectExpr("i", "posexplode(v) as (j, x)").groupBy("i", "j").agg(F.sum("x").alias("x"))
     both, n = np.zeros((width, width)), 0
-    for i, j, x in summed.collect():  # (width + 1) * width numbers, whatever the corpus
-        if i < 0:
-            n = int(x)
-        else:
-            both[i, j] = x
+    table = summed.toArrow()  # (width + 1) * width numbers, whatever the corpus; as rows they would take tens of MB of the driver
+    i, j, x = (table.column(c).to_numpy() for c in ("i", "j", "x"))
+    both[i[i >= 0], j[i >= 0]] = x[i >= 0]
+    if (i < 0).any():
+        n = int(x[i < 0][0])
     return n, both
 
 

@@ -107,3 +107,13 @@ def test_thresholds_follow_the_costs():
     plan = simhash.allocate(4000, both, 2, (4,))
     skewed = [p for p, part in enumerate(plan.parts) if np.mean([b < 20 for b in part]) > 0.9]
     assert skewed and all(plan.thresholds[p] == -1 for p in skewed)
+
+
+def test_bit_statistics_reach_the_driver_in_columns(spark, monkeypatch):
+    fps = spark.createDataFrame([(3, -1), (1, 0), (5, 2)], "f0 long, f1 long")
+    monkeypatch.setattr(type(fps), "collect", lambda *a: (_ for _ in ()).throw(AssertionError("rows")))
+    n, both = simhash.bit_statistics(fps, 2)
+    bits = np.array([[v >> (63 - i) & 1 for v in r for i in range(64)] for r in ((3, -1), (1, 0), (5, 2))])
+    assert n == 3 and np.array_equal(both, bits.T @ bits)
+    n, both = simhash.bit_statistics(fps.limit(0), 2)
+    assert n == 0 and not both.any()
